@@ -1,8 +1,52 @@
-"""A cleaning pipeline over the documents table: each stage applies one operator of touchline.llm."""
+"""A cleaning pipeline over the documents table: each stage applies one operator of touchline.llm.
 
-STAGES = []
+A stage takes the documents that its predecessor kept and returns documents; each
+is written to the shared folder and read again by the next. The last adds the
+token counts and digests.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from touchline.llm import bpe, decontaminate, jaccard, line_dedup, quality_rules
+from touchline.llm.queries import VOCABULARY
+from touchline.llm.text import table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality rules reject."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its text without lines that stand in an earlier place."""
+    return line_dedup.without_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return jaccard.first_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with n_tokens, ids_sha256 and decoded_sha256."""
+    return bpe.with_tokens(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("bpe", tokens)]
+#: The rules' exact bounds, edit distances, min-hashes and merges have no SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
