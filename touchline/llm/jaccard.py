@@ -214,7 +214,7 @@ def classes(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFr
     edges = _blocks(met, "prefix", "members").repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j").select("prefix", "i", "j", "node", "own", "sig").mapInPandas(_rough, "a long, b long")
     rough = components(edges)
     sized = written(rough.join(rough.groupBy("root").agg(F.count("*").alias("members")), "root").join(nodes.select("node", "copies", "at"), "node").select("node", "root", "members", "copies", F.col("at.did").alias("did"), F.col("at.hash").alias("hash")), "rough")
-    sets = df.join(sized, ["did", "hash"]).mapInPandas(_set, "did long, hash long, node long, root long, members long, copies long, set binary").dropDuplicates(["node"])
+    sets = df.join(sized.hint("merge"), ["did", "hash"]).mapInPandas(_set, "did long, hash long, node long, root long, members long, copies long, set binary").dropDuplicates(["node"])
     exact = written(_blocks(sets, "root", "members").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").select("root", "i", "j", "node", "own", "copies", "set").mapInPandas(_verified(similarity), "a long, b long, n long"), "links")
     linked = exact.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     joined = components(exact.where("b is not null").select("a", "b"))
