@@ -205,6 +205,15 @@ class HMM:
         return score
 
 
+def most_frequent(counts: DataFrame) -> pd.DataFrame:
+    """The words above a count that FREQUENT words at most reach: the count is found from a histogram of fixed size, so no task sends more than its share."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    hist = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).toPandas().sort_values("step", ascending=False)
+    fit = hist.loc[hist["words"].cumsum() <= FREQUENT, "step"]
+    least = int(fit.min()) if len(fit) else 1 << 30
+    return counts.where(step >= least).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def trained(encoded: DataFrame, share: np.ndarray, iterations: int) -> HMM:
     """Baum-Welch over all rows of encoded (symbols)."""
     model = HMM(share)
@@ -237,7 +246,7 @@ def score(docs: DataFrame, held_out: Column, iterations: int = 3) -> DataFrame:
     counts = written(train.select("text").mapInPandas(_counts, "word binary, n long, class int").groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class")), "counts")
     ends = train.count()
     classes = counts.groupBy("class").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toPandas()
-    frequent = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    frequent = most_frequent(counts)
     vocabulary = Vocabulary(frequent, classes, int(classes["total"].sum()), int(classes["kinds"].sum()), ends)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, within double, symbols binary, tail array<struct<word:binary, n:long>>"
