@@ -25,7 +25,7 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 #: Where a text may be cut at a space: never beside other white space.
 WHITE = re.compile(r" (?:\s|(?<=\s ))")
 #: Stretches, and fragments, that a worker remembers before it starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^ \t-\r]+")
 #: Words that a worker remembers the hash of before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 def words(text: str | None) -> list[str]:
