@@ -19,7 +19,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, db, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -89,7 +89,7 @@ def transitions(segments: DataFrame, max_gap_seconds: float = 2.0) -> DataFrame:
     """Neighbouring runs of different players that follow within max_gap_seconds."""
     w = clip().orderBy("start_frame")
     df = segments
-    for c in ("team", "player_id", "end_frame", "end_time"):
+    for c in ("team", "player_id", "frames", "end_frame", "end_time"):
         df = df.withColumn(f"from_{c}", F.lag(c).over(w))
     gap = F.col("start_time") - F.col("from_end_time")
     return df.where((F.col("from_player_id") != F.col("player_id")) & (gap <= max_gap_seconds + 1e-9)).withColumn("gap_seconds", gap)

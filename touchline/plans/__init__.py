@@ -1,0 +1 @@
+from . import catalog, event_queries  # noqa: F401  each registers its queries

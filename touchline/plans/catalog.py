@@ -13,12 +13,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str):
-    """Registers a query; sql follows the domain tables' WITH list (a leading comma continues it)."""
+def query(name: str, sql: str | None):
+    """Registers a query; sql follows the domain tables' WITH list (a leading comma continues it); None: SQL can't express it."""
 
     def add(f):
         QUERIES[name] = f
-        ORACLES[name] = f"WITH {fx.SQL.strip()} {sql}"
+        if sql:
+            ORACLES[name] = f"WITH {fx.SQL.strip()} {sql}"
         return f
 
     return add
