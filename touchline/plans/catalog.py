@@ -209,7 +209,7 @@ def _(s, d):
 
 
 _HOP = """, bw AS (SELECT clip_id, unnest(range(min(frame), max(frame) - 62, 8)) AS start_frame FROM frames GROUP BY clip_id HAVING max(frame) - min(frame) + 1 >= 64),
-hop AS (SELECT w.clip_id, w.start_frame, label, least(e.end_frame, w.start_frame + 39) - greatest(e.start_frame, w.start_frame + 24) + 1 AS o, list_position(['background','carry','pass','turnover','shot'], label) AS r FROM bw w LEFT JOIN intervals e ON w.clip_id = e.clip_id AND e.label <> 'uncertain' AND e.start_frame <= w.start_frame + 39 AND e.end_frame >= w.start_frame + 24),
+hop AS (SELECT w.clip_id, w.start_frame, label, CASE WHEN e.clip_id IS NOT NULL THEN least(e.end_frame, w.start_frame + 39) - greatest(e.start_frame, w.start_frame + 24) + 1 END AS o, list_position(['background','carry','pass','turnover','shot'], label) AS r FROM bw w LEFT JOIN intervals e ON w.clip_id = e.clip_id AND e.label <> 'uncertain' AND e.start_frame <= w.start_frame + 39 AND e.end_frame >= w.start_frame + 24),
 win AS (SELECT clip_id, start_frame, start_frame + 63 AS end_frame, coalesce(label, 'background') AS target_class, coalesce(o, 0) AS event_overlap_frames FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, start_frame ORDER BY o DESC, r DESC) AS k FROM hop) WHERE k = 1)
 """
 
