@@ -149,3 +149,27 @@ def unify_events(carries: DataFrame, passes: DataFrame, turnovers: DataFrame, sh
     order = clip().orderBy("start_frame", "end_frame", F.desc("priority"), "source_id")
     df = df.withColumn("event_id", F.row_number().over(order).cast("long")).withColumn("center_frame", half_even((F.col("start_frame") + F.col("end_frame")) / 2))
     return overlap_groups(df)
+
+
+def mark_interceptions(events: DataFrame, tolerance: int = 2) -> DataFrame:
+    """Marks each interception that a refined turnover within tolerance frames already stands for: it keeps its row, but is neither trained on nor reviewed.
+
+    events has clip_id, event_id, source_type, subtype, center_frame, weak_eligible,
+    review, notes and rule_reasons. Adds canonical_event_id (its own id if nothing
+    stands for it) and duplicate_of.
+    """
+    at = lambda df: df.select("clip_id", F.col("event_id").alias("id"), F.col("center_frame").alias("frame"))
+    sources = events.where("source_type = 'interception_source' and center_frame is not null")
+    refined = events.where("source_type = 'turnover_candidate_refined' and coalesce(subtype, '') in ('', 'interception')")
+    hit = nearest_within(at(sources), at(refined), tolerance).select("clip_id", F.col("left_id").alias("event_id"), F.col("right_id").alias("duplicate_of"))
+    df, twice = events.join(hit, ["clip_id", "event_id"], "left"), F.col("duplicate_of").isNotNull()
+    more = lambda c, token: F.when(twice, F.array_join(F.array_union(F.filter(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: x != ""), F.array(F.lit(token))), ";")).otherwise(F.col(c))
+    return df.withColumns(
+        {
+            "weak_eligible": F.when(twice, 0).otherwise(F.col("weak_eligible")),
+            "review": F.when(twice, 0).otherwise(F.col("review")),
+            "canonical_event_id": F.coalesce("duplicate_of", "event_id"),
+            "notes": more("notes", "duplicate_source_available_for_traceability"),
+            "rule_reasons": more("rule_reasons", "duplicate_of_refined_interception_turnover"),
+        }
+    )
