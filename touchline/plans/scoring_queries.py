@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, reports, scoring, segments
+from ..operators import candidates, motion, pass_features, possession, reports, scoring, segments
 from ..sources import fixtures as fx
 from .catalog import _INTER, query, rounded
+from .event_queries import _ALL, _carries, _move, _passes, _turnovers
 
 _STRICT = """, k0 AS (SELECT *, missing <= 0.25::DOUBLE AND interpolated <= 0.25::DOUBLE AS seen,
  CASE WHEN same_team = 1 THEN 0.2::DOUBLE WHEN same_team = 0 THEN -0.25 ELSE 0 END + CASE WHEN sender_stable >= 4 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN receiver_stable >= 4 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN free_ball > 0 THEN 0.1::DOUBLE ELSE 0 END
@@ -75,3 +76,43 @@ def _(s, d):
 def _(s, d):
     items = fx.intervals(s, d).selectExpr("clip_id", "event_id", "label", "end_frame - start_frame AS score", "clip_id * 1000000 + event_id AS k")
     return reports.download_order(items, "label", "score", "k").drop("k")
+
+
+_FEATURES = _ALL + """, own0 AS (SELECT *, CASE WHEN team <> 'None' AND player_id >= 0 THEN team || '/' || player_id END AS own FROM owners),
+own1 AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM own0),
+st AS (SELECT o.clip_id, o.frame, own, own <> was AS changed, 2 * distance_to_ball AS dist, ball_x, ball_y, is_interpolated, speed FROM own1 o LEFT JOIN motion m ON o.clip_id = m.clip_id AND o.frame = m.frame),
+x AS (SELECT p.clip_id, p.pass_id, p.start_frame, p.end_frame, st.* EXCLUDE (clip_id) FROM pass2 p JOIN st ON p.clip_id = st.clip_id AND st.frame BETWEEN p.start_frame - 10 AND p.end_frame + 10),
+back AS (SELECT clip_id, pass_id, any_value(o) AS o, CASE WHEN any_value(o) IS NULL THEN 0 ELSE coalesce(min(k) FILTER (own IS DISTINCT FROM o) - 1, count(*)) END AS n FROM (SELECT *, row_number() OVER w AS k, first_value(own) OVER w AS o FROM x WHERE frame < start_frame WINDOW w AS (PARTITION BY clip_id, pass_id ORDER BY frame DESC)) GROUP BY 1, 2),
+ahead AS (SELECT clip_id, pass_id, any_value(o) AS o, CASE WHEN any_value(o) IS NULL THEN 0 ELSE coalesce(min(k) FILTER (own IS DISTINCT FROM o) - 1, count(*)) END AS n FROM (SELECT *, row_number() OVER w AS k, first_value(own) OVER w AS o FROM x WHERE frame > end_frame WINDOW w AS (PARTITION BY clip_id, pass_id ORDER BY frame)) GROUP BY 1, 2),
+span AS (SELECT clip_id, pass_id, count(*) FILTER (dist > 35) AS free_ball, max(speed) AS speed_peak, count(*) FILTER (ball_x IS NULL) / count(*) AS missing, count(*) FILTER (is_interpolated) / count(*) AS interpolated, (count(*) FILTER (changed) > 1)::INT AS flicker, CASE WHEN count(ball_x) > 1 THEN sqrt((arg_max(ball_x, frame) - arg_min(ball_x, frame)) ^ 2 + (arg_max(ball_y, frame) - arg_min(ball_y, frame)) ^ 2) END AS ball_distance FROM x WHERE frame BETWEEN start_frame AND end_frame GROUP BY 1, 2),
+calm AS (SELECT clip_id, pass_id, median(speed) AS base FROM x WHERE frame < start_frame GROUP BY 1, 2),
+co AS (SELECT p.clip_id, p.pass_id, max(least(p.end_frame, e.end_frame) - greatest(p.start_frame, e.start_frame) + 1) AS n FROM pass2 p JOIN carry e ON p.clip_id = e.clip_id AND e.start_frame <= p.end_frame AND e.end_frame >= p.start_frame GROUP BY 1, 2),
+ov AS (SELECT p.clip_id, p.pass_id, max(least(p.end_frame, e.end_frame) - greatest(p.start_frame, e.start_frame) + 1) AS n FROM pass2 p JOIN turn2 e ON p.clip_id = e.clip_id AND e.start_frame <= p.end_frame AND e.end_frame >= p.start_frame GROUP BY 1, 2),
+ft AS (SELECT p.clip_id, p.pass_id, p.start_frame, p.end_frame, p.team, p.end_frame - p.start_frame + 1 AS duration, (split_part(b.o, '/', 1) = split_part(a.o, '/', 1))::INT AS same_team, coalesce(b.n, 0) AS sender_stable, coalesce(a.n, 0) AS receiver_stable, coalesce(free_ball, 0) AS free_ball, ball_distance, speed_peak, (speed_peak > base)::INT AS above_baseline, missing, interpolated, coalesce(flicker, 0) AS flicker, coalesce(co.n, 0) / (p.end_frame - p.start_frame + 1) AS carry_overlap, coalesce(ov.n, 0) / (p.end_frame - p.start_frame + 1) AS turnover_overlap
+ FROM pass2 p LEFT JOIN back b ON p.clip_id = b.clip_id AND p.pass_id = b.pass_id LEFT JOIN ahead a ON p.clip_id = a.clip_id AND p.pass_id = a.pass_id LEFT JOIN span ON p.clip_id = span.clip_id AND p.pass_id = span.pass_id LEFT JOIN calm c ON p.clip_id = c.clip_id AND p.pass_id = c.pass_id LEFT JOIN co ON p.clip_id = co.clip_id AND p.pass_id = co.pass_id LEFT JOIN ov ON p.clip_id = ov.clip_id AND p.pass_id = ov.pass_id),
+near0 AS (SELECT ft.clip_id, pass_id, min(abs(t.end_frame - ft.start_frame)) AS turnover_distance FROM ft JOIN turn2 t ON t.clip_id = ft.clip_id AND abs(t.end_frame - ft.start_frame) <= 5 GROUP BY 1, 2),
+last0 AS (SELECT ft.clip_id, pass_id, t.end_frame AS at, t.team AS winner, row_number() OVER (PARTITION BY ft.clip_id, pass_id ORDER BY t.end_frame DESC, t.turnover_id) AS k FROM ft JOIN turn2 t ON t.clip_id = ft.clip_id AND t.end_frame BETWEEN ft.start_frame - 3 AND ft.end_frame)
+"""
+
+
+def _featured(s, d):
+    owners = fx.owners(s, d).withColumn("distance_to_ball", 2 * F.col("distance_to_ball"))
+    states = owners.join(_move(s, d).select("clip_id", "frame", "ball_speed"), ["clip_id", "frame"], "left").join(possession.possession_changes(owners).select("clip_id", "frame", "possession_changed"), ["clip_id", "frame"])
+    turnovers = candidates.refine_turnovers(_turnovers(s, d), motion.bounds(fx.frames(s, d)))
+    passes = _passes(s, d).select("clip_id", "pass_id", "start_frame", "end_frame", "team")
+    return pass_features.pass_features(passes, states, _carries(s, d), turnovers), turnovers
+
+
+_ROUNDED = "* REPLACE (round(ball_distance, 6) AS ball_distance, round(speed_peak, 6) AS speed_peak, round(missing, 6) AS missing, round(interpolated, 6) AS interpolated, round(carry_overlap, 6) AS carry_overlap, round(turnover_overlap, 6) AS turnover_overlap)"
+
+
+@query("pass_features", _FEATURES + f"SELECT {_ROUNDED} FROM ft")
+def _(s, d):
+    return rounded(_featured(s, d)[0].drop("completeness"))
+
+
+@query("pass_context", _FEATURES + """, good AS (SELECT ft.*, turnover_distance, ft.end_frame - l.at AS recovery_frames, winner, (same_team = 1 AND sender_stable >= 4 AND carry_overlap <= 0.2::DOUBLE AND missing <= 0.25::DOUBLE AND interpolated <= 0.25::DOUBLE) IS TRUE AS fit FROM ft LEFT JOIN near0 n ON n.clip_id = ft.clip_id AND n.pass_id = ft.pass_id LEFT JOIN last0 l ON l.clip_id = ft.clip_id AND l.pass_id = ft.pass_id AND k = 1)
+SELECT clip_id, pass_id, turnover_distance, recovery_frames, (fit AND turnover_distance IS NOT NULL AND receiver_stable >= 4)::INT AS post_turnover, (fit AND recovery_frames >= 2 AND winner = team AND receiver_stable >= 2 AND free_ball >= 2) IS TRUE AS recovered FROM good""")
+def _(s, d):
+    df, turnovers = _featured(s, d)
+    return pass_features.pass_context(df, turnovers).select("clip_id", "pass_id", "turnover_distance", "recovery_frames", "post_turnover", (F.col("recovery") == 1).alias("recovered"))
