@@ -67,12 +67,12 @@ def reason_counts(possession: DataFrame) -> DataFrame:
 
 
 def possession_changes(possession: DataFrame) -> DataFrame:
-    """changed: the owner differs from the last one there was; frames_since the last change (or the first owner), 0 before any."""
+    """changed: the owner (team and player) differs from the last one there was; frames since the last change (or the first owner), 0 before any."""
     w = clip().orderBy("frame")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.when(F.col("player_id").isNotNull(), F.col("player_id"))
-    df = possession.withColumn("_last", F.last(owner, ignorenulls=True).over(before)).withColumn("_n", F.row_number().over(w))
-    changed = F.col("_last").isNotNull() & owner.isNotNull() & (owner != F.col("_last"))
-    start = changed | (F.col("_last").isNull() & owner.isNotNull())
-    df = df.withColumn("possession_changed", F.coalesce(changed, F.lit(False)).cast("int")).withColumn("_at", F.last(F.when(F.coalesce(start, F.lit(False)), F.col("_n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.select("clip_id", "frame", "possession_changed", F.coalesce(F.col("_n") - F.col("_at"), F.lit(0)).cast("long").alias("frames_since_possession_change"))
+    owner = F.when(F.col("player_id").isNotNull() & F.col("team").isin("Team A", "Team B"), F.struct("team", "player_id"))
+    df = possession.withColumn("_owner", owner).withColumn("_last", F.last("_owner", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    owned = F.col("_owner").isNotNull()
+    changed = owned & F.col("_last").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("_last"))
+    start = changed | (owned & F.col("_last").isNull())
+    at = F.last(F.when(start, F.col("frame")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.select("clip_id", "frame", changed.cast("int").alias("possession_changed"), F.coalesce(F.col("frame") - at, F.lit(0)).cast("long").alias("frames_since_possession_change"))

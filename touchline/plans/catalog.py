@@ -76,9 +76,13 @@ def _(s, d):
     return possession.reason_counts(_possession(s, d))
 
 
-@query("possession_changes", """, l AS (SELECT *, last_value(player_id IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY clip_id ORDER BY frame) AS n FROM owners),
-c AS (SELECT *, CASE WHEN before IS NOT NULL AND player_id IS NOT NULL AND player_id <> before THEN 1 ELSE 0 END AS changed FROM l)
-SELECT clip_id, frame, changed AS possession_changed, coalesce(n - last_value(CASE WHEN changed = 1 OR (before IS NULL AND player_id IS NOT NULL) THEN n END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS frames_since_possession_change FROM c""")
+_CHANGES = """, l AS (SELECT *, CASE WHEN team <> 'None' AND player_id IS NOT NULL THEN team || player_id END AS owner FROM {table}),
+l1 AS (SELECT *, last_value(owner IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l),
+changes AS (SELECT clip_id, frame, CASE WHEN owner <> before THEN 1 ELSE 0 END AS possession_changed, coalesce(frame - last_value(CASE WHEN owner <> before OR (before IS NULL AND owner IS NOT NULL) THEN frame END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS frames_since_possession_change FROM l1)
+"""
+
+
+@query("possession_changes", _CHANGES.format(table="owners") + "SELECT * FROM changes")
 def _(s, d):
     return possession.possession_changes(fx.owners(s, d))
 
