@@ -58,13 +58,17 @@ def nearest_players(ball: DataFrame, players: DataFrame, k: int = 4) -> DataFram
     return near.select("clip_id", "frame", *cols)
 
 
-def ball_motion(ball: DataFrame) -> DataFrame:
-    """Row-to-row velocity, speed and acceleration; frames stand in where time doesn't advance."""
+def with_ball_motion(ball: DataFrame) -> DataFrame:
+    """Adds row-to-row velocity and acceleration (vx, vy, ax, ay); frames stand in where time doesn't advance."""
     w = clip().orderBy("frame")
     dt = F.col("timestamp") - F.lag("timestamp").over(w)
     df = ball.withColumn("_dt", F.when(dt > 0, dt).otherwise(F.col("frame") - F.lag("frame").over(w)))
     df = df.withColumn("vx", (F.col("center_x") - F.lag("center_x").over(w)) / F.col("_dt")).withColumn("vy", (F.col("center_y") - F.lag("center_y").over(w)) / F.col("_dt"))
-    df = df.withColumn("ax", (F.col("vx") - F.lag("vx").over(w)) / F.col("_dt")).withColumn("ay", (F.col("vy") - F.lag("vy").over(w)) / F.col("_dt"))
+    return df.withColumn("ax", (F.col("vx") - F.lag("vx").over(w)) / F.col("_dt")).withColumn("ay", (F.col("vy") - F.lag("vy").over(w)) / F.col("_dt")).drop("_dt")
+
+
+def ball_motion(ball: DataFrame) -> DataFrame:
+    df = with_ball_motion(ball)
     return df.select("clip_id", "frame", "vx", "vy", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2).alias("ball_speed"), F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2).alias("ball_acceleration"), F.col("vx").isNotNull().cast("int").alias("velocity_valid"), F.col("ax").isNotNull().cast("int").alias("acceleration_valid"))
 
 

@@ -66,8 +66,8 @@ def reason_counts(possession: DataFrame) -> DataFrame:
     return possession.groupBy(F.substring_index("possession_reason", ";", 1).alias("reason")).agg(F.count("*").alias("frames"))
 
 
-def possession_changes(possession: DataFrame) -> DataFrame:
-    """changed: the owner (team and player) differs from the last one there was; frames since the last change (or the first owner), 0 before any."""
+def with_possession_changes(possession: DataFrame) -> DataFrame:
+    """Adds possession_changed: the owner (team and player) differs from the last one there was; frames_since_possession_change: since then or since the first owner, 0 before any."""
     w = clip().orderBy("frame")
     owner = F.when(F.col("player_id").isNotNull() & F.col("team").isin("Team A", "Team B"), F.struct("team", "player_id"))
     df = possession.withColumn("_owner", owner).withColumn("_last", F.last("_owner", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -75,4 +75,8 @@ def possession_changes(possession: DataFrame) -> DataFrame:
     changed = owned & F.col("_last").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("_last"))
     start = changed | (owned & F.col("_last").isNull())
     at = F.last(F.when(start, F.col("frame")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.select("clip_id", "frame", changed.cast("int").alias("possession_changed"), F.coalesce(F.col("frame") - at, F.lit(0)).cast("long").alias("frames_since_possession_change"))
+    return df.withColumns({"possession_changed": changed.cast("int"), "frames_since_possession_change": F.coalesce(F.col("frame") - at, F.lit(0)).cast("long")}).drop("_owner", "_last")
+
+
+def possession_changes(possession: DataFrame) -> DataFrame:
+    return with_possession_changes(possession).select("clip_id", "frame", "possession_changed", "frames_since_possession_change")
