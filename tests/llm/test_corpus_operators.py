@@ -175,6 +175,14 @@ def test_line_dedup(spark, monkeypatch, few):
     assert texts[90].text is None and texts[92].n_chars == len(texts[92].text)
 
 
+def test_short_lines_that_repeat_are_removed(spark):
+    """Within and across documents, down to one code point; blank lines and nearly equal short ones stay."""
+    rows = [(1, "Released under the MIT License.\n}\n\n \n}"), (2, "a\nReleased under the MIT License.\n\n \nReleased under the MIT Licence."), (3, "}\nb\na")]
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == {1: "4", 2: "1", 3: "0,2"}
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(frame(spark, rows)).collect()}[3] == "b"
+
+
 def test_line_dedup_empty(spark):
     docs = frame(spark, [])
     assert line_dedup.line_dedup(docs).count() == 0 and line_dedup.without_repeats(docs).count() == 0

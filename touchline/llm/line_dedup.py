@@ -1,6 +1,6 @@
-"""Duplicate and nearly equal lines, by a segment-partition edit join.
+"""Duplicate and nearly equal lines: repeats by a count, near ones by a segment-partition edit join.
 
-A line of length n is cut into MOST + 1 segments; a line within MOST edits of it
+Equal lines are found by their hash, whatever their length. For the join, a line of length n is cut into MOST + 1 segments; a line within MOST edits of it
 holds one of them unchanged, near its place. Each line is indexed by its own
 segments and probes the segments of all lengths from n - MOST to n, at the few
 places where a match can be part of an alignment. What meets is verified by a
@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import LAST, _allowed, _blocks, _keyed, runs
-from .text import components, pieces, written
+from .text import WORD, components, pieces, written
 
-#: Most edits between equal lines; least code points of a line that is compared at all.
-MOST, LEAST = 2, 32
+#: Most edits between nearly equal lines; least code points of a line that is compared at all, and of one that can be nearly equal to another (2 edits make a short line a different one).
+MOST, LEAST, NEAR = 2, 1, 32
 #: A segment that index and probes meet in more pairs than this goes by blocks.
 FEW = 64
 
@@ -111,9 +111,9 @@ def _banded(xs: list[np.ndarray], ys: list[np.ndarray], most: int) -> np.ndarray
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """did, hash, pos, node (the line's hash), length, line of the lines that are compared."""
+    """did, hash, pos, node (the line's hash), length, line of the lines that are compared: those with a word, and blank ones of NEAR code points or more."""
     df = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("did", "hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return df.select("did", "hash", "pos", F.xxhash64("line").alias("node"), F.char_length("line").alias("length"), "line").where(F.col("length") >= LEAST)
+    return df.select("did", "hash", "pos", F.xxhash64("line").alias("node"), F.char_length("line").alias("length"), "line").where((F.col("length") >= NEAR) | (F.col("length") >= LEAST) & F.col("line").rlike(WORD.pattern))
 
 
 def _spread(own: list[bool]):
@@ -224,7 +224,7 @@ def removed(docs: DataFrame) -> DataFrame:
     """(did, hash, removed): the positions of each document's lines that a line of an earlier place equals or nearly equals."""
     lines = lines_of(docs)
     seen = written(firsts(lines), "seen")
-    joined = components(similar(lines))
+    joined = components(similar(lines.where(F.col("length") >= NEAR)))
     of = seen.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     group = of.groupBy("root").agg(F.sum("n").alias("n"), F.min(F.struct("did", "hash", "pos")).alias("first")).where("n > 1")
     doubled = written(of.select("node", "root").join(group, "root").select("node", "first"), "doubled")
@@ -234,7 +234,8 @@ def removed(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_lines, n_removed, removed (their positions from 0, joined by commas).
 
-    Lines of fewer than LEAST code points are left alone. Null or empty text: one
+    Lines without a word are left alone if they have fewer than NEAR code points;
+    of other lines below NEAR only exact repeats are removed. Null or empty text: one
     empty line. Rows of equal id and text have the same lines and so the same
     result; null ids come last.
     """
