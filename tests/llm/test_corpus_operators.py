@@ -183,6 +183,18 @@ def test_short_lines_that_repeat_are_removed(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(frame(spark, rows)).collect()}[3] == "b"
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_a_line_goes_only_for_an_earlier_line_near_it(spark, monkeypatch, few):
+    """b lies between a and c, but comes after both: c has no earlier line near it. d follows b and is near it only."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    a, tail = "the quick brown fox jumps over the lazy dog 0000", "abcdefgh"
+    b, c, d = a[:-2] + "11", "XX" + a[2:-2] + "11", a[:4] + "YY" + a[6:-2] + "11"
+    rows = [(1, a), (2, c), (3, b), (4, d), (5, tail * 5), (6, "zz" + tail * 5)]
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == {1: "", 2: "", 3: "0", 4: "0", 5: "", 6: "0"}
+
+
 def test_line_dedup_empty(spark):
     docs = frame(spark, [])
     assert line_dedup.line_dedup(docs).count() == 0 and line_dedup.without_repeats(docs).count() == 0

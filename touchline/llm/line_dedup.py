@@ -5,8 +5,8 @@ holds one of them unchanged, near its place. Each line is indexed by its own
 segments and probes the segments of all lengths from n - MOST to n, at the few
 places where a match can be part of an alignment. What meets is verified by a
 banded bit-parallel edit distance. Lines that few others meet are verified as
-pairs; a segment that many lines share is handled in pairs of blocks, whose
-tasks hand on a forest of the verified links only.
+pairs; a segment that many lines share is handled in pairs of blocks. No links
+leave a task, only the lines that have a verified neighbour of an earlier place.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import LAST, _allowed, _blocks, _keyed, runs
-from .text import WORD, components, pieces, written
+from .text import WORD, pieces, written
 
 #: Most edits between nearly equal lines; least code points of a line that is compared at all, and of one that can be nearly equal to another (2 edits make a short line a different one).
 MOST, LEAST, NEAR = 2, 1, 32
@@ -170,49 +170,51 @@ def _meetings(k: np.ndarray, n: np.ndarray, o: np.ndarray) -> pd.DataFrame:
 
 
 def _close(frames):
+    """The later line of each pair within MOST edits."""
     for pdf in frames:
         ok = edits(list(zip(pdf["x"], pdf["y"], strict=True))) <= MOST if len(pdf) else np.zeros(0, bool)
-        yield pdf.loc[ok, ["a", "b"]]
+        yield pd.DataFrame({"node": pdf.loc[ok, "b"].unique()})
 
 
 def _block(frames):
-    """A forest of the verified links of each pair of blocks. Lines whose counts of letters differ too much need no distance, nor do lines already joined."""
+    """The lines of each pair of blocks that have an earlier line within MOST edits. Lines whose counts of letters differ too much need no distance; a line is done at its first neighbour."""
     for (_, i, j), g in runs(frames, ["key", "i", "j"]):
-        text, n = g["line"], g["node"]
-        if len(n) < 2:
+        if len(g["node"]) < 2:
             continue
+        order = np.lexsort((g["pos"], g["hash"], g["did"]))
+        text, n, own = g["line"][order], g["node"][order], g["own"][order]
         length = np.array([len(t) for t in text])
-        pairs = np.triu(_allowed(g["own"], i, j)) & (np.abs(length[:, None] - length[None, :]) <= MOST)
+        pairs = np.tril(_allowed(own, i, j)) & (np.abs(length[:, None] - length[None, :]) <= MOST)
         counts = np.zeros((len(n), 64), np.int32)
         for r, t in enumerate(text):
             counts[r] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+        later = np.zeros(len(n), bool)
         for r in range(len(n)):
             c = np.flatnonzero(pairs[r])
-            pairs[r, c] = np.abs(counts[c] - counts[r]).sum(1) <= 2 * MOST
-        root, rows = np.arange(len(n)), []
-        for r in range(len(n)):
-            c = np.flatnonzero(pairs[r])
-            c = c[root[c] != root[r]]
-            for s in c[edits([(text[r], text[x]) for x in c]) <= MOST].tolist() if len(c) else ():
-                if root[s] != root[r]:
-                    rows.append((int(n[r]), int(n[s])))
-                    root[root == root[s]] = root[r]
-        yield pd.DataFrame(rows, columns=["a", "b"])
+            c = c[np.abs(counts[c] - counts[r]).sum(1) <= 2 * MOST]
+            for a, b in ((0, 4), (4, 32), (32, len(c))):
+                if len(c[a:b]) and (edits([(text[r], text[x]) for x in c[a:b]]) <= MOST).any():
+                    later[r] = True
+                    break
+        yield pd.DataFrame({"node": n[later]})
 
 
-def similar(lines: DataFrame) -> DataFrame:
-    """(a, b): links that join all lines within MOST edits of each other, by their hashes."""
+def later(lines: DataFrame, seen: DataFrame) -> DataFrame:
+    """(node): the lines that have another line within MOST edits of them whose first place (in seen) is earlier than theirs."""
     k, own = keys(F.col("line"), F.col("length"))
     spread = lines.select("node", k.alias("keys")).mapInPandas(_spread(own), "key long, node long, own boolean")
     met = written(spread.repartition("key").sortWithinPartitions("key").mapInPandas(_met, "key long, a long, b long"), "met")
     pairs, many = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("key", F.col("a").alias("node"))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
-    text = written(lines.select("node", "line", "did", "hash", "pos").join(nodes, "node").join(firsts(lines).select("node", "did", "hash", "pos"), ["node", "did", "hash", "pos"]).select("node", "line").dropDuplicates(["node"]), "lines")
-    left, right = (text.select(F.col("node").alias(c), F.col("line").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(_close, "a long, b long")
+    place = ["did", "hash", "pos"]
+    text = written(lines.select("node", "line", *place).join(seen.join(nodes, "node").select("node", *place), ["node", *place]).select("node", "line", *place).dropDuplicates(["node"]), "lines")
+    left, right = (text.select(F.col("node").alias(c), F.col("line").alias(t), F.struct(*place).alias(f"{c}_at")) for c, t in (("a", "x"), ("b", "y")))
+    met_at = pairs.join(left, "a").join(right, "b")
+    ordered = met_at.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("b"), "x", "y")
+    close = ordered.mapInPandas(_close, "node long")
     sized = many.join(many.groupBy("key").agg(F.count("*").alias("members")), "key")
-    blocks = _blocks(sized, "key", "members").join(text, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "own", "line").mapInPandas(_block, "a long, b long")
-    return close.union(blocks)
+    blocks = _blocks(sized, "key", "members").join(text, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "own", "line", *place).mapInPandas(_block, "node long")
+    return close.union(blocks).distinct()
 
 
 def firsts(lines: DataFrame) -> DataFrame:
@@ -221,14 +223,17 @@ def firsts(lines: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(did, hash, removed): the positions of each document's lines that a line of an earlier place equals or nearly equals."""
+    """(did, hash, removed): the positions of each document's lines that a line of an earlier place equals or nearly equals.
+
+    The earlier line is itself within MOST edits, whether it is removed or not;
+    links are not followed further.
+    """
     lines = lines_of(docs)
     seen = written(firsts(lines), "seen")
-    joined = components(similar(lines.where(F.col("length") >= NEAR)))
-    of = seen.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    group = of.groupBy("root").agg(F.sum("n").alias("n"), F.min(F.struct("did", "hash", "pos")).alias("first")).where("n > 1")
-    doubled = written(of.select("node", "root").join(group, "root").select("node", "first"), "doubled")
-    return lines.select("node", "did", "hash", "pos").join(doubled, "node").where(F.struct("did", "hash", "pos") != F.col("first")).groupBy("did", "hash").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    near = later(lines.where(F.col("length") >= NEAR), seen).withColumn("near", F.lit(True))
+    of = seen.join(near, "node", "left").withColumn("near", F.coalesce("near", F.lit(False))).where("near or n > 1")
+    doubled = written(of.select("node", "near", F.struct("did", "hash", "pos").alias("first")), "doubled")
+    return lines.select("node", "did", "hash", "pos").join(doubled, "node").where(F.col("near") | (F.struct("did", "hash", "pos") != F.col("first"))).groupBy("did", "hash").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
