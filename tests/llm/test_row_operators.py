@@ -68,6 +68,16 @@ def test_widely_copied_values_are_not_live(spark):
     assert [got[i].n_copied for i in (0, 1, 2, 3, 9)] == [1, 1, 1, 1, 0]
 
 
+def test_values_of_two_owners_or_repositories_are_live(spark):
+    """a: two owners; b: one owner, two repositories; c: three owners; d: not random."""
+    a, b, c, d = "Zx9Qw8Er7Ty6Ui5Op4As3Df", "Qq9Qw8Er7Ty6Ui5Op4As3Df", "Ww9Qw8Er7Ty6Ui5Op4As3Df", "password=aaaaaaaaaaaab"
+    rows = [(1, a, "r", "o1"), (2, a, "r", "o2"), (3, b, "r", "o3"), (4, b, "s", "o3"), (5, c, "r", "o4"), (6, c, "r", "o5"), (7, c, "r", "o6"), (8, d, "r", "o7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, source string")
+    got = {r.doc_id: (r.n_live, r.n_copied, r.spans, r.repos) for r in secret_scan.secrets(docs, repo="repo").collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [(1, 0, "mixed:0:23", "2")] * 4
+    assert [got[i] for i in (5, 6, 7)] == [(0, 1, "", "")] * 3 and got[8] == (0, 0, "assign:0:22", "1")
+
+
 def quality_brute(t):
     ws = re.findall(r"[^ \t\n\x0b\x0c\r]+", t)
     grams = Counter(zip(ws, ws[1:], ws[2:]))

@@ -2,8 +2,8 @@
 
 Every text is searched for candidates; the hash of each candidate's value is
 counted over distinct repositories and owners of the whole corpus. A value that
-many owners hold is a copied example; one that a single owner holds and that
-looks random is a live-looking credential of that owner.
+many owners hold is a copied example; one that fewer hold, in however many
+repositories, and that looks random is a live-looking credential.
 """
 
 from __future__ import annotations
@@ -60,26 +60,27 @@ SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 
 
 def secrets(docs: DataFrame, repo: Column | str = "source", owner: Column | str = "source", copied_owners: int = 3) -> DataFrame:
-    """One row per row of docs (doc_id, text): counts and digest of the base spans, all spans, and how many candidates are live-looking or copied.
+    """One row per row of docs (doc_id, text): counts and digest of the base spans, all spans, the repositories that hold their values, and how many candidates are live-looking or copied.
 
-    spans holds the base spans and those of mixed words whose value only one
-    owner holds and that look random. n_copied counts candidates whose value
-    `copied_owners` owners or more hold; n_live those that one owner and one repository hold
-    and that look random. Null or empty text: no spans. Null repository or owner:
+    n_copied counts candidates whose value `copied_owners` owners or more hold;
+    n_live those that fewer hold and that look random; what is in neither doesn't
+    look random. spans holds the base spans and those of live mixed words; repos,
+    in the same order, the number of distinct repositories (owner and name). Null or empty text: no spans. Null repository or owner:
     counts as the empty name. Repeated or null doc_id: each row stands for itself.
     """
     as_col = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), as_col(repo).alias("repo"), as_col(owner).alias("owner"))
     scanned = written(df.mapInPandas(_scan, SCANNED).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = scanned.select("row", "repo", "owner", F.explode("candidates").alias("c")).select("row", "repo", "owner", "c.*")
-    held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
-    judged = each.join(held, "hash").select("row", "start", "rank", "end", (F.col("owners") >= copied_owners).alias("copied"), (F.col("random") & (F.col("owners") == 1) & (F.col("repos") == 1)).alias("live"))
+    held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repos"))
+    judged = each.join(held, "hash").select("row", "start", "rank", "end", "repos", (F.col("owners") >= copied_owners).alias("copied"), (F.col("random") & (F.col("owners") < copied_owners)).alias("live"))
     by_row = judged.groupBy("row").agg(
         F.count_if("live").alias("n_live"),
         F.count_if("copied").alias("n_copied"),
-        F.array_sort(F.collect_list(F.when((F.col("rank") < 3) | F.col("live"), F.struct("start", "rank", "end")))).alias("s"),
+        F.array_sort(F.collect_list(F.when((F.col("rank") < 3) | F.col("live"), F.struct("start", "rank", "end", "repos")))).alias("s"),
     )
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    repos = F.array_join(F.transform("s", lambda x: x["repos"].cast("string")), ",")
     zero = F.lit(0).cast("long")
-    return scanned.select("row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256").join(by_row, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
+    return scanned.select("row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256").join(by_row, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), F.coalesce(repos, F.lit("")).alias("repos"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
