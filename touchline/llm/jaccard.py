@@ -1,9 +1,9 @@
 """Join of texts whose sets of five-word runs are similar (Jaccard 0.8 or more).
 
-Texts with the same set are one node. Signatures of min-hashes form a forest of
-prefix tries: nodes under the same prefix in some trie are candidates, and the
-prefix is shortened from the deepest until the chance to meet at the least
-similarity reaches the target recall. Candidates whose signatures agree enough
+Texts with the same set are one node. Signatures of min-hashes are cut into
+bands: nodes with an equal band are candidates. A band has as many min-hashes as
+leave the chance to meet at the least similarity at the target recall, which is
+fixed beforehand by a formula, not by the data. Candidates whose signatures agree enough
 are joined into rough groups; within them every pair is verified exactly, in
 blocks, so that a task holds two blocks at a time. No pairs leave a task, only
 each node's number of links and a forest of the verified links.
@@ -33,7 +33,7 @@ _B = _R.integers(0, 1 << 63, TREES * DEEPEST, dtype=np.uint64)
 
 
 def depth(similarity: float, target: float = TARGET) -> int:
-    """The longest prefix with which the forest's recall at this similarity is at the target; 1 at least."""
+    """The longest band with which the recall at this similarity is at the target; 1 at least."""
     for k in range(DEEPEST, 1, -1):
         if 1 - (1 - similarity**k) ** TREES >= target:
             return k
