@@ -8,13 +8,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^ \t-\r]+")
-#: Words that a worker remembers the hash of before it starts afresh.
-REMEMBERED = 250_000
+#: Words that a task remembers the hash of before it starts afresh.
+REMEMBERED = 150_000
 
 
 def words(text: str | None) -> list[str]:
@@ -32,7 +32,6 @@ class WordHash(dict):
         return h
 
 
-HASHES = WordHash()
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -43,8 +42,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(ws: list[str]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, ws), np.uint64, len(ws))
+def word_hashes(ws: list[str], known: WordHash) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -58,11 +57,12 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir, one of our own if that is unset."""
+    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir; on a local master one of our own if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -72,7 +72,10 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and lost executors cost nothing."""
-    path = fresh_dir(df.sparkSession, what)
+    return written_at(df, fresh_dir(df.sparkSession, what))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -82,6 +85,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def same_names(docs: DataFrame, **columns: Column | str) -> DataFrame:
+    """docs' rows as a struct `_row` beside the columns that are named here: whatever names docs has, none clashes. `_row.*` gives docs back."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"), *((F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()))
+
+
+def quoted(name: str) -> str:
+    """A column's name as one word of a path, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,34 +116,44 @@ def pieces(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Shares that a node's edges are dealt into, so that a star's centre meets its edges in as many tasks.
+SHARES = 64
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b): for each a and share of its edges the least b of all its edges. A node's edges never meet in one task, only one row for each share does."""
+    part = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(SHARES)).alias("share")).agg(F.min("b").alias("m"))
+    return part.select("a", "share").join(part.groupBy("a").agg(F.min("m").alias("m")), "a")
+
+
+def _to_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs (a, b) with m, the least of a."""
+    return pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SHARES))).join(least, ["a", "share"])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the least node.
 
     Alternates large-star and small-star rounds, each an aggregate and a join on
-    spread keys; the edges shrink to a star per component in about log^2 rounds.
-    Every second round is written to the shared folder. Empty edges: empty result.
+    keys that are dealt in shares; the edges shrink to a star per component in about
+    log^2 rounds, whatever the graph. A round is written to the shared folder, and
+    the one before deleted. Empty edges: empty result. Null ends and loops: left out.
     """
-    kind = edges.schema["a"].dataType
-    e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark, kind = edges.sparkSession, edges.schema["a"].dataType
+    path = fresh_dir(spark, "edges")
+    e = written_at(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
 
     def shape(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    last = shape(e)
-    for _ in range(rounds):
-        if not last[0]:
-            break
+    last, now = None, shape(e)
+    while now[0] and now != last:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        now = shape(e)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        large = _to_least(both, _least(both)).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        small = _to_least(large, _least(large)).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b")
+        old, path = path, fresh_dir(spark, "edges")
+        e = written_at(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
+        last, now = now, shape(e)
+        delete(spark, old)
     stars = e.groupBy("a").agg(F.min("b").alias("root"))
     return stars.select(F.col("a").alias("node"), "root").union(stars.select(F.col("root").cast(kind).alias("node"), "root").distinct())
