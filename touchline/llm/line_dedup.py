@@ -1,6 +1,6 @@
 """Duplicate and nearly equal lines: repeats by a count, near ones by a segment-partition edit join.
 
-Equal lines are found by their hash, whatever their length. For the join, a line of length n is cut into MOST + 1 segments; a line within MOST edits of it
+Equal lines are found by their 128-bit hash (node and twin), whatever their length. For the join, a line of length n is cut into MOST + 1 segments; a line within MOST edits of it
 holds one of them unchanged, near its place. Each line is indexed by its own
 segments and probes the segments of all lengths from n - MOST to n, at the few
 places where a match can be part of an alignment. What meets is verified by a
@@ -16,13 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import LAST, _allowed, _blocks, _keyed, runs
+from .jaccard import LAST, _allowed, _blocks, _keyed, runs, with_rows
 from .text import WORD, pieces, written
 
 #: Most edits between nearly equal lines; least code points of a line that is compared at all, and of one that can be nearly equal to another (2 edits make a short line a different one).
 MOST, LEAST, NEAR = 2, 1, 32
 #: A segment that index and probes meet in more pairs than this goes by blocks.
 FEW = 64
+#: Rows of one segment that a task holds before it sends them on to the blocks; lines that a task remembers to have seen.
+HELD, SEEN = 4096, 200_000
+LINE = ["node", "twin"]
 
 
 def segment(length: Column, i: int) -> tuple[Column, Column]:
@@ -111,69 +114,101 @@ def _banded(xs: list[np.ndarray], ys: list[np.ndarray], most: int) -> np.ndarray
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """did, hash, pos, node (the line's hash), length, line of the lines that are compared: those with a word, and blank ones of NEAR code points or more."""
+    """did, hash, pos, node and twin (the line's hashes), length, line of the lines that are compared: those with a word, and blank ones of NEAR code points or more."""
     df = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("did", "hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return df.select("did", "hash", "pos", F.xxhash64("line").alias("node"), F.char_length("line").alias("length"), "line").where((F.col("length") >= NEAR) | (F.col("length") >= LEAST) & F.col("line").rlike(WORD.pattern))
+    return df.select("did", "hash", "pos", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(1), "line").alias("twin"), F.char_length("line").alias("length"), "line").where((F.col("length") >= NEAR) | (F.col("length") >= LEAST) & F.col("line").rlike(WORD.pattern))
 
 
 def _spread(own: list[bool]):
-    """Each line's keys as rows, a line once a task (as far as a million are remembered)."""
+    """Each line's keys as rows, a line once a task (as far as SEEN are remembered)."""
     flags = np.array(own)
 
     def spread(frames):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for pdf in frames:
-            pdf = pdf.drop_duplicates("node")
-            pdf = pdf[[n not in seen for n in pdf["node"]]]
-            if not len(pdf):
-                continue
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(pdf["node"])
-            yield pd.DataFrame({"key": np.concatenate(pdf["keys"].to_numpy()), "node": np.repeat(pdf["node"].to_numpy(), len(flags)), "own": np.tile(flags, len(pdf))})
+            raw = pdf[LINE].to_numpy().tobytes()
+            new = []
+            for k in range(0, len(raw), 16):
+                x = raw[k : k + 16]
+                if x not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(x)
+                    new.append(k // 16)
+            if new:
+                some = pdf.iloc[new]
+                yield pd.DataFrame({"key": np.concatenate(some["keys"].to_numpy()), **{c: np.repeat(some[c].to_numpy(), len(flags)) for c in LINE}, "own": np.tile(flags, len(some))})
 
     return spread
 
 
+MET = "key long, a long, a2 long, b long, b2 long"
+
+
+def _pairs(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({c.split()[0]: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(MET.split(", "))})
+
+
 def _met(frames):
-    """Rows (key, a, b): two lines that meet; (key, a, null): a line under a key of many."""
-    rest = None
-    for pdf in frames:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        k, n, o = (pdf[c].to_numpy() for c in ("key", "node", "own"))
-        if not len(k):
-            continue
-        edge = np.flatnonzero(k[1:] != k[:-1]) + 1
-        last = int(edge[-1]) if len(edge) else 0
-        rest = pdf.iloc[last:]
-        yield _meetings(k[:last], n[:last], o[:last])
-    if rest is not None:
-        yield _meetings(*(rest[c].to_numpy() for c in ("key", "node", "own")))
+    """Rows (key, a, b) of two lines that meet; b is null: a line under a key of many. A key's rows are held as far as HELD, what is more goes on at once."""
+    held: list[list[np.ndarray]] = []
+    key, size, flooded = None, 0, False
+
+    def many():
+        return _pairs([(int(k), int(n), int(t), None, None) for part in held for k, n, t in zip(*part[:3])])
 
+    def whole():
+        return _meetings(*map(np.concatenate, zip(*held)))
 
-def _meetings(k: np.ndarray, n: np.ndarray, o: np.ndarray) -> pd.DataFrame:
+    for pdf in frames:
+        cols = [pdf[c].to_numpy() for c in ("key", *LINE, "own")]
+        if not len(pdf):
+            continue
+        cut = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+        at = 0
+        if key is not None and key == cols[0][0]:
+            at = int(cut[0]) if len(cut) else len(pdf)
+            held.append([c[:at] for c in cols])
+            size += at
+            flooded = flooded or size > HELD
+            if flooded:
+                yield many()
+                held = []
+        if at < len(pdf):
+            if held:
+                yield whole()
+            last = int(cut[-1]) if len(cut) else 0
+            yield _meetings(*(c[at:last] for c in cols))
+            held, key, size, flooded = [[c[last:] for c in cols]], cols[0][-1], len(pdf) - last, False
+    if held:
+        yield whole()
+
+
+def _meetings(k: np.ndarray, n: np.ndarray, t: np.ndarray, o: np.ndarray) -> pd.DataFrame:
     rows: list[tuple] = []
     if len(k):
-        edge = np.flatnonzero(np.diff(k, prepend=k[0] - 1 if k[0] > -LAST else k[0] + 1))
+        edge = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
         size = np.diff(np.append(edge, len(k)))
         for a, s in zip(edge[size > 1].tolist(), size[size > 1].tolist()):
-            own = set(n[a : a + s][o[a : a + s]].tolist())
-            all_ = set(n[a : a + s].tolist())
-            if not own or len(all_) < 2:
+            each = list(zip(n[a : a + s].tolist(), t[a : a + s].tolist()))
+            all_ = set(each)
+            if len(all_) < 2:
+                continue
+            own = {x for x, mine in zip(each, o[a : a + s].tolist()) if mine}
+            if not own:
                 continue
             if len(own) * len(all_) <= FEW:
-                rows += {(int(k[a]), min(x, y), max(x, y)) for x in own for y in all_ if x != y}
+                rows += {(int(k[a]), *min(x, y), *max(x, y)) for x in own for y in all_ if x != y}
             else:
-                rows += [(int(k[a]), x, None) for x in all_]
-    return pd.DataFrame({"key": pd.Series([r[0] for r in rows], dtype="int64"), "a": pd.Series([r[1] for r in rows], dtype="int64"), "b": pd.array([r[2] for r in rows], "Int64")})
+                rows += [(int(k[a]), *x, None, None) for x in all_]
+    return _pairs(rows)
 
 
 def _close(frames):
     """The later line of each pair within MOST edits."""
     for pdf in frames:
         ok = edits(list(zip(pdf["x"], pdf["y"], strict=True))) <= MOST if len(pdf) else np.zeros(0, bool)
-        yield pd.DataFrame({"node": pdf.loc[ok, "b"].unique()})
+        yield pdf.loc[ok, LINE].drop_duplicates()
 
 
 def _block(frames):
@@ -182,7 +217,7 @@ def _block(frames):
         if len(g["node"]) < 2:
             continue
         order = np.lexsort((g["pos"], g["hash"], g["did"]))
-        text, n, own = g["line"][order], g["node"][order], g["own"][order]
+        text, n, twin, own = g["line"][order], g["node"][order], g["twin"][order], g["own"][order]
         length = np.array([len(t) for t in text])
         pairs = np.tril(_allowed(own, i, j)) & (np.abs(length[:, None] - length[None, :]) <= MOST)
         counts = np.zeros((len(n), 64), np.int32)
@@ -196,30 +231,30 @@ def _block(frames):
                 if len(c[a:b]) and (edits([(text[r], text[x]) for x in c[a:b]]) <= MOST).any():
                     later[r] = True
                     break
-        yield pd.DataFrame({"node": n[later]})
+        yield pd.DataFrame({"node": n[later], "twin": twin[later]})
 
 
 def later(lines: DataFrame, seen: DataFrame) -> DataFrame:
-    """(node): the lines that have another line within MOST edits of them whose first place (in seen) is earlier than theirs."""
+    """(node, twin): the lines that have another line within MOST edits of them whose first place (in seen) is earlier than theirs."""
     k, own = keys(F.col("line"), F.col("length"))
-    spread = lines.select("node", k.alias("keys")).mapInPandas(_spread(own), "key long, node long, own boolean")
-    met = written(spread.repartition("key").sortWithinPartitions("key").mapInPandas(_met, "key long, a long, b long"), "met")
-    pairs, many = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("key", F.col("a").alias("node"))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
+    spread = lines.select(*LINE, k.alias("keys")).mapInPandas(_spread(own), "key long, node long, twin long, own boolean")
+    met = written(spread.repartition("key").sortWithinPartitions("key").mapInPandas(_met, MET), "met")
+    pairs, many = met.where("b is not null").drop("key").distinct(), met.where("b is null").select("key", F.col("a").alias("node"), F.col("a2").alias("twin")).distinct()
+    nodes = pairs.select(F.col("a").alias("node"), F.col("a2").alias("twin")).union(pairs.select("b", "b2")).union(many.select(*LINE)).distinct()
     place = ["did", "hash", "pos"]
-    text = written(lines.select("node", "line", *place).join(seen.join(nodes, "node").select("node", *place), ["node", *place]).select("node", "line", *place).dropDuplicates(["node"]), "lines")
-    left, right = (text.select(F.col("node").alias(c), F.col("line").alias(t), F.struct(*place).alias(f"{c}_at")) for c, t in (("a", "x"), ("b", "y")))
-    met_at = pairs.join(left, "a").join(right, "b")
-    ordered = met_at.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("b"), "x", "y")
-    close = ordered.mapInPandas(_close, "node long")
+    text = written(lines.select(*LINE, "line", *place).join(seen.join(nodes, LINE).select(*LINE, *place), [*LINE, *place]).dropDuplicates(LINE).select(*LINE, "line", *place), "lines")
+    left, right = (text.select(F.col("node").alias(c), F.col("twin").alias(f"{c}2"), F.col("line").alias(t), F.struct(*place).alias(f"{c}_at")) for c, t in (("a", "x"), ("b", "y")))
+    met_at = pairs.join(left, ["a", "a2"]).join(right, ["b", "b2"])
+    second = F.col("a_at") < F.col("b_at")
+    close = met_at.select(*(F.when(second, F.col(b)).otherwise(F.col(a)).alias(c) for c, a, b in (("node", "a", "b"), ("twin", "a2", "b2"))), "x", "y").mapInPandas(_close, "node long, twin long")
     sized = many.join(many.groupBy("key").agg(F.count("*").alias("members")), "key")
-    blocks = _blocks(sized, "key", "members").join(text, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "own", "line", *place).mapInPandas(_block, "node long")
-    return close.union(blocks).distinct()
+    dealt = _blocks(sized, "members").join(text, LINE).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", *LINE, "own", "line", *place)
+    return close.union(dealt.mapInPandas(_block, "node long, twin long")).distinct()
 
 
 def firsts(lines: DataFrame) -> DataFrame:
     """The first occurrence of each line: least doc_id, then least position."""
-    return lines.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("did", "hash", "pos")).alias("at")).select("node", "n", "at.did", "at.hash", "at.pos")
+    return lines.groupBy(*LINE).agg(F.count("*").alias("n"), F.min(F.struct("did", "hash", "pos")).alias("at")).select(*LINE, "n", "at.did", "at.hash", "at.pos")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -231,9 +266,9 @@ def removed(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     seen = written(firsts(lines), "seen")
     near = later(lines.where(F.col("length") >= NEAR), seen).withColumn("near", F.lit(True))
-    of = seen.join(near, "node", "left").withColumn("near", F.coalesce("near", F.lit(False))).where("near or n > 1")
-    doubled = written(of.select("node", "near", F.struct("did", "hash", "pos").alias("first")), "doubled")
-    return lines.select("node", "did", "hash", "pos").join(doubled, "node").where(F.col("near") | (F.struct("did", "hash", "pos") != F.col("first"))).groupBy("did", "hash").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    of = seen.join(near, LINE, "left").withColumn("near", F.coalesce("near", F.lit(False))).where("near or n > 1")
+    doubled = written(of.select(*LINE, "near", F.struct("did", "hash", "pos").alias("first")), "doubled")
+    return lines.select(*LINE, "did", "hash", "pos").join(doubled, LINE).where(F.col("near") | (F.struct("did", "hash", "pos") != F.col("first"))).groupBy("did", "hash").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -242,7 +277,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Lines without a word are left alone if they have fewer than NEAR code points;
     of other lines below NEAR only exact repeats are removed. Null or empty text: one
     empty line. Rows of equal id and text have the same lines and so the same
-    result; null ids come last.
+    result; null ids come last. No rows: none.
     """
     rows = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("did", "hash", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     out = rows.join(removed(docs), ["did", "hash"], "left")
@@ -250,10 +285,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with its columns, each text without its removed lines; n_chars, where there is one, follows. A text may become empty; null stays null."""
-    keyed = _keyed(docs.select(F.struct("*").alias("_all"), "doc_id", "text")).select("_all", F.col("did").alias("_did"), F.col("hash").alias("_hash"))
-    gone = removed(docs).select(F.col("did").alias("_did"), F.col("hash").alias("_hash"), F.col("removed").alias("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.col("_all.text")).otherwise(F.array_join(F.filter(F.split("_all.text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n"))
-    out = keyed.join(gone, ["_did", "_hash"], "left").withColumn("_text", text)
-    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_removed").isNull(), F.col("_all.n_chars")).otherwise(F.char_length("_text")) if "n_chars" in docs.columns else None}
-    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_all")[c].alias(c) for c in docs.columns))
+    """docs with its columns, whatever their names, each text without its removed lines; n_chars, where there is one, follows. A text may become empty; null stays null. No rows: none."""
+    out = with_rows(docs).join(removed(docs), ["did", "hash"], "left")
+    row, whole = F.col("_row"), F.col("removed").isNull()
+    text = F.when(whole, row["text"]).otherwise(F.array_join(F.filter(F.split(row["text"].cast("string"), "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n"))
+    new = row.withField("text", text.cast(docs.schema["text"].dataType))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.when(whole, row["n_chars"]).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType))
+    return out.select(new.alias("_row")).select("_row.*")
