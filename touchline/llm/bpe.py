@@ -11,6 +11,8 @@ import hashlib
 import json
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -20,12 +22,14 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import quoted
+
 #: Fixed pattern of the byte-level pre-tokenizer.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Where a text may be cut at a space: never beside other white space.
 WHITE = re.compile(r" (?:\s|(?<=\s ))")
-#: Stretches, and fragments, that a worker remembers before it starts afresh.
-REMEMBERED = 350_000
+#: Stretches, and fragments, that a task remembers before it starts afresh.
+REMEMBERED = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,6 +67,10 @@ class ForcedBoundaryBPE:
         self.fragments: dict[bytes, list[int]] = {}
         self.units: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.fragments.clear()
+        self.units.clear()
+
     def cut(self, raw: bytes) -> list[bytes]:
         """Fragments between forced boundaries."""
         inside = self.inside
@@ -132,47 +140,60 @@ class ForcedBoundaryBPE:
 _CODECS: dict[str, ForcedBoundaryBPE] = {}
 
 
-def codec(path: str) -> ForcedBoundaryBPE:
-    """One a worker and vocabulary."""
+@contextmanager
+def codec(path: str) -> Iterator[ForcedBoundaryBPE]:
+    """One a worker and vocabulary. What it remembered of a task's texts is forgotten at the end, as the worker may go on to other work."""
     if path not in _CODECS:
         _CODECS[path] = ForcedBoundaryBPE(path)
-    return _CODECS[path]
+    try:
+        yield _CODECS[path]
+    finally:
+        _CODECS[path].forget()
 
 
 def round_trip(text: Column, path: str) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256, same) of each text; null counts as empty. same: decoding gives the text back."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        c, rows = codec(path), []
-        for t in texts:
-            t = t or ""
-            ids = c.encoded(t).tolist()
-            d, back = ",".join([c.decimal[i] for i in ids]), c.decode(ids)
-            rows.append((len(ids), hashlib.sha256(d.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest(), back == t))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "same"])
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with codec(path) as c:
+            for texts in batches:
+                rows = []
+                for t in texts:
+                    t = t or ""
+                    ids = c.encoded(t).tolist()
+                    d, back = ",".join([c.decimal[i] for i in ids]), c.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(d.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest(), back == t))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "same"])
 
     return both(text)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """docs with ids array<int> of each text; null or empty text: no ids."""
+    """docs, whatever its columns' names, with ids array<int> of each text, which replaces a column ids; null or empty text: no ids."""
 
     @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        c = codec(path)
-        return pd.Series([c.encoded(t).astype(np.int32) for t in texts], dtype=object)
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with codec(path) as c:
+            for texts in batches:
+                yield pd.Series([c.encoded(t).astype(np.int32) for t in texts], dtype=object)
 
-    return docs.withColumn("ids", ids(F.col("text").cast("string")))
+    return _beside(docs, ids(F.col("text").cast("string")).alias("ids"), {"ids": F.col("ids")})
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256. Null or empty text: no tokens, digests of the empty string."""
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256. Null or empty text: no tokens, digests of the empty string. Repeated or null doc_id: each row stands for itself. No rows: none."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), round_trip(F.col("text").cast("string"), path).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
+def _beside(docs: DataFrame, made: Column, columns: dict[str, Column]) -> DataFrame:
+    """docs' columns but those of the names of `columns`, and these, which are taken from the column `made`."""
+    keep = [c for c in docs.columns if c.lower() not in columns]
+    df = docs.select(F.struct(*(F.col(quoted(c)) for c in keep)).alias("_row"), made)
+    return df.select("_row.*", *(v.alias(k) for k, v in columns.items()))
+
+
 def with_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256; columns of these names are replaced."""
+    """docs, whatever its columns' names, with n_tokens, ids_sha256 and decoded_sha256; columns of these names are replaced. Null text: as empty. No rows: none."""
     own = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    keep = [c for c in docs.columns if c.lower() not in own]
-    return docs.select(*keep, round_trip(F.col("text").cast("string"), path).alias("_r")).select(*keep, *(F.col("_r")[c].alias(c) for c in own))
+    return _beside(docs, round_trip(F.col("text").cast("string"), path).alias("_made"), {c: F.col("_made")[c] for c in own})
