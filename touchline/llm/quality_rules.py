@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import words, written
+from .text import same_names, words, written
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 MARK = re.compile(r"[^\w\s]")
@@ -57,28 +57,29 @@ def measures(text: str | None) -> tuple:
     return (n, chars, symbols, sum(c - 1 for c in lines.values()), repeats, share(symbols, chars), share(len(UPPER.findall(text)), chars), share(len(MARK.findall(text)), chars), share(same, n), share(repeats, n))
 
 
-def _measure(frames):
-    for pdf in frames:
-        m = [measures(x) for x in pdf["text"]]
-        for i, c in enumerate((*COUNTS, *RULES)):
-            pdf[c] = pd.Series([x[i] for x in m], dtype="int64" if i < 5 else "float64")
-        yield pdf
+def measured(df: DataFrame) -> DataFrame:
+    """df (own names only) with the counts and scores of its text in its place."""
 
+    @F.pandas_udf(", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in RULES]))
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measures(x) for x in texts], columns=[*COUNTS, *RULES])
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` (text among them) and the counts and scores of each text."""
-    df = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{c}` long" for c in COUNTS) + "".join(f", `{c}` double" for c in RULES)
-    return df.mapInPandas(_measure, schema)
+    keep = [c for c in df.columns if c != "text"]
+    return df.select(*keep, measure("text").alias("_m")).select(*keep, "_m.*")
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial(n, p)."""
+    """P(X <= k) of a binomial(n, p), exactly: from k downwards until the terms no longer count."""
     if k >= n:
         return 1.0
-    i = np.arange(k + 1)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return float(min(1.0, np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total = math.exp(log)
+    while k > 0 and (k > n * p or log > math.log(max(total, 1e-300)) - 45):
+        j = np.arange(k, max(k - 4096, 0), -1)
+        logs = log + np.cumsum(np.log(j) - np.log(n - j + 1) + math.log1p(-p) - math.log(p))
+        total += float(np.exp(logs).sum())
+        k, log = k - len(j), float(logs[-1])
+    return min(1.0, total)
 
 
 def certified(hist: np.ndarray, risk: float, error: float) -> int | None:
@@ -115,22 +116,21 @@ def cutoffs(scored: DataFrame, stratum: str = "stratum", good: str = "good", ris
     return written(hist.groupBy("stratum").applyInPandas(choose, "stratum string" + "".join(f", cut_{r} double" for r in RULES)), "cutoffs")
 
 
-def judged(scored: DataFrame, cuts: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """scored with base_failed and kept."""
+def judged(scored: DataFrame, cuts: DataFrame) -> DataFrame:
+    """scored (with its stratum) with base_failed and kept."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     over: Column = F.lit(False)
     for r in RULES:
         over = over | F.coalesce((F.floor(F.col(r) * GRID) >= F.round(F.nanvl(f"cut_{r}", F.lit(9.0)) * GRID)), F.lit(False))
-    key = F.coalesce(F.col(stratum), F.lit(""))
-    out = scored.withColumn("_key", key).join(cuts.withColumnRenamed("stratum", "_key"), "_key", "left")
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~over).drop("_key", *(f"cut_{r}" for r in RULES))
+    out = scored.withColumn("stratum", F.coalesce("stratum", F.lit(""))).join(cuts, "stratum", "left")
+    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~over)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """Cutoffs of the labelled documents, strata by lang. A document with several labels is good only if all say so."""
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     some = docs.select("doc_id", "text", F.col("lang").cast("string").alias("stratum")).join(lab, "doc_id").repartition("doc_id")
-    return cutoffs(measured(some, ["text", "stratum", "good"]), risk=risk, error=error)
+    return cutoffs(measured(some.select("text", "stratum", "good")), risk=risk, error=error)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
@@ -140,13 +140,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error:
     Repeated or null doc_id: each row stands for itself. A stratum without enough
     labels has no cutoffs and rejects only what base_failed does.
     """
-    cuts = fitted(docs, labels, risk, error)
-    m = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("stratum")), ["doc_id", "text", "stratum"]).drop("text")
-    return judged(m, cuts).select("doc_id", *COUNTS, "base_failed", "kept")
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("stratum"))
+    return judged(measured(df), fitted(docs, labels, risk, error)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """The rows of docs, with its columns, that quality_rules keeps."""
-    cuts = fitted(docs, labels, risk, error)
-    m = measured(docs.withColumn("_stratum", F.col("lang").cast("string")), [*docs.columns, "_stratum"])
-    return judged(m, cuts, "_stratum").where("kept").select(*docs.columns)
+    """The rows of docs, with its columns, whatever their names, that quality_rules keeps: none of a null or empty text; repeated rows alike."""
+    df = same_names(docs, text=F.col("text").cast("string"), stratum=F.col("lang").cast("string"))
+    return judged(measured(df), fitted(docs, labels, risk, error)).where("kept").select("_row.*")
