@@ -7,29 +7,36 @@ neighbours; the block maxima rule out nearly all blocks of a passage, the
 others are searched by WAND. What is found counts if both the question and the
 answer overlap with the passage.
 
-The index is cut into shards of bounded size, one broadcast each; texts are
-passed by each shard in turn.
+The index is cut into shards of bounded size, by the items' length and a hash.
+Tasks build them and write them to the shared folder; a task that searches texts
+holds a few shards at a time and reads the others again for each batch of texts.
+The corpus is read once, however many items there are, and no index passes the
+driver.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import pieces, written
+from .text import fresh_dir, pieces, same_names, written
+from .token_files import read_all, write_file
 
 TERM = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 K1, B = 1.2, 0.75
-#: Items in a block and in a shard; a shard's broadcast is bounded by SHARD items.
-BLOCK, SHARD = 4, 1024
+#: Items in a block, and in a shard at most (but for chance: they are dealt by a hash); shards that a worker holds; least half of a passage, in words.
+BLOCK, SHARD, HELD, HALF = 4, 1024, 4, 64
 #: Least share of an item's own score; least share of a part's words in shared runs of RUN words.
 SCORE, OVERLAP, RUN = 0.6, 0.6, 3
 
@@ -60,7 +67,7 @@ def overlap(part: list[str], runs: dict[int, set]) -> float:
 
 
 class Shard:
-    """Postings of some items, with the corpus-wide weights."""
+    """Postings of some items (id, words, question, answer) of `half` words at most, with the weights of all items' words."""
 
     def __init__(self, items: list[tuple], weight: dict[str, float], mean: float, half: int):
         common = lambda x: tuple(sorted(set(x), key=lambda w: (weight[w], w))[:6])
@@ -152,54 +159,77 @@ class Shard:
         return [[(self.ids[i], *v) for i, v in sorted(x.items())] for x in found]
 
 
-def shards(items: DataFrame) -> list:
-    """The index of items (item_id, text), as broadcasts of SHARD items at most. Items without words are left out; null or repeated ids are kept."""
-    spark = items.sparkSession
+def _split(frames):
+    for pdf in frames:
+        rows = [(i, *parts(t or "")) for i, t in zip(pdf["item_id"], pdf["text"], strict=True)]
+        yield pd.DataFrame([r for r in rows if r[1] or r[2]], columns=["item_id", "question", "answer"])
 
-    def prepare(frames):
-        for pdf in frames:
-            rows = []
-            for i, t in zip(pdf["item_id"], pdf["text"], strict=True):
-                q, a = parts(t or "")
-                if q or a:
-                    rows.append((i, q, a))
-            yield pd.DataFrame(rows, columns=["item_id", "question", "answer"])
-
-    cut = written(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInPandas(prepare, "item_id string, question array<string>, answer array<string>"), "items")
-    own = cut.withColumn("w", F.concat("question", "answer"))
-    n, mean, longest = own.agg(F.count("*"), F.avg(F.size("w")), F.max(F.size("w"))).first()
-    if not n:
+
+def index(items: DataFrame) -> list[str]:
+    """Builds the shards of items (item_id, text) and returns their files. Items without words are left out; null or repeated ids are kept. No items: no files.
+
+    Items of a length class (64 words, 128, and so on) share passages of twice
+    that length, so that one long item doesn't lengthen all others' passages.
+    """
+    spark = items.sparkSession
+    cut = written(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInPandas(_split, "item_id string, question array<string>, answer array<string>").withColumn("row", F.monotonically_increasing_id()), "items")
+    own = cut.withColumn("w", F.concat("question", "answer")).withColumn("tier", F.ceil(F.log2(F.greatest(F.size("w"), F.lit(HALF)) / HALF)).cast("int"))
+    tiers = own.groupBy("tier").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).collect()  # a row for each doubling of the length
+    if not tiers:
         return []
-    df = own.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    count = -(-n // (SHARD // 2)) if n > SHARD else 1
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64("item_id", "w"), F.lit(count)))
-    out = []
-    for s in range(count):
-        mine = dealt.where(F.col("shard") == s).drop("shard")
-        rows = mine.collect()
-        known = mine.select(F.explode("w").alias("w")).distinct().join(df, "w").collect()
-        weight = {r["w"]: math.log1p((n - r["df"] + 0.5) / (r["df"] + 0.5)) for r in known}
-        out.append(spark.sparkContext.broadcast(Shard([(r["item_id"], r["w"], r["question"], r["answer"]) for r in rows], weight, mean, max(64, longest))))
-    return out
+    n = sum(r["n"] for r in tiers)
+    mean = sum(r["words"] for r in tiers) / n
+    each = own.select("row", F.explode(F.array_distinct("w")).alias("t"))
+    weight = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("row").agg(F.collect_list("t").alias("t"), F.collect_list(weight).alias("weight"))
+    of = F.element_at(F.create_map(*(F.lit(x) for r in tiers for x in (r["tier"], 1 if r["n"] <= SHARD else -(-2 * r["n"] // SHARD)))), F.col("tier"))
+    dealt = own.join(weights, "row").withColumn("shard", F.pmod(F.xxhash64("row"), of))
+    out = fresh_dir(spark, "index")
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        known = {t: v for ts, vs in zip(pdf["t"], pdf["weight"], strict=True) for t, v in zip(ts, vs, strict=True)}
+        rows = [(i, list(w), list(q), list(a)) for i, w, q, a in zip(pdf["item_id"], pdf["w"], pdf["question"], pdf["answer"], strict=True)]
+        file = f"{out}/shard-{uuid.uuid4().hex}"
+        write_file(file, pickle.dumps(Shard(rows, known, mean, HALF << int(key[0]))))
+        return pd.DataFrame({"file": [file]})
+
+    manifest = written(dealt.groupBy("tier", "shard").applyInPandas(build, "file string"), "index-manifest")
+    return sorted(r["file"] for r in manifest.collect())
+
+
+_SHARDS: OrderedDict[str, Shard] = OrderedDict()
+
+
+def shard(file: str) -> Shard:
+    """A shard, one of the last HELD that the worker used or read again."""
+    if file not in _SHARDS:
+        while len(_SHARDS) >= HELD:
+            _SHARDS.popitem(last=False)
+        _SHARDS[file] = pickle.loads(read_all(file))
+    _SHARDS.move_to_end(file)
+    return _SHARDS[file]
 
 
 FOUND = "array<struct<item_id:string, score:double, question_overlap:double, answer_overlap:double>>"
 
 
-def searched(docs: DataFrame, shard) -> DataFrame:
-    """docs with _leaks: what the shard has of each text."""
+def searched(text: Column, files: list[str]) -> Column:
+    """What the index has of each text, as FOUND; null or empty text: nothing."""
     names = ["item_id", "score", "question_overlap", "answer_overlap"]
 
-    def search(frames):
-        for pdf in frames:
-            texts = [terms(t) for t in pdf["text"]]
-            out: list = []
-            for a, b in pieces([len(t) for t in texts], 60_000):
-                out += shard.value.search(texts[a:b])
-            yield pdf.assign(_leaks=pd.Series([[dict(zip(names, x, strict=True)) for x in r] for r in out], dtype=object, index=pdf.index))
+    @F.pandas_udf(FOUND)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts = [terms(t) for t in batch]
+            out: list = [[] for _ in texts]
+            for file in files:
+                s = shard(file)
+                for a, b in pieces([len(t) for t in texts], 60_000):
+                    for k, found in enumerate(s.search(texts[a:b]), a):
+                        out[k] += [dict(zip(names, x, strict=True)) for x in found]
+            yield pd.Series(out, dtype=object)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(search, f"{schema}, _leaks {FOUND}")
+    return search(text.cast("string"))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -207,20 +237,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Null or empty text, and items without words: no rows. Repeated rows repeat. No items: no rows.
     """
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = items.schema["item_id"].dataType
-    out = None
-    for s in shards(items):
-        one = searched(df, s).select("doc_id", F.explode("_leaks").alias("x")).select("doc_id", F.col("x.item_id").cast(kind).alias("item_id"), "x.score", "x.question_overlap", "x.answer_overlap")
-        out = one if out is None else out.union(one)
-    if out is None:
-        return df.where("false").select("doc_id", F.lit(None).cast(kind).alias("item_id"), *(F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
-    return out
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), searched(F.col("text"), index(items)).alias("x")).select("doc_id", F.explode("x").alias("x"))
+    return found.select("doc_id", F.col("x.item_id").cast(items.schema["item_id"].dataType).alias("item_id"), "x.score", "x.question_overlap", "x.answer_overlap")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, with its columns, that hold no item."""
-    out = docs
-    for s in shards(items):
-        out = searched(out, s).where(F.size("_leaks") == 0).drop("_leaks")
-    return out
+    """The rows of docs, with its columns, whatever their names, that hold no item. Null or empty text holds none; repeated rows repeat; no items: all rows."""
+    return same_names(docs, leaks=searched(F.col("text"), index(items))).where(F.size("leaks") == 0).select("_row.*")
