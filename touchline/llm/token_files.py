@@ -54,37 +54,42 @@ class CachedTokenizer:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, stretches: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each stretch and its ids. Those that start with their only space are encoded as one text, and its ids dealt by the bytes they stand for."""
-        chain = [s for s in stretches if CHAINED.match(s)]
-        rest = [s for s in stretches if not CHAINED.match(s)]
-        yield from zip(rest, self._library(rest), strict=True)
+    def _each(self, stretches: list[str]) -> dict[str, bytes]:
+        """Each stretch's ids. Those that start with their only space are encoded as one text, and its ids dealt by the bytes they stand for."""
+        chained = list(map(CHAINED.match, stretches))
+        rest = [s for s, m in zip(stretches, chained, strict=True) if not m]
+        out = dict(zip(rest, self._library(rest), strict=True))
+        chain = [s for s, m in zip(stretches, chained, strict=True) if m] if rest else stretches
         for k in range(0, len(chain), 4096):
             some = chain[k : k + 4096]
             raw = self._library(["".join(some)])[0]
-            ends = np.cumsum([len(s.encode()) for s in some])
-            at = np.searchsorted(np.cumsum(self.length[np.frombuffer(raw, "<u4")]), ends) + 1
-            a = 0
-            for s, b in zip(some, (4 * at).tolist(), strict=True):
-                yield s, raw[a:b]
-                a = b
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)))
+            at = 4 * np.searchsorted(np.cumsum(self.length[np.frombuffer(raw, "<u4")]), ends) + 4
+            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *at[:-1].tolist()], at.tolist())), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, whole, split, new = self.known, {}, {}, {}
+        known, out, whole, waiting, new = self.known, [b""] * len(texts), {}, [], {}
         for i, t in enumerate(texts):
             if "\0" in t or WHITE.search(t) or any(s in t for s in self.special):
                 whole[i] = t
                 continue
             parts = t.replace(" ", "\0 ").split("\0")
-            split[i] = parts
-            new.update((p, None) for p in parts if p not in known)
+            found = list(map(known.get, parts))
+            if None in found:
+                waiting.append((i, parts, found))
+                new.update((p, None) for p, x in zip(parts, found, strict=True) if x is None)
+            else:
+                out[i] = b"".join(found)
+        new.update(self._each(list(new)))
+        for i, parts, found in waiting:
+            out[i] = b"".join([new[p] if x is None else x for p, x in zip(parts, found, strict=True)])
+        for i, raw in zip(whole, self._library(list(whole.values())), strict=True):
+            out[i] = raw
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new.update((p, None) for parts in split.values() for p in parts)
-        known.update(self._each(list(new)))
-        out = dict(zip(whole, self._library(list(whole.values())), strict=True))
-        out |= {i: b"".join(map(known.__getitem__, parts)) for i, parts in split.items()}
-        return [out[i] for i in range(len(texts))]
+        known.update(new)
+        return out
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
@@ -108,12 +113,18 @@ def read_all(uri: str) -> bytes:
 
 
 def dictionary(docs: DataFrame, path: str, end_id: int, samples: int, most_bytes: int, size: int) -> bytes:
-    """A dictionary trained on `samples` documents (of at most `most_bytes` of text; the least hashes of id and text) at most; empty if there are too few."""
-    some = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= most_bytes)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(samples)
+    """A dictionary trained on a sample of bounded size: of `samples` documents at most (the least hashes of id and text) the serialized ids, of longer ones a stretch of `most_bytes` at a place told by the hash. Empty if there are too few."""
+    some = docs.where(F.octet_length("text") > 0).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(samples)
 
     def serialized(frames):
+        t = tokenizer(path)
         for pdf in frames:
-            yield pd.DataFrame({"ids": [x + np.uint32(end_id).tobytes() for x in tokenizer(path).encode(list(pdf["text"]))]})
+            rows = []
+            for text, h in zip(pdf["text"], pdf["h"], strict=True):
+                raw = t.encode([text])[0] + np.uint32(end_id).tobytes()
+                at = 4 * (int(h) % (max(0, len(raw) - most_bytes) // 4 + 1))
+                rows.append(raw[at : at + most_bytes])
+            yield pd.DataFrame({"ids": rows})
 
     data = [bytes(r.ids) for r in some.mapInPandas(serialized, "ids binary").collect()]
     try:
@@ -122,12 +133,13 @@ def dictionary(docs: DataFrame, path: str, end_id: int, samples: int, most_bytes
         return b""
 
 
-def write(docs: DataFrame, path: str, out: str, end_id: int = 2, files: int | None = None, samples: int = 1000, most_bytes: int = 16384, size: int = 65536, level: int = 3) -> None:
+def write(docs: DataFrame, path: str, out: str, end_id: int = 2, file_bytes: int = 32 << 20, samples: int = 1000, most_bytes: int = 16384, size: int = 65536, level: int = 3) -> None:
     """Encodes all texts (null: empty), appends end_id, and writes the files to the folder `out` in ascending order of doc_id.
 
     Documents are dealt by ranges of doc_id (null first; equal ids by text), a
-    file a range; tasks hold one document's ids and one file at a time. A task that
-    runs again writes under a new name; the manifest names the one that counts.
+    file a range of about file_bytes of text; tasks hold one batch of texts and one
+    file's index at a time. A task that runs again writes under a new name; the
+    manifest names the one that counts.
     """
     spark = docs.sparkSession
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -135,13 +147,13 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, files: int | No
     digest = hashlib.sha256(shared).digest()
     write_file(f"{out}/dictionary", shared)
     end = np.uint32(end_id).tobytes()
-    n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def save(frames):
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(read_all(f"{out}/dictionary")) if shared else None)
         name, index, total, first = f"part-{uuid.uuid4().hex}.tkz", [], 0, None
         store, base = opened(out)
-        f = None
+        f, t = None, tokenizer(path)
         for pdf in frames:
             if not len(pdf):
                 continue
@@ -151,7 +163,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, files: int | No
                 at, first = HEAD, None if pd.isna(pdf["doc_id"].iloc[0]) else int(pdf["doc_id"].iloc[0])
             ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
             for k in range(0, len(ids), 512):
-                for i, raw in zip(ids[k : k + 512], tokenizer(path).encode(list(pdf["text"].iloc[k : k + 512])), strict=True):
+                for i, raw in zip(ids[k : k + 512], t.encode(list(pdf["text"].iloc[k : k + 512])), strict=True):
                     raw += end
                     frame = packer.compress(raw)
                     f.write(frame)
@@ -163,7 +175,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, files: int | No
             f.close()
             yield pd.DataFrame({"first": pd.array([first], dtype="Int64"), "file": [name], "docs": [len(index)], "tokens": [total]})
 
-    ranged = df.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = df.repartitionByRange(max(1, -(-total // file_bytes)), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ranged.mapInPandas(save, "first long, file string, docs long, tokens long").withColumn("part", F.spark_partition_id()).write.parquet(f"{out}/manifest")
 
 
@@ -198,6 +210,11 @@ class TokenFile:
         _, at, length, n = self.index[k].tolist()
         return np.frombuffer(self.unpack.decompress(self.f.read_at(length, at), max_output_size=4 * n), "<u4")
 
+    def find(self, doc_id: int) -> list[np.ndarray]:
+        """The ids of every document of this id in the file, by its sorted index."""
+        a, b = np.searchsorted(self.index[:, 0], [doc_id, doc_id + 1]).tolist()
+        return [self.ids(k) for k in range(a, b)]
+
     def close(self) -> None:
         self.f.close()
 
@@ -224,6 +241,18 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     return names.mapInPandas(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of the documents of one id: the manifest tells the file, its index the frames. None: an empty list."""
+    m = spark.read.parquet(f"{out}/manifest").select("first", "file", "part")
+    least = m.where((F.col("first") < doc_id) | F.col("first").isNull()).agg(F.max("part")).first()[0]
+    found = []
+    for r in m.where((F.col("part") >= (0 if least is None else least)) & (F.col("first").isNull() | (F.col("first") <= doc_id))).orderBy("part").collect():
+        f = TokenFile(out, r["file"])
+        found += f.find(doc_id)
+        f.close()
+    return found
+
+
 def token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Writes docs to files in the shared folder and returns what `read` finds there; null or empty text: the end id alone, no rows: none."""
     out = fresh_dir(docs.sparkSession, "tokens")
