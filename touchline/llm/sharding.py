@@ -4,13 +4,16 @@ Every append adds small shards. Compaction takes runs of similar size (the same
 tier: sizes within a factor of `fan`), once `fan` of them are there, and merges
 them into files of about the target size, without a shuffle. Each change is a new
 manifest, a JSON file named by its version; whoever creates it first has the
-version, others begin again from it. Readers see one manifest's files.
+version, others begin again from it. Readers see one manifest's files. A run is
+announced before its data is written and until it is committed, so that vacuum
+leaves it alone.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,17 +78,39 @@ class ShardedTable:
                 return False
             raise
 
+    def _announced(self) -> dict[str, float]:
+        """Names of the runs that are written and not yet committed, and when they were announced."""
+        p = self._path(f"{self.path}/pending")
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in self._fs.listStatus(p)} if self._fs.exists(p) else {}
+
     def _run(self, df: DataFrame) -> dict:
         name = uuid.uuid4().hex
+        self._fs.create(self._path(f"{self.path}/pending/{name}"), False).close()
         df.write.parquet(f"{self.path}/data/{name}")
         files = [(f, n) for f, n in self._list(f"{self.path}/data/{name}") if f.endswith(".parquet")]
         return {"name": name, "bytes": sum(n for _, n in files), "files": [f for f, _ in files], "sizes": [n for _, n in files]}
 
+    def _settled(self, run: dict) -> None:
+        self._fs.delete(self._path(f"{self.path}/pending/{run['name']}"), False)
+
+    @staticmethod
+    def _columns(schema: str) -> list[tuple]:
+        return [(f["name"], json.dumps(f["type"])) for f in json.loads(schema)["fields"]]
+
     def append(self, df: DataFrame) -> int:
-        """Adds df's rows as new shards and returns the version that has them. No rows: a run of empty files."""
-        run = self._run(df)
+        """Adds df's rows, nulls and repeats as they are, as new shards and returns the version that has them. No rows: a run of empty files. Columns of other names, order or types than the table's: ValueError, nothing is added."""
         schema = df.schema.json()
-        return self._commit(self.manifest(), lambda m: {"schema": m["schema"] or schema, "runs": [*m["runs"], run]})
+
+        def same(m: dict) -> dict:
+            if m["schema"] and self._columns(m["schema"]) != self._columns(schema):
+                raise ValueError(f"{self.path} has the columns {self._columns(m['schema'])}, not {self._columns(schema)}")
+            return m
+
+        same(self.manifest())
+        run = self._run(df)
+        version = self._commit(self.manifest(), lambda m: {"schema": same(m)["schema"] or schema, "runs": [*m["runs"], run]})
+        self._settled(run)
+        return version
 
     def tier(self, run: dict) -> int:
         """By the mean size of its files: 0 below target / fan**3, and so on; the last are target-sized and stay."""
@@ -112,13 +137,23 @@ class ShardedTable:
                 return {"schema": m["schema"], "runs": [r for r in m["runs"] if r["name"] not in names] + [merged]}
 
             self._commit(seen, change)
+            self._settled(merged)
+
+    def vacuum(self, abandoned_after: float = 7 * 86400.0) -> None:
+        """Deletes the shards that the last version doesn't name, but for those that another writer has announced in the last abandoned_after seconds. Not while older versions are read.
 
-    def vacuum(self) -> None:
-        """Deletes the shards that the last version doesn't name. Not while older versions are read."""
+        The data are listed first and the manifest is read last: what is committed in
+        between was announced when the announcements were read, or is in the manifest.
+        """
+        there = [name for name, _ in self._list(f"{self.path}/data")]
+        announced = self._announced()
         live = {r["name"] for r in self.manifest()["runs"]}
-        for name, _ in self._list(f"{self.path}/data"):
-            if name not in live:
+        old = {n for n, t in announced.items() if t < time.time() - abandoned_after}
+        for name in there:
+            if name not in live and (name not in announced or name in old):
                 self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
+        for name in old:
+            self._fs.delete(self._path(f"{self.path}/pending/{name}"), False)
 
     def _read(self, runs: list[dict], schema: str) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -128,7 +163,7 @@ class ShardedTable:
         return self.spark.read.schema(kind).parquet(*files) if files else self.spark.createDataFrame([], kind)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, the last if none is given; the schema of the first append."""
+        """The rows of a version, nulls and repeats as they were appended; the last version if none is given; the schema of the first append."""
         m = self.manifest(version)
         if not m["version"]:
             raise ValueError(f"{self.path}: nothing was committed")
@@ -141,7 +176,7 @@ def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
 
 
 def sharded(docs: DataFrame, n: int = 4, target_bytes: int = 128 << 20) -> ShardedTable:
-    """docs appended in n arrivals to a new table in the shared folder, compacted and vacuumed."""
+    """docs appended in n arrivals to a new table in the shared folder, compacted and vacuumed. All rows, nulls and repeats as they are, whatever the columns; no rows: a table without rows."""
     t = ShardedTable(docs.sparkSession, fresh_dir(docs.sparkSession, "shards"), target_bytes)
     for a in arrivals(docs, n):
         t.append(a)
