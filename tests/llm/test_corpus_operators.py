@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import crf, decontaminate, hmm, jaccard, line_dedup, sharding
+import public_tokenizers
+
+from touchline.llm import bpe, crf, decontaminate, hmm, jaccard, line_dedup, quality_rules, secret_scan, sharding
 from touchline.llm.text import components, crc_mod
 
 R = random.Random(5)
@@ -105,10 +107,47 @@ def test_jaccard_large_group_goes_by_blocks(spark, monkeypatch):
     assert jaccard.jaccard_join(docs.limit(0)).count() == 0
 
 
-def test_depth_meets_the_target():
-    k = jaccard.depth(0.8)
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
-    assert jaccard.depth(0.1) == 1
+def test_recall_is_estimated_from_what_was_found():
+    none = np.zeros(81)
+    for d in range(1, 6):
+        assert jaccard.recall(none, 0.8, d) == pytest.approx(1 - (1 - 0.8**d) ** jaccard.TREES)
+    copies, edge = none.copy(), none.copy()
+    copies[80], edge[64] = 1e6, 1e6
+    assert jaccard.recall(copies, 0.8, 5) >= jaccard.TARGET > jaccard.recall(edge, 0.8, 5)
+    assert jaccard.recall(edge, 0.8, 5) == pytest.approx(1 - (1 - 0.8**5) ** jaccard.TREES, abs=1e-5)
+
+
+def test_paths_climb_to_the_prefix_they_share():
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    rows = sorted((int(r.integers(3)), tuple(r.integers(0, 3, jaccard.DEEPEST).tolist()), i) for i in range(300))
+    pdf = pd.DataFrame({"tree": [x[0] for x in rows], "path": [np.array(x[1], ">u4").tobytes() for x in rows], "node": [x[2] for x in rows]})
+    got = {x.node: x.common for k in (1, 7, 300) for f in [jaccard._climbed([pdf.iloc[i : i + k] for i in range(0, 300, k)])] for x in pd.concat(list(f)).itertuples()}
+    for i, (t, path, n) in enumerate(rows):
+        near = [next((k for k in range(jaccard.DEEPEST) if rows[j][1][k] != path[k]), jaccard.DEEPEST) if rows[j][0] == t else 0 for j in (i - 1, i + 1) if 0 <= j < 300]
+        assert got.get(n, 0) == (jaccard.DEEPEST if i in (0, 299) else max(near))
+
+
+@pytest.mark.parametrize("target", [0.9999, 0.0])
+def test_prefixes_are_shortened_until_the_target(spark, target, monkeypatch):
+    """With a low target the deepest prefix is enough; else the walk goes on, and nearly all pairs meet."""
+    import pandas as pd
+
+    depths = []
+    monkeypatch.setattr(jaccard, "_rough", lambda d, s, f=jaccard._rough: depths.append(d) or f(d, s))
+    r = np.random.default_rng(9)
+    sets = {}
+    for k in range(60):
+        base = r.integers(0, 1 << 62, 200).astype(np.uint64)
+        for j in range(2):  # 178 / 222 = 0.802
+            sets[2 * k + j] = np.unique(np.concatenate([base[:178], r.integers(0, 1 << 62, 22).astype(np.uint64)]))
+    g = {n: jaccard.signature(s) for n, s in sets.items()}
+    rows = [(n, (x & np.uint64(255)).astype(np.uint8).tobytes(), [x.astype(">u4").tobytes()[k : k + 20] for k in range(0, 320, 20)]) for n, x in g.items()]
+    nodes = spark.createDataFrame(pd.DataFrame(rows, columns=["node", "sig", "paths"]), "node long, sig binary, paths array<binary>")
+    met = {(min(x.a, x.b), max(x.a, x.b)) for x in jaccard.candidates(nodes, 0.8, target).collect()}
+    assert depths == ([5] if not target else [5, 4])
+    assert met <= {(2 * k, 2 * k + 1) for k in range(60)} and len(met) >= (45 if not target else 58)
 
 
 def distance(a, b):
@@ -220,7 +259,7 @@ def test_wand_is_exact(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD", 16)
     items = [" ".join(prose(20)) for _ in range(40)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    shards = [b.value for b in decontaminate.shards(bench)]
+    shards = [decontaminate.shard(f) for f in decontaminate.index(bench)]
     assert len(shards) > 1 and sorted(int(i) for s in shards for i in s.ids) == list(range(40))
     df = Counter(w for t in items for w in set(t.split()))
     mean = sum(len(t.split()) for t in items) / 40
@@ -237,6 +276,68 @@ def test_wand_is_exact(spark, monkeypatch):
         assert got == want
 
 
+def test_long_texts_and_items(spark):
+    """A long item has passages of its own length; a text of very many words is searched whole."""
+    long, short = " ".join(prose(300)) + ". " + " ".join(prose(40)) + ".", " ".join(prose(25)) + ". " + " ".join(prose(8)) + "."
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    assert sorted(decontaminate.shard(f).half for f in decontaminate.index(bench)) == [64, 512]
+    filler = " ".join(prose(60_000))
+    docs = frame(spark, [(1, filler + " " + long), (2, short + " " + filler), (3, filler), (4, " ".join(prose(70)) + " " + short)])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 1), (2, 2), (4, 2)}
+
+
+def test_names_that_clash(spark):
+    """Columns of any name stay as they are, in operators that give the documents back."""
+    names = ["n_words", "symbols", "kept", "_leaks", "leaks", "_r", "a.b", "_row", "_m", "stratum", "cut_upper", "removed", "hash", "did", "node", "share", "c`d"]
+    item = " ".join(prose(20)) + ". " + " ".join(prose(9)) + "."
+    rows = [(i, " ".join(prose(80)), "en", None, *([i] * len(names))) for i in range(6)] + [(7, " ".join(prose(70)) + " " + item, None, None, *([7] * len(names))), (8, None, None, None, *([None] * len(names)))]
+    schema = ", ".join(["doc_id long", "text string", "lang string", "n_chars long"] + ["`" + n.replace("`", "``") + "` int" for n in names])
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out, ids in (
+        (quality_rules.keep_good(docs, labels), {0, 1, 2, 3, 4, 5, 7}),
+        (line_dedup.without_repeats(docs), {0, 1, 2, 3, 4, 5, 7, 8}),
+        (jaccard.first_of_each(docs), {0, 1, 2, 3, 4, 5, 7, 8}),
+        (decontaminate.without_leaks(docs, bench), {0, 1, 2, 3, 4, 5, 8}),
+        (bpe.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")), {0, 1, 2, 3, 4, 5, 7, 8}),
+    ):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = out.collect()
+        assert {r.doc_id for r in got} == ids and all(r["a.b"] == r["c`d"] == (None if r.doc_id == 8 else r.doc_id) for r in got)
+
+
+def test_no_documents(spark):
+    docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    bench = spark.createDataFrame([(1, "what is it. this and that")], "item_id long, text string")
+    for out in (decontaminate.leaks(docs, bench), decontaminate.without_leaks(docs, bench), quality_rules.quality_rules(docs, labels), quality_rules.keep_good(docs, labels), crf.quality(docs, labels, crc_mod("doc_id", 5) == 0), hmm.score(docs, crc_mod("doc_id", 10) == 0), bpe.bpe_digest(docs, path), bpe.with_tokens(docs, path), secret_scan.secrets(docs)):
+        assert out.count() == 0
+
+
+def test_vacuum_spares_what_is_being_written(spark, tmp_path):
+    t = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    t.append(frame(spark, [(1, "a")]))
+    run = t._run(frame(spark, [(2, "b")]))  # written, not yet committed
+    t.vacuum()
+    t._commit(t.manifest(), lambda m: {"schema": m["schema"], "runs": [*m["runs"], run]})
+    t._settled(run)
+    assert {r.doc_id for r in t.read().collect()} == {1, 2}
+    lost = t._run(frame(spark, [(3, "c")]))
+    t.vacuum(abandoned_after=-60)
+    assert lost["name"] not in dict(t._list(f"{t.path}/data")) and t.read().count() == 2
+
+
+def test_other_columns_are_refused(spark, tmp_path):
+    t = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    t.append(frame(spark, [(1, "a")]))
+    with pytest.raises(ValueError):
+        t.append(frame(spark, [(1, "a")]).withColumn("more", F.lit(1)))
+    with pytest.raises(ValueError):
+        t.append(frame(spark, [(1, "a")]).withColumn("doc_id", F.col("doc_id").cast("int")))
+    assert t.read().count() == 1
+
+
 def test_sharding(spark, tmp_path):
     docs = frame(spark, [(i, f"t{i}") for i in range(500)] + [(None, None), (3, "t3")])
     t = sharding.ShardedTable(spark, str(tmp_path / "t"), target_bytes=20_000, fan=3)
@@ -289,12 +390,78 @@ def test_forward_equals_enumeration_and_training_helps():
             p = (p @ m.move) * m.emit[x]
         assert got == pytest.approx(math.log10(p.sum()))
     start, move, emit = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros_like(m.emit)
-    before = m.expected(seqs, np.ones(4, bool), start, move, emit)
+    before = m.expected(seqs, start, move, emit)
     assert start.sum() == pytest.approx(4) and move.sum() == pytest.approx(8) and emit.sum() == pytest.approx(12, rel=1e-5)
     m.start, m.move, m.emit = start / start.sum(), (move + 1e-12) / (move + 1e-12).sum(1)[:, None], (emit + 1e-12) / (emit + 1e-12).sum(0)
     assert m.forward(seqs).sum() >= before
 
 
+def test_stretches_give_the_counts_of_whole_sequences(monkeypatch):
+    """Against the plain recursion over every sequence, one after the other, whatever the length of the stretches."""
+    r = np.random.default_rng(8)
+    k = hmm.STATES
+    m = hmm.HMM(r.dirichlet(np.ones(20)))
+    m.move, m.start = r.dirichlet(np.ones(k), k), r.dirichlet(np.ones(k))
+    seqs = [r.integers(0, 20, n).astype(np.uint16) for n in (1, 2, 7, 8, 9, 40, 3, 65)]
+    start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit), 0.0
+    for s in seqs:
+        a = [m.start * m.emit[s[0]]]
+        for x in s[1:]:
+            a.append((a[-1] @ m.move) * m.emit[x])
+        b = [np.ones(k)]
+        for x in s[:0:-1]:
+            b.insert(0, m.move @ (m.emit[x] * b[0]))
+        p = a[-1].sum()
+        log += math.log10(p)
+        start += a[0] * b[0] / p
+        for t, x in enumerate(s):
+            emit[x] += a[t] * b[t] / p
+            if t:
+                move += a[t - 1][:, None] * m.move * (m.emit[x] * b[t])[None, :] / p
+    for stretch, batch in ((512, 1_000_000), (8, 1_000_000), (8, 16), (1, 5), (3, 10)):
+        monkeypatch.setattr(hmm, "STRETCH", stretch)
+        monkeypatch.setattr(hmm, "BATCH", batch)
+        got = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
+        assert m.expected(seqs, *got) == pytest.approx(log)
+        for x, y in zip(got, (start, move, emit), strict=True):
+            assert np.abs(x - y).max() < 1e-4
+
+
+def test_hmm_scores_by_the_plain_recursion(spark, monkeypatch):
+    """The query's score: for every text the forward recursion over its words, each word's chance worked out from the counts."""
+    import zlib
+
+    most, models = 40, []
+    monkeypatch.setattr(hmm, "trained", lambda *a, f=hmm.trained: models.append(f(*a)) or models[-1])
+    texts = [(i, " ".join(VOCAB[int(R.expovariate(0.01)) % 300] for _ in range(R.randrange(1, 50)))) for i in range(80)] + [(500, None), (501, "unseen Words here and here"), (None, "A b")]
+    got = {r.doc_id: r.score for r in hmm.score(frame(spark, texts), crc_mod("doc_id", 10) == 0, own=most, frequent=90).collect()}
+    toks = lambda t: [w.lower().encode() for w in (t or "").split()]
+    train = [toks(t) for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    count = Counter(w for ws in train for w in ws)
+    ranked = sorted(count, key=lambda w: (-count[w], w))
+    assert len(ranked) > 100
+    own = {w: i for i, w in enumerate(ranked[:most])}
+    size, kinds = Counter(), Counter()
+    for w in ranked[most:]:
+        size[hmm.word_class(w)] += count[w]
+        kinds[hmm.word_class(w)] += 1
+    m = models[0]
+    for i, t in texts:
+        p, log = m.start, 0.0
+        for w in [*toks(t), None]:
+            if w is None:
+                e = m.emit[most + hmm.CLASSES]
+            elif w in own:
+                e = m.emit[own[w]]
+            else:
+                c = hmm.word_class(w)
+                e = m.emit[most + c] * (count[w] + hmm.ALPHA) / (size[c] + hmm.ALPHA * (kinds[c] + 1))
+            p = p * e
+            log += math.log10(p.sum())
+            p = p / p.sum() @ m.move
+        assert got[i] == pytest.approx(log), i
+
+
 def test_frequent_words_and_classes_make_a_distribution():
     import pandas as pd
 
@@ -327,6 +494,16 @@ def test_crf_marginals_and_quality(spark):
     assert len(got) == len(rows) and all(0 <= g.score <= 1 for g in got)
     held = [g for g in got if g.held_out and g.doc_id is not None and g.doc_id < 300]
     assert held and all(g.predicted == g.doc_id % 2 for g in held)
+    model = crf.fitted(docs, labels, crc_mod("doc_id", 5) == 0)
+    texts = dict(rows)
+    for g in got:
+        x, size = crf.lines(texts[g.doc_id])
+        x = crf.features(x)
+        z, total, good = x @ model.emit, 0.0, np.zeros(len(x))
+        for y in np.ndindex(*[2] * len(x)):
+            w = math.exp(sum(z[k] * (v - 0.5) for k, v in enumerate(y)) + sum(model.move[u, v] for u, v in zip(y, y[1:])))
+            total, good = total + w, good + w * np.array(y)
+        assert g.score == pytest.approx(float((good / total * size).sum() / size.sum()), abs=1e-6)
     alone = crf.quality(docs, labels.limit(0), crc_mod("doc_id", 5) == 0).collect()
     assert {g.predicted for g in alone} == {1}
 

@@ -78,6 +78,28 @@ def test_values_of_two_owners_or_repositories_are_live(spark):
     assert [got[i] for i in (5, 6, 7)] == [(0, 1, "", "")] * 3 and got[8] == (0, 0, "assign:0:22", "1")
 
 
+def test_spans_and_classes_by_brute_force(spark):
+    """Every candidate's owners and repositories counted in plain loops."""
+    r = random.Random(6)
+    values = ["".join(r.choice("abcXYZ0123456789") for _ in range(r.randrange(12, 30))) for _ in range(12)] + ["a" * 14, "0" * 20]
+    rows = [(i, " ".join(r.choice(["token=", "password: ", "", "say ", "AKIA"]) + r.choice(values) for _ in range(r.randrange(6))), f"s{r.randrange(4)}", r.choice(["en", "de", None])) for i in range(60)] + [(None, None, None, None)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = [secret_scan.found(x[1]) for x in rows]
+    owners, repos = {}, {}
+    for (_, _, s, lang), cs in zip(rows, found, strict=True):
+        for *_, v in cs:
+            owners.setdefault(v, set()).add(s or "")
+            repos.setdefault(v, set()).add((s or "", lang or ""))
+    want = []
+    for (i, *_), cs in zip(rows, found, strict=True):
+        live = [c for c in cs if len(owners[c[3]]) < 3 and secret_scan.entropy(c[3]) >= 3]
+        shown = [c for c in cs if c[1] < 3 or c in live]
+        want.append((i is not None, i or 0, len(live), sum(len(owners[c[3]]) >= 3 for c in cs), ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b, _ in shown), ",".join(str(len(repos[c[3]])) for c in shown)))
+    assert any(x[2] for x in want) and any(x[3] for x in want)
+    assert by_id(secret_scan.secrets(docs, repo="lang"), "n_live", "n_copied", "spans", "repos") == sorted(want)
+
+
 def quality_brute(t):
     ws = re.findall(r"[^ \t\n\x0b\x0c\r]+", t)
     grams = Counter(zip(ws, ws[1:], ws[2:]))
@@ -110,6 +132,49 @@ def test_cutoffs_are_exact_and_safe(spark):
     assert good
 
 
+def test_kept_by_brute_force(spark):
+    """Cutoffs by direct sums of binomials and plain loops over the labelled documents, and what they reject."""
+    from math import comb
+
+    r = random.Random(12)
+    rows = []
+    for i in range(2400):
+        noise = r.choice([0, 0, 0, 0.02, 0.1, 0.4]) if i % 9 else 0.6
+        rows.append((i, " ".join(f"w{r.randrange(900)}" + ("#" if r.random() < noise else "") + ("A" if r.random() < noise / 2 else "") for _ in range(60)), r.choice(["en", "de"])))
+    docs = spark.createDataFrame([*rows, (9000, None, "en"), (9001, rows[1][1], None)], "doc_id long, text string, lang string")
+    quality = {i: int(i % 9 > 0) for i, _, _ in rows if i % 4}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
+    n_rules, grid, strata = len(quality_rules.RULES), quality_rules.GRID, ("en", "de")
+    steps = {i: [min(int(x * grid), grid) for x in quality_rules.measures(t)[5:]] for i, t, _ in rows}
+    cuts = {}
+    for s in strata:
+        for k in range(n_rules):
+            good = [steps[i][k] for i, _, lang in rows if lang == s and quality.get(i) == 1]
+            best = None
+            for g in range(grid, 0, -1):
+                x, n, p = sum(v >= g for v in good), len(good), 0.05 / n_rules
+                if sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(x + 1)) > 0.05 / (n_rules * len(strata)):
+                    break
+                best = g
+            cuts[s, k] = best
+    assert any(c is not None for c in cuts.values())
+    want = {i: not quality_brute(t)[5] and not any(cuts[s, k] is not None and v >= cuts[s, k] for k, v in enumerate(steps[i])) for i, t, s in rows}
+    got = {x.doc_id: x.kept for x in quality_rules.quality_rules(docs, labels).collect()}
+    assert got == want | {9000: False, 9001: not quality_brute(rows[1][1])[5]} and not all(want.values())
+
+
+def test_the_guarantee_holds_in_simulation():
+    """The chance that a certified cutoff rejects more good documents than the risk allows stays within the error."""
+    import numpy as np
+
+    r, risk, error, broken = np.random.default_rng(3), 0.05, 0.1, 0
+    true = r.dirichlet(np.ones(quality_rules.GRID + 1) * 0.3)
+    for _ in range(400):
+        g = quality_rules.certified(r.multinomial(400, true), risk, error)
+        broken += g is not None and true[g:].sum() > risk
+    assert broken <= 400 * error + 2 * (400 * error) ** 0.5
+
+
 def test_bpe_equals_library(docs):
     t = Tokenizer.from_file(PATH)
 
@@ -122,7 +187,7 @@ def test_bpe_equals_library(docs):
 
 
 def test_bpe_random_texts():
-    t, c, r = Tokenizer.from_file(PATH), bpe.codec(PATH), random.Random(3)
+    t, c, r = Tokenizer.from_file(PATH), bpe.ForcedBoundaryBPE(PATH), random.Random(3)
     alphabet = [*"abcXYZ019 .,'!#\n\t  ", "é", " ", " ", "\x1c", "\x85", "\0", "½", "²", "Ⅷ", "😀", "́", "<|endoftext|>", "'s", "\r\n", " the"]
     for _ in range(1500):
         s = "".join(r.choice(alphabet) for _ in range(r.randrange(40)))
@@ -134,7 +199,7 @@ def test_bpe_random_texts():
 
 
 def test_cuts_are_forced():
-    c = bpe.codec(PATH)
+    c = bpe.ForcedBoundaryBPE(PATH)
     for w in ("naïve", "日本語", " hello", "a\x00b"):
         parts = c.cut(w.encode())
         assert b"".join(parts) == w.encode()
@@ -151,9 +216,12 @@ def test_token_files(spark, docs, tmp_path):
         want.append((r.doc_id is not None, r.doc_id or 0, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     out = str(tmp_path / "tokens")
-    token_files.write(docs, PATH, out, files=3)
+    token_files.write(docs, PATH, out, file_bytes=20_000)
     assert by_id(token_files.read(spark, out), "start", "n_tokens", "ids_crc32") == want
     name = spark.read.parquet(f"{out}/manifest").orderBy("part").first().file
     f = token_files.TokenFile(out, name)
     assert f.ids(0)[-1] == 2
+    assert spark.read.parquet(f"{out}/manifest").count() > 1
+    for i in (0, 4, 9, 77):
+        assert [x.tolist() for x in token_files.lookup(spark, out, i)] == [[*t.encode(r.text or "", add_special_tokens=False).ids, 2] for r in rows if r.doc_id == i]
     assert token_files.token_files(docs.limit(0), PATH).count() == 0
