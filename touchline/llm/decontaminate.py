@@ -229,7 +229,7 @@ def searched(text: Column, files: list[str]) -> Column:
                         out[k] += [dict(zip(names, x, strict=True)) for x in found]
             yield pd.Series(out, dtype=object)
 
-    return search(text.cast("string"))
+    return search.asNondeterministic()(text.cast("string"))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
