@@ -49,8 +49,16 @@ def keys(line: Column, length: Column) -> tuple[Column, list[bool]]:
     return F.array(*out), own
 
 
+#: Code points of the pairs of lines whose distances a task works out at once.
+AT_ONCE = 1_000_000
+
+
 def edits(pairs: list[tuple[str, str]], most: int = MOST) -> np.ndarray:
-    """Edit distances, most + 1 for any above most: bit vectors of the band around the diagonal, all pairs at once."""
+    """Edit distances, most + 1 for any above most: bit vectors of the band around the diagonal, many pairs at once."""
+    return np.concatenate([_edits(pairs[a:b], most) for a, b in pieces([len(x) + len(y) for x, y in pairs], AT_ONCE)] or [np.zeros(0, np.int64)])
+
+
+def _edits(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
     out = np.zeros(len(pairs), np.int64)
     rest = []
     for k, (a, b) in enumerate(pairs):
@@ -67,9 +75,9 @@ def edits(pairs: list[tuple[str, str]], most: int = MOST) -> np.ndarray:
         if min(len(x), len(y)) <= most:
             out[k] = min(most + 1, _small(x.tolist(), y.tolist()))
         else:
-            rest.append((k, x, y))
+            rest.append((k, x.copy(), y.copy()))
     rest.sort(key=lambda r: len(r[1]))
-    for a, b in pieces([len(r[1]) + 64 for r in rest], 1_000_000):
+    for a, b in pieces([len(r[1]) + 64 for r in rest], AT_ONCE):
         some = rest[a:b]
         out[[r[0] for r in some]] = _banded([r[1] for r in some], [r[2] for r in some], most)
     return out

@@ -104,7 +104,7 @@ def cutoffs(scored: DataFrame, stratum: str = "stratum", good: str = "good", ris
     stratum's share is above it. No labelled rows: no strata, so no rejection.
     """
     rows = scored.where(F.col(good)).select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.floor(F.col(r) * GRID), F.lit(GRID)).cast("int").alias("step")) for r in RULES))).alias("x"))
-    hist = written(rows.groupBy("stratum", "x.rule", "x.step").agg(F.count("*").alias("n")), "holdout")
+    hist = written(rows.groupBy("stratum", "x.rule", "x.step").agg(F.count("*").alias("n")).coalesce(1), "holdout")  # GRID rows a rule and stratum
     tests = max(1, hist.select("stratum").distinct().count()) * len(RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +115,7 @@ def cutoffs(scored: DataFrame, stratum: str = "stratum", good: str = "good", ris
             out[f"cut_{r}"] = np.nan if g is None else g / GRID
         return pd.DataFrame([out])
 
-    return written(hist.groupBy("stratum").applyInPandas(choose, "stratum string" + "".join(f", cut_{r} double" for r in RULES)), "cutoffs")
+    return written(hist.groupBy("stratum").applyInPandas(choose, "stratum string" + "".join(f", cut_{r} double" for r in RULES)).coalesce(1), "cutoffs")  # a row a stratum
 
 
 def judged(scored: DataFrame, cuts: DataFrame) -> DataFrame:

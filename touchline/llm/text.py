@@ -116,8 +116,8 @@ def pieces(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-#: Shares that a node's edges are dealt into, so that a star's centre meets its edges in as many tasks.
-SHARES = 64
+#: Shares that a node's edges are dealt into, so that a star's centre meets its edges in as many tasks; edges in a file.
+SHARES, ROWS = 64, 250_000
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -140,19 +140,24 @@ def components(edges: DataFrame) -> DataFrame:
     the one before deleted. Empty edges: empty result. Null ends and loops: left out.
     """
     spark, kind = edges.sparkSession, edges.schema["a"].dataType
-    path = fresh_dir(spark, "edges")
-    e = written_at(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
+
+    def saved(x: DataFrame, most: int) -> tuple[DataFrame, str]:
+        """In as few files as `most` rows need; rounds only lose edges."""
+        path = fresh_dir(spark, "edges")
+        return written_at(x.coalesce(max(1, -(-most // ROWS))), path), path
 
     def shape(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    ordered = lambda x: x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e, path = saved(ordered(edges.where("a is not null and b is not null and a <> b")), edges.count())
     last, now = None, shape(e)
     while now[0] and now != last:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _to_least(both, _least(both)).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
         small = _to_least(large, _least(large)).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b")
-        old, path = path, fresh_dir(spark, "edges")
-        e = written_at(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
+        old = path
+        e, path = saved(ordered(small), now[0])
         last, now = now, shape(e)
         delete(spark, old)
     stars = e.groupBy("a").agg(F.min("b").alias("root"))
