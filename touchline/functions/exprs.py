@@ -41,6 +41,11 @@ def reasons(*pairs: tuple[Column, str]) -> Column:
     return F.when(text == "", "ok").otherwise(text)
 
 
+def tokens(*pairs: tuple[Column, str | Column]) -> Column:
+    """The tokens whose condition holds, joined by ';'."""
+    return F.concat_ws(";", *(F.when(c, F.lit(t) if isinstance(t, str) else t) for c, t in pairs))
+
+
 def clip():
     """The window of a clip."""
     return Window.partitionBy("clip_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
+from .motion import overlapping
 
 #: Fixed labels of annotations.
 LABELS = ("carry", "pass", "turnover", "shot", "uncertain")
@@ -41,7 +42,7 @@ def annotated_intervals(boxes: DataFrame, fps: float = 25.0) -> DataFrame:
     runs = active.withColumn("run", F.col("frame") - F.row_number().over(w)).groupBy("clip_id", "track_no", "label", "run").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
     once = runs.groupBy("clip_id", "label", "start_frame", "end_frame").agg(F.min("track_no").alias("track_no"), (F.count("*") - 1).alias("duplicates"))
     e = once.withColumn("n", F.row_number().over(Window.partitionBy("clip_id").orderBy("track_no", "start_frame", "label")))
-    a, b = (e.select("clip_id", F.col("n").alias(f"{k}n"), F.col("start_frame").alias(f"{k}s"), F.col("end_frame").alias(f"{k}e")) for k in "ab")
-    hit = a.join(b, "clip_id").where("bn < an and bs <= ae and be >= `as`").groupBy("clip_id", F.col("an").alias("n")).agg(F.count("*").alias("overlaps"))
+    a, b = (e.select("clip_id", F.col("n").alias(f"{k}n"), F.col("start_frame").alias(f"{k}_start"), F.col("end_frame").alias(f"{k}_end")) for k in "ab")
+    hit = overlapping(a, b).where("bn < an").groupBy("clip_id", F.col("an").alias("n")).agg(F.count("*").alias("overlaps"))
     out = e.join(hit, ["clip_id", "n"], "left")
     return out.select("clip_id", F.format_string("%s__event_%04d", F.col("clip_id").cast("string"), "n").alias("event_id"), F.col("label").alias("event_type"), "start_frame", "end_frame", (F.col("start_frame") / fps).alias("start_seconds"), (F.col("end_frame") / fps).alias("end_seconds"), (F.col("label") == "uncertain").alias("uncertain"), "duplicates", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))

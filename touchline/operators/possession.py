@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, distance
+from ..functions.exprs import clip
 
 #: Fixed reason texts.
 SKIPPED, UNSURE, NOBODY, FAR, NEAR = "interpolated_ball_skipped", "ball_confidence_below_threshold", "no_eligible_player_in_frame", "nearest_player_too_far", "nearest_eligible_player_within_threshold"
@@ -17,11 +17,12 @@ def eligible(tracks: DataFrame, teams: DataFrame, min_confidence: float = 0.10)
 
 
 def nearest_player(ball: DataFrame, players: DataFrame) -> DataFrame:
-    """Each ball row with the nearest player of its frame, the lower track_id at equal distance; null without players. One aggregate, no sort."""
-    p = players.select("clip_id", "frame", "track_id", "team", "center_x", "center_y", "height")
+    """Each ball row with the nearest player of its frame, the lower track_id at equal distance; null without players. A frame's players are gathered before the join, so it is a join of frames and not of players."""
+    p = players.groupBy("clip_id", "frame").agg(F.collect_list(F.struct("center_x", "center_y", "track_id", "team", "height")).alias("_players"))
     b = ball.select("clip_id", "frame", "timestamp", F.col("center_x").alias("ball_x"), F.col("center_y").alias("ball_y"), F.col("confidence").alias("ball_confidence"), "is_interpolated")
-    d = b.join(p, ["clip_id", "frame"], "left").withColumn("d", distance("ball_x", "ball_y", "center_x", "center_y"))
-    return d.groupBy(*b.columns).agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "track_id", "team", "height"))).alias("near"))
+    dx, dy = (lambda q: q["center_x"] - F.col("ball_x")), (lambda q: q["center_y"] - F.col("ball_y"))
+    each = F.transform("_players", lambda q: F.struct(F.sqrt(dx(q) * dx(q) + dy(q) * dy(q)).alias("d"), q["track_id"].alias("track_id"), q["team"].alias("team"), q["height"].alias("height")))
+    return b.join(p, ["clip_id", "frame"], "left").withColumn("near", F.array_min(F.filter(each, lambda x: x["d"].isNotNull()))).drop("_players")
 
 
 def candidates(near: DataFrame, multiplier: float = 1.5, min_ball_confidence: float = 0.25, assign_interpolated: bool = False) -> DataFrame:
@@ -33,22 +34,21 @@ def candidates(near: DataFrame, multiplier: float = 1.5, min_ball_confidence: fl
 def smoothed(df: DataFrame, frames: int = 3) -> DataFrame:
     """Adds team: a switch needs `frames` equal candidates in a row; None takes effect at once.
 
-    Closed form: within a stretch without None, the last candidate whose run has
-    reached `frames`.
+    Closed form: the last None or the last candidate whose run has reached `frames`,
+    whichever is later. All windows have one order, so the rows are sorted once.
     """
     w = clip().orderBy("frame")
     all_ = w.rowsBetween(Window.unboundedPreceding, 0)
     none = F.col("candidate_team") == "None"
-    df = df.withColumn("_block", F.sum(none.cast("int")).over(all_))
     new = ~F.col("candidate_team").eqNullSafe(F.lag("candidate_team").over(w))
-    df = df.withColumn("_run", F.sum(new.cast("int")).over(all_)).withColumn("_n", F.row_number().over(Window.partitionBy("clip_id", "_run").orderBy("frame")))
-    in_block = Window.partitionBy("clip_id", "_block").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    sure = F.when(~none & (F.col("_n") >= frames), F.col("candidate_team"))
-    df = df.withColumn("team", F.when(none, "None").otherwise(F.coalesce(F.last(sure, ignorenulls=True).over(in_block), F.lit("None"))))
+    df = df.withColumns({"_new": new, "_row": F.row_number().over(w)})
+    df = df.withColumn("_n", F.col("_row") - F.last(F.when(F.col("_new"), F.col("_row")), ignorenulls=True).over(all_) + 1)
+    told = F.when(none, "None").when(F.col("_n") >= frames, F.col("candidate_team"))
+    df = df.withColumn("team", F.coalesce(F.last(told, ignorenulls=True).over(all_), F.lit("None")))
     before = F.coalesce(F.lag("team").over(w), F.lit("None"))
     df = df.withColumn("_before", before)
     suffix = F.when(none, "").when((F.col("_n") == frames) & (F.col("_before") != F.col("candidate_team")), "; smoothed_switch_confirmed").when(F.col("candidate_team") != F.col("team"), F.concat(F.lit("; smoothed_pending_switch_to_"), "candidate_team")).otherwise("")
-    return df.withColumn("possession_reason", F.concat("reason", suffix)).drop("_block", "_run", "_n", "_before", "reason")
+    return df.withColumn("possession_reason", F.concat("reason", suffix)).drop("_new", "_row", "_n", "_before", "reason")
 
 
 def estimate_possession(ball: DataFrame, tracks: DataFrame, teams: DataFrame, frames: int = 3, **gates) -> DataFrame:

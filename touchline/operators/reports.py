@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import reasons
+from ..functions.exprs import tokens
 
 
 def balance_windows(windows: DataFrame, label: str, seed: int = 42) -> DataFrame:
@@ -24,16 +24,34 @@ def normalise(df: DataFrame, columns: list[str], split: str = "split") -> DataFr
     return out.withColumns({c: z(c) for c in columns}).select(*df.columns)
 
 
-def readiness(frames: DataFrame, ball: DataFrame, tracks: DataFrame, least_ball: float = 0.9) -> DataFrame:
-    """NOT_READY without frames of ball or players, READY_WITH_WARNINGS if the ball is missing or interpolated in many frames, else READY; and why."""
-    f = frames.groupBy("clip_id").agg(F.count("*").alias("frames"))
-    b = ball.groupBy("clip_id").agg(F.count("*").alias("ball_rows"), F.count_if("is_interpolated").alias("interpolated"))
-    t = tracks.groupBy("clip_id").agg(F.count_if(F.lit(True)).alias("track_rows"))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("ball_rows", "interpolated", "track_rows")}
-    df = f.join(b, "clip_id", "left").join(t, "clip_id", "left").withColumns(zero)
-    lacks = (F.col("ball_rows") == 0) | (F.col("track_rows") == 0)
-    few, made = F.col("ball_rows") < least_ball * F.col("frames"), F.col("interpolated") * 10 > F.col("ball_rows")
-    return df.withColumn("status", F.when(lacks, "NOT_READY").when(few | made, "READY_WITH_WARNINGS").otherwise("READY")).withColumn("reasons", reasons((F.col("ball_rows") == 0, "no_ball"), (F.col("track_rows") == 0, "no_tracks"), (few, "ball_often_missing"), (made, "ball_often_interpolated")))
+def event_kind(c: str) -> Column:
+    """carry, pass, turnover or shot by how the name of an event's type begins; null: none of them."""
+    text = F.lower(F.trim(F.col(c).cast("string")))
+    return F.coalesce(*(F.when(text.startswith(p), k) for p, k in (("pass", "pass"), ("turnover", "turnover"), ("interception", "turnover"), ("shot", "shot"), ("carry", "carry"))))
+
+
+def readiness(clips: DataFrame, frames: DataFrame, features: list[str], candidates: DataFrame, others: dict[str, DataFrame], least: int = 64) -> DataFrame:
+    """What each clip lacks for a data set: NOT_READY with reasons, READY_WITH_WARNINGS if it can only give background, else READY.
+
+    frames: the frame table, `features` its measures; candidates: unified events;
+    others: further tables by name of which a clip needs a row. A table is missing for
+    a clip if it has no row of it.
+    """
+    usable = F.lit(False)
+    for c in features:
+        usable = usable | F.col(c).isNotNull()
+    f = frames.where("frame is not null").groupBy("clip_id").agg((F.max("frame") - F.min("frame") + 1).alias("frame_count"), F.bool_or(usable).alias("_usable"))
+    e = candidates.groupBy("clip_id").agg(F.count("*").alias("event_rows"), F.count(event_kind("event_type")).alias("events_ok"))
+    df = clips.select("clip_id").join(f, "clip_id", "left").join(e, "clip_id", "left")
+    for name, t in others.items():
+        df = df.join(t.groupBy("clip_id").agg(F.lit(True).alias(f"_{name}")), "clip_id", "left")
+    df = df.na.fill(0, ["frame_count", "event_rows", "events_ok"]).withColumn("background_possible", (F.col("frame_count") >= least).cast("int"))
+    none = (F.col("event_rows") > 0) & (F.col("events_ok") == 0)
+    lacks = [(F.col("frame_count") == 0, "missing temporal_frames"), (F.col("event_rows") == 0, "missing unified_candidates"), *((F.col(f"_{n}").isNull(), f"missing {n}") for n in others)]
+    lacks += [((F.col("frame_count") > 0) & ~F.coalesce("_usable", F.lit(False)), "no usable numeric temporal features found"), (none & (F.col("background_possible") == 0), "no valid candidate events and not enough frames for background")]
+    df = df.withColumns({"reasons": tokens(*lacks), "warnings": tokens((none & (F.col("background_possible") == 1), "no valid candidate events; background only"))})
+    status = F.when(F.col("reasons") != "", "NOT_READY").when(F.col("warnings") != "", "READY_WITH_WARNINGS").otherwise("READY")
+    return df.withColumn("status", status).drop("_usable", *(f"_{n}" for n in others))
 
 
 def stage_status(stages: DataFrame, names: list[str]) -> DataFrame:

@@ -80,19 +80,27 @@ def carry_player_summary(carries: DataFrame) -> DataFrame:
     return carries.groupBy("player_id", "team").agg(F.count("*").alias("carries"), F.sum("duration_seconds").alias("total_duration"), F.avg("ball_distance_px").alias("mean_ball_distance"), F.max("ball_distance_px").alias("max_ball_distance"))
 
 
+def frame_possession(possession: DataFrame) -> DataFrame:
+    """One row a frame: of its rows with a team and a player the one nearest to the ball (unknown distances last, then the earliest time); without any, team None at its earliest time."""
+    active = F.col("team").isin(*TEAMS) & F.col("player_id").isNotNull()
+    first = F.struct((~active).cast("int").alias("none"), F.when(active, F.col("distance_to_ball").isNull().cast("int")).alias("unknown"), F.when(active, F.col("distance_to_ball")).alias("distance"), "timestamp", F.when(active, F.col("team")).otherwise("None").alias("team"), F.when(active, F.col("player_id")).alias("player_id"))
+    return possession.groupBy("clip_id", "frame").agg(F.min(first).alias("x")).select("clip_id", "frame", "x.timestamp", "x.team", "x.player_id")
+
+
 def stable_segments(possession: DataFrame, min_frames: int = 6, min_duration: float = 0.20) -> DataFrame:
     """Runs that frame gaps don't end, of a least length and duration."""
     return runs(possession, None).where((F.col("frames") >= min_frames) & (F.col("end_time") - F.col("start_time") >= min_duration - 1e-9)).drop("at")
 
 
-def transitions(segments: DataFrame, max_gap_seconds: float = 2.0) -> DataFrame:
-    """Neighbouring runs of different players that follow within max_gap_seconds."""
+def transitions(segments: DataFrame, max_gap_seconds: float | None = 2.0) -> DataFrame:
+    """Neighbouring runs of different players that follow within max_gap_seconds; None: all neighbouring runs."""
     w = clip().orderBy("start_frame")
     df = segments
     for c in ("team", "player_id", "frames", "end_frame", "end_time"):
         df = df.withColumn(f"from_{c}", F.lag(c).over(w))
     gap = F.col("start_time") - F.col("from_end_time")
-    return df.where((F.col("from_player_id") != F.col("player_id")) & (gap <= max_gap_seconds + 1e-9)).withColumn("gap_seconds", gap)
+    near = F.col("from_player_id").isNotNull() if max_gap_seconds is None else (F.col("from_player_id") != F.col("player_id")) & (gap <= max_gap_seconds + 1e-9)
+    return df.where(near).withColumn("gap_seconds", gap)
 
 
 def passing_summary(segments: DataFrame) -> DataFrame:

@@ -88,32 +88,43 @@ def centroid_track(detections: DataFrame, reach: float = 120.0, max_missing: int
     return df.groupBy("clip_id").applyInPandas(follow, "clip_id long, frame long, det_id long, track_id long, center_x double, center_y double")
 
 
+#: Side of the square that stands for a ball in box matching.
+BALL_SIDE = 15.0
+
+
+def evaluated_boxes(tracks: DataFrame, ball: DataFrame) -> DataFrame:
+    """Predictions for detection_metrics: boxes of all tracks but referees as Player, a square around each ball as Ball."""
+    half = BALL_SIDE / 2
+    players = tracks.where(~F.lower(F.col("class_name")).eqNullSafe("referee")).select("clip_id", "frame", F.lit("Player").alias("class_name"), F.col("track_id").alias("box_id"), "x1", "y1", "x2", "y2")
+    return players.unionByName(ball.select("clip_id", "frame", F.lit("Ball").alias("class_name"), F.lit(0).cast("long").alias("box_id"), (F.col("center_x") - half).alias("x1"), (F.col("center_y") - half).alias("y1"), (F.col("center_x") + half).alias("x2"), (F.col("center_y") + half).alias("y2")))
+
+
+def _iou(p, q):
+    w, h = F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"]), F.least(p["y2"], q["y2"]) - F.greatest(p["y1"], q["y1"])
+    both = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
+    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    return F.coalesce(F.try_divide(both, area(p) + area(q) - both), F.lit(0.0))
+
+
 def detection_metrics(truth: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
-    """Boxes (clip_id, frame, class_name, box_id, x1, y1, x2, y2) of both sides matched greedily by overlap: counts, precision, recall and F1 by class."""
+    """Boxes (clip_id, frame, class_name, box_id, x1, y1, x2, y2) of both sides: counts, precision, recall and F1 by class, over the frames that truth has.
+
+    Predictions come in order of box_id; each takes the free true box of the
+    largest overlap (the first at equal overlap) if that is `least` or more. A fold
+    over a frame's arrays in column expressions.
+    """
     key, box = ["clip_id", "frame", "class_name"], ["x1", "y1", "x2", "y2"]
-    a = truth.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("box_id", *box))).alias("a"))
-    b = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("box_id", *box))).alias("b"))
-
-    @F.udf("long")
-    def matches(xs, ys):
-        pairs = []
-        for i, p in enumerate(xs or []):
-            for j, q in enumerate(ys or []):
-                w, h = min(p.x2, q.x2) - max(p.x1, q.x1), min(p.y2, q.y2) - max(p.y1, q.y1)
-                if w > 0 and h > 0:
-                    both = w * h
-                    iou = both / ((p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) - both)
-                    if iou >= least:
-                        pairs.append((-iou, i, j))
-        i_used, j_used = set(), set()
-        for _, i, j in sorted(pairs):
-            if i not in i_used and j not in j_used:
-                i_used.add(i)
-                j_used.add(j)
-        return len(i_used)
-
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    m = a.join(b, key, "full").select("class_name", matches("a", "b").alias("m"), size("a").alias("na"), size("b").alias("nb"))
+    side = lambda df, c: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("box_id", *(F.col(x).cast("double").alias(x) for x in box)))).alias(c))
+    judged = side(found, "b").join(truth.select("clip_id", "frame").distinct(), ["clip_id", "frame"], "left_semi")
+    m = side(truth, "a").join(judged, key, "full")
+    m = m.withColumns({c: F.coalesce(c, F.array().cast(m.schema[c].dataType)) for c in ("a", "b")})
+
+    def take(taken, p):
+        each = F.transform(F.col("a"), lambda q, i: F.struct(_iou(p, q).alias("iou"), (-i).alias("i")))
+        best = F.array_max(F.filter(each, lambda x: (x["iou"] > 0) & ~F.array_contains(taken, -x["i"])))
+        return F.when(best["iou"] >= least, F.concat(taken, F.array(-best["i"]))).otherwise(taken)
+
+    m = m.select("class_name", F.size(F.aggregate("b", F.array().cast("array<int>"), take)).alias("m"), F.size("a").alias("na"), F.size("b").alias("nb"))
     g = m.groupBy("class_name").agg(F.sum("m").alias("tp"), (F.sum("nb") - F.sum("m")).alias("fp"), (F.sum("na") - F.sum("m")).alias("fn"))
     tp = F.col("tp")
     return g.withColumn("precision", share(tp, tp + F.col("fp"))).withColumn("recall", share(tp, tp + F.col("fn"))).withColumn("f1", share(2 * tp, 2 * tp + F.col("fp") + F.col("fn")))

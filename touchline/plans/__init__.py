@@ -1 +1 @@
-from . import catalog, event_queries, frame_queries, relational, scoring_queries  # noqa: F401  each registers its queries
+from . import catalog, event_queries, frame_queries, relational, scoring_queries, window_queries  # noqa: F401  each registers its queries

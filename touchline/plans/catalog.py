@@ -19,7 +19,7 @@ def query(name: str, sql: str | None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = f"WITH {fx.SQL.strip()} {sql}"
+            ORACLES[name] = f"WITH RECURSIVE {fx.SQL.strip()} {sql}"
         return f
 
     return add
@@ -198,13 +198,40 @@ def _(s, d):
     return motion.bounds(fx.frames(s, d))
 
 
-@query("filter_ball_detections", """, det AS (SELECT clip_id, frame, p AS det_id, 3 + (frame * 3 + 5 * p) % 29 AS width, 3 + (frame + 7 * p) % 29 AS height, ((frame * 7 + 13 * p) % 100) / 100.0::DOUBLE AS confidence FROM frames, (SELECT unnest(range(4)) AS p)),
-r AS (SELECT *, CASE WHEN width * height < 20 THEN 'area_below_min' WHEN width * height > 500 THEN 'area_above_max' WHEN width < 4 OR width > 30 THEN 'width_out_of_range' WHEN height < 4 OR height > 30 THEN 'height_out_of_range' END AS reason FROM det)
-SELECT *, reason IS NULL AND row_number() OVER (PARTITION BY clip_id, frame, reason IS NULL ORDER BY confidence DESC, det_id) <= 1 AS kept FROM r""")
-def _(s, d):
+_DET = """, det AS (SELECT clip_id, frame, p AS det_id, 3 + (frame * 3 + 5 * p) % 29 AS width, 3 + (frame + 7 * p) % 29 AS height, ((frame * 5 + 90 * p) % 720)::DOUBLE AS center_y, ((frame * 7 + 13 * p) % 100) / 100.0::DOUBLE AS confidence FROM frames, (SELECT unnest(range(4)) AS p)),
+r AS (SELECT *, CASE WHEN width * height < 20 THEN 'area_below_min' WHEN width * height > 500 THEN 'area_above_max' WHEN width < 4 THEN 'width_below_min' WHEN width > 30 THEN 'width_above_max' WHEN height < 4 THEN 'height_below_min' WHEN height > 30 THEN 'height_above_max' WHEN center_y < 720 * 0.08::DOUBLE THEN 'excluded_top_region' END AS gate FROM det),
+kept AS (SELECT * EXCLUDE (gate), CASE WHEN gate IS NULL AND row_number() OVER (PARTITION BY clip_id, frame, gate IS NULL ORDER BY confidence DESC, det_id) > 1 THEN 'per_frame_confidence_cap' ELSE gate END AS reason, reason IS NULL AS kept FROM r)
+"""
+
+
+def _detected(s, d):
     p, f = F.col("det_id"), F.col("frame")
     det = fx.frames(s, d).select("clip_id", "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("det_id"))
-    return motion.filter_ball_detections(det.withColumns({"width": 3 + (f * 3 + 5 * p) % 29, "height": 3 + (f + 7 * p) % 29, "confidence": ((f * 7 + 13 * p) % 100) / 100.0}))
+    return motion.filter_ball_detections(det.withColumns({"width": 3 + (f * 3 + 5 * p) % 29, "height": 3 + (f + 7 * p) % 29, "center_y": ((f * 5 + 90 * p) % 720).cast("double"), "confidence": ((f * 7 + 13 * p) % 100) / 100.0}), 720)
+
+
+@query("filter_ball_detections", _DET + "SELECT * FROM kept")
+def _(s, d):
+    return _detected(s, d)
+
+
+_MARKS = "['min', 'p25', 'median', 'p75', 'max']"
+
+
+def _spread(table: str, where: str) -> str:
+    parts = " UNION ALL ".join(f"SELECT clip_id, unnest([x || '_{c}_' FOR x IN ['']]) AS c, quantile_cont({v}::DOUBLE, [0, 0.25, 0.5, 0.75, 1]) AS q FROM kept {where} GROUP BY clip_id" for c, v in (("confidence", "confidence"), ("width", "width"), ("height", "height"), ("area", "(width * height)")))
+    return f"SELECT clip_id, '{table}_distribution' AS section, trim(c, '_') || '_' || unnest({_MARKS}) AS metric, unnest(q) AS \"value\" FROM ({parts})"
+
+
+_COUNTS = ["frames", *(f"{c}_{k}" for c in ("raw", "filtered") for k in ("detections", "frames_zero", "frames_one", "frames_multiple"))]
+
+
+@query("ball_detection_diagnostics", _DET + f""", per AS (SELECT f.clip_id, f.frame, count(k.frame) AS raw, count(*) FILTER (k.kept) AS filtered FROM frames f LEFT JOIN kept k ON f.clip_id = k.clip_id AND f.frame = k.frame GROUP BY 1, 2),
+tot AS (SELECT clip_id, [count(*), sum(raw), count(*) FILTER (raw = 0), count(*) FILTER (raw = 1), count(*) FILTER (raw > 1), sum(filtered), count(*) FILTER (filtered = 0), count(*) FILTER (filtered = 1), count(*) FILTER (filtered > 1)] AS n FROM per GROUP BY 1),
+rep AS (SELECT clip_id, 'counts' AS section, unnest({_COUNTS}) AS metric, unnest(n)::DOUBLE AS "value" FROM tot UNION ALL SELECT clip_id, 'removal_reasons', reason, count(*)::DOUBLE FROM kept WHERE reason IS NOT NULL GROUP BY 1, 3 UNION ALL {_spread("raw", "")} UNION ALL {_spread("filtered", "WHERE kept")} UNION ALL SELECT clip_id, 'raw_frame_counts', frame::VARCHAR, raw::DOUBLE FROM per UNION ALL SELECT clip_id, 'filtered_frame_counts', frame::VARCHAR, filtered::DOUBLE FROM per)
+SELECT clip_id, section, metric, round("value", 6) AS "value" FROM rep""")
+def _(s, d):
+    return rounded(motion.ball_detection_diagnostics(fx.frames(s, d), _detected(s, d)))
 
 
 @query("tumbling_5s", """SELECT clip_id, "window", count(*) AS "rows", round(avg(center_x), 6) AS mean_x, round(stddev_pop(center_x), 6) AS std_x, median(center_y) AS median_y FROM (SELECT *, floor(("timestamp" - min("timestamp") OVER (PARTITION BY clip_id)) / 5.0::DOUBLE + 1e-9)::BIGINT AS "window" FROM tracks) GROUP BY 1, 2""")
@@ -213,8 +240,8 @@ def _(s, d):
 
 
 _HOP = """, bw AS (SELECT clip_id, unnest(range(min(frame), max(frame) - 62, 8)) AS start_frame FROM frames GROUP BY clip_id HAVING max(frame) - min(frame) + 1 >= 64),
-hop AS (SELECT w.clip_id, w.start_frame, label, CASE WHEN e.clip_id IS NOT NULL THEN least(e.end_frame, w.start_frame + 39) - greatest(e.start_frame, w.start_frame + 24) + 1 END AS o, list_position(['background','carry','pass','turnover','shot'], label) AS r FROM bw w LEFT JOIN intervals e ON w.clip_id = e.clip_id AND e.label <> 'uncertain' AND e.start_frame <= w.start_frame + 39 AND e.end_frame >= w.start_frame + 24),
-win AS (SELECT clip_id, start_frame, start_frame + 63 AS end_frame, coalesce(label, 'background') AS target_class, coalesce(o, 0) AS event_overlap_frames FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, start_frame ORDER BY o DESC, r DESC) AS k FROM hop) WHERE k = 1)
+hop AS (SELECT w.clip_id, w.start_frame, label, event_id, CASE WHEN e.clip_id IS NOT NULL THEN least(e.end_frame, w.start_frame + 38) - greatest(e.start_frame, w.start_frame + 23) + 1 END AS o, list_position(['background','carry','pass','turnover','shot'], label) AS r FROM bw w LEFT JOIN intervals e ON w.clip_id = e.clip_id AND e.label <> 'uncertain' AND e.start_frame <= w.start_frame + 38 AND e.end_frame >= w.start_frame + 23),
+win AS (SELECT clip_id, start_frame, start_frame + 63 AS end_frame, start_frame + 23 AS label_start_frame, start_frame + 38 AS label_end_frame, coalesce(label, 'background') AS target_class, event_id, coalesce(o, 0) AS event_overlap_frames FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, start_frame ORDER BY o DESC, r DESC, event_id) AS k FROM hop) WHERE k = 1)
 """
 
 
@@ -244,15 +271,10 @@ def _(s, d):
     return segments.overlap_groups(fx.intervals(s, d))
 
 
-@query("merge_peaks", """, p AS (SELECT DISTINCT clip_id, frame FROM frames WHERE event_id % 7 = 0 AND blk % 4 <> 1), q AS (SELECT *, sum(fresh) OVER (PARTITION BY clip_id ORDER BY frame) AS seg FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY clip_id ORDER BY frame) <= 12 THEN 0 ELSE 1 END AS fresh FROM p)) SELECT clip_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS peaks FROM q GROUP BY clip_id, seg""")
-def _(s, d):
-    return segments.merge_peaks(fx.frames(s, d).where("event_id % 7 = 0 and blk % 4 <> 1"))
-
-
 @query("turnover_interception_match", _INTER + ", e AS (SELECT clip_id, event_id AS id, start_frame AS frame FROM intervals) SELECT clip_id, id AS left_id, rid AS right_id, delta FROM (SELECT e.clip_id, e.id, i.interception_id AS rid, abs(e.frame - i.frame) AS delta, row_number() OVER (PARTITION BY e.clip_id, e.id ORDER BY abs(e.frame - i.frame), i.interception_id) AS k FROM e LEFT JOIN inter i ON e.clip_id = i.clip_id AND abs(e.frame - i.frame) <= 2) WHERE k = 1")
 def _(s, d):
     i = segments.detect_interceptions(fx.owners(s, d)).select("clip_id", F.col("interception_id").alias("id"), "frame")
-    return motion.nearest_within(fx.intervals(s, d).select("clip_id", F.col("event_id").alias("id"), F.col("start_frame").alias("frame")), i, 2)
+    return motion.nearest_within(fx.intervals(s, d).select("clip_id", F.col("event_id").alias("id"), F.col("start_frame").alias("frame")), i, 2).drop("right_frame")
 
 
 @query("confusion_matrix", _CONF + "SELECT * FROM matrix")

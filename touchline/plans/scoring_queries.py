@@ -63,13 +63,13 @@ def _(s, d):
 _STAGES = ["possession", "passes", "turnovers", "shots"]
 
 
-@query("stage_status", """, st AS (SELECT clip_id, ['possession','passes','turnovers','shots'][event_id + 1] AS stage, CASE WHEN (clip_id * 3 + event_id) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM intervals WHERE event_id < 4),
-g AS (SELECT clip_id, coalesce(max(status) FILTER (stage = 'possession'), 'missing') AS possession, coalesce(max(status) FILTER (stage = 'passes'), 'missing') AS passes, coalesce(max(status) FILTER (stage = 'shots'), 'missing') AS shots FROM st GROUP BY 1)
-SELECT *, CASE WHEN possession = 'ok' AND passes = 'ok' AND shots = 'ok' THEN 'ok' ELSE 'failed' END AS final_status FROM g""")
+@query("stage_status", """, st AS (SELECT clip_id, ['possession','passes','turnovers','shots'][event_id % 4 + 1] AS stage, CASE WHEN (clip_id * 3 + event_id) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM intervals),
+g AS (SELECT clip_id, coalesce(max(status) FILTER (stage = 'possession'), 'missing') AS possession, coalesce(max(status) FILTER (stage = 'passes'), 'missing') AS passes, coalesce(max(status) FILTER (stage = 'turnovers'), 'missing') AS turnovers, coalesce(max(status) FILTER (stage = 'shots'), 'missing') AS shots FROM st GROUP BY 1)
+SELECT *, CASE WHEN possession = 'ok' AND passes = 'ok' AND turnovers = 'ok' AND shots = 'ok' THEN 'ok' ELSE 'failed' END AS final_status FROM g""")
 def _(s, d):
-    stage = F.element_at(F.array(*map(F.lit, _STAGES)), (F.col("event_id") + 1).cast("int"))
-    st = fx.intervals(s, d).where("event_id < 4").select("clip_id", stage.alias("stage"), F.expr("CASE WHEN (clip_id * 3 + event_id) % 5 = 0 THEN 'failed' ELSE 'ok' END").alias("status"))
-    return reports.stage_status(st, ["possession", "passes", "shots"])
+    stage = F.element_at(F.array(*map(F.lit, _STAGES)), (F.col("event_id") % 4 + 1).cast("int"))
+    st = fx.intervals(s, d).select("clip_id", stage.alias("stage"), F.expr("CASE WHEN (clip_id * 3 + event_id) % 5 = 0 THEN 'failed' ELSE 'ok' END").alias("status"))
+    return reports.stage_status(st, _STAGES)
 
 
 @query("download_order", 'SELECT clip_id, event_id, label, end_frame - start_frame AS score, row_number() OVER (PARTITION BY label ORDER BY end_frame - start_frame DESC, clip_id * 1000000 + event_id) AS turn FROM intervals')
@@ -88,7 +88,7 @@ span AS (SELECT clip_id, pass_id, count(*) FILTER (dist > 35) AS free_ball, max(
 calm AS (SELECT clip_id, pass_id, median(speed) AS base FROM x WHERE frame < start_frame GROUP BY 1, 2),
 co AS (SELECT p.clip_id, p.pass_id, max(least(p.end_frame, e.end_frame) - greatest(p.start_frame, e.start_frame) + 1) AS n FROM pass2 p JOIN carry e ON p.clip_id = e.clip_id AND e.start_frame <= p.end_frame AND e.end_frame >= p.start_frame GROUP BY 1, 2),
 ov AS (SELECT p.clip_id, p.pass_id, max(least(p.end_frame, e.end_frame) - greatest(p.start_frame, e.start_frame) + 1) AS n FROM pass2 p JOIN turn2 e ON p.clip_id = e.clip_id AND e.start_frame <= p.end_frame AND e.end_frame >= p.start_frame GROUP BY 1, 2),
-ft AS (SELECT p.clip_id, p.pass_id, p.start_frame, p.end_frame, p.team, p.end_frame - p.start_frame + 1 AS duration, (split_part(b.o, '/', 1) = split_part(a.o, '/', 1))::INT AS same_team, coalesce(b.n, 0) AS sender_stable, coalesce(a.n, 0) AS receiver_stable, coalesce(free_ball, 0) AS free_ball, ball_distance, speed_peak, (speed_peak > base)::INT AS above_baseline, missing, interpolated, coalesce(flicker, 0) AS flicker, coalesce(co.n, 0) / (p.end_frame - p.start_frame + 1) AS carry_overlap, coalesce(ov.n, 0) / (p.end_frame - p.start_frame + 1) AS turnover_overlap
+ft AS (SELECT p.clip_id, p.pass_id, p.start_frame, p.end_frame, p.team, p.end_frame - p.start_frame + 1 AS duration, (split_part(b.o, '/', 1) = split_part(a.o, '/', 1))::INT AS same_team, coalesce(b.n, 0) AS sender_stable, coalesce(a.n, 0) AS receiver_stable, coalesce(free_ball, 0) AS free_ball, span.ball_distance, speed_peak, (speed_peak > base)::INT AS above_baseline, missing, interpolated, coalesce(flicker, 0) AS flicker, coalesce(co.n, 0) / (p.end_frame - p.start_frame + 1) AS carry_overlap, coalesce(ov.n, 0) / (p.end_frame - p.start_frame + 1) AS turnover_overlap
  FROM pass2 p LEFT JOIN back b ON p.clip_id = b.clip_id AND p.pass_id = b.pass_id LEFT JOIN ahead a ON p.clip_id = a.clip_id AND p.pass_id = a.pass_id LEFT JOIN span ON p.clip_id = span.clip_id AND p.pass_id = span.pass_id LEFT JOIN calm c ON p.clip_id = c.clip_id AND p.pass_id = c.pass_id LEFT JOIN co ON p.clip_id = co.clip_id AND p.pass_id = co.pass_id LEFT JOIN ov ON p.clip_id = ov.clip_id AND p.pass_id = ov.pass_id),
 near0 AS (SELECT ft.clip_id, pass_id, min(abs(t.end_frame - ft.start_frame)) AS turnover_distance FROM ft JOIN turn2 t ON t.clip_id = ft.clip_id AND abs(t.end_frame - ft.start_frame) <= 5 GROUP BY 1, 2),
 last0 AS (SELECT ft.clip_id, pass_id, t.end_frame AS at, t.team AS winner, row_number() OVER (PARTITION BY ft.clip_id, pass_id ORDER BY t.end_frame DESC, t.turnover_id) AS k FROM ft JOIN turn2 t ON t.clip_id = ft.clip_id AND t.end_frame BETWEEN ft.start_frame - 3 AND ft.end_frame)

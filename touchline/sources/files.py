@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,3 +51,14 @@ def write_csv(df: DataFrame, path: str, digits: int = 6) -> None:
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON objects; lines that don't parse give nulls."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that the cluster shares (spark.checkpoint.dir; on a local master one of our own if that is unset): its plan ends there, which long chains of operators need."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(base or '/tmp/checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -59,7 +59,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled events: the blocks of frames, lengthened by up to 13 frames so that some overlap."""
     g = frames(spark, sf_dir).groupBy("clip_id", "blk").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
     label = F.element_at(F.array(*map(F.lit, ("carry", "pass", "turnover", "shot", "uncertain"))), (F.col("blk") % 5 + 1).cast("int"))
-    return g.where("blk % 3 <> 2").select("clip_id", F.col("blk").alias("event_id"), "start_frame", (F.col("end_frame") + (F.col("blk") * 7) % 14).alias("end_frame"), label.alias("label"))
+    return g.select("clip_id", F.col("blk").alias("event_id"), "start_frame", (F.col("end_frame") + (F.col("blk") * 7) % 14).alias("end_frame"), label.alias("label"))
 
 
 def pass_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ frames AS (SELECT event_id, clip_id, frame, "timestamp", blk, CASE WHEN ot IN ('
 tracks AS (SELECT clip_id, frame, "timestamp", p AS track_id, abs((frame * (3 + p) + 131 * p + 53 * clip_id) % 2560 - 1280)::DOUBLE AS center_x, abs((frame * (2 + p) + 71 * p) % 1440 - 720)::DOUBLE AS center_y, (40 + (7 * p) % 30)::DOUBLE AS height, ((frame + 3 * p) % 20) / 20.0::DOUBLE AS confidence FROM frames, (SELECT unnest(range(10)) AS p) WHERE (frame + 7 * p) % 23 <> 0),
 ball AS (SELECT clip_id, frame, "timestamp", CASE WHEN team = 'None' THEN abs((11 * frame) % 2560 - 1280)::DOUBLE ELSE abs((frame * (3 + pid) + 131 * pid + 53 * clip_id) % 2560 - 1280)::DOUBLE + event_id % 30 END AS center_x, CASE WHEN team = 'None' THEN abs((7 * frame) % 1440 - 720)::DOUBLE ELSE abs((frame * (2 + pid) + 71 * pid) % 1440 - 720)::DOUBLE + event_id % 20 END AS center_y, 0.05::DOUBLE + (37 * event_id % 95) / 100.0::DOUBLE AS confidence, event_id % 11 = 0 AS is_interpolated FROM frames WHERE event_id % 13 <> 0),
 owners AS (SELECT f.clip_id, f.frame, f."timestamp", team, CASE WHEN team <> 'None' THEN pid END AS player_id, center_x AS ball_x, center_y AS ball_y, coalesce(is_interpolated, false) AS is_interpolated, CASE WHEN team <> 'None' THEN (event_id % 30)::DOUBLE END AS distance_to_ball FROM frames f LEFT JOIN ball b ON f.clip_id = b.clip_id AND f.frame = b.frame),
-intervals AS (SELECT clip_id, blk AS event_id, min(frame) AS start_frame, max(frame) + (blk * 7) % 14 AS end_frame, ['carry','pass','turnover','shot','uncertain'][blk % 5 + 1] AS label FROM frames WHERE blk % 3 <> 2 GROUP BY clip_id, blk),
+intervals AS (SELECT clip_id, blk AS event_id, min(frame) AS start_frame, max(frame) + (blk * 7) % 14 AS end_frame, ['carry','pass','turnover','shot','uncertain'][blk % 5 + 1] AS label FROM frames GROUP BY clip_id, blk),
 pass_features AS (SELECT clip_id, event_id AS pass_id, start_frame, end_frame, start_frame + 3 AS center_frame, CASE WHEN h % 7 = 0 THEN NULL WHEN h % 5 = 0 THEN 0 ELSE 1 END AS same_team, h % 9 AS sender_stable, h * 3 % 8 AS receiver_stable, h % 3 AS free_ball, end_frame - start_frame + 1 + h % 9 AS duration, CASE WHEN h % 11 <> 0 THEN (h % 50)::DOUBLE END AS ball_distance, CASE WHEN h % 13 <> 0 THEN (h % 4 > 0)::INT END AS above_baseline, CASE WHEN h % 19 <> 0 THEN (h % 100)::DOUBLE END AS speed_peak, CASE WHEN h % 17 <> 0 THEN (h % 40)::DOUBLE / 100 END AS missing, (h * 7 % 33)::DOUBLE / 100 AS interpolated, (h % 6 = 0)::INT AS flicker, (h % 10)::DOUBLE / 30 AS carry_overlap, (h * 3 % 11)::DOUBLE / 30 AS turnover_overlap, CASE WHEN h % 23 <> 0 THEN (h % 10 + 3)::DOUBLE / 10 END AS completeness, (h % 4 <> 1)::INT AS refined_eligible, (h % 5 = 1)::INT AS post_turnover, (h % 8 = 2)::INT AS recovery FROM (SELECT *, event_id * 37 + clip_id * 11 AS h FROM intervals)),
 predictions AS (SELECT * FROM (SELECT event_type AS actual, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS predicted FROM events) WHERE predicted IS NOT NULL)
 """
