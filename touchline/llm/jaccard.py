@@ -166,6 +166,8 @@ def _rough(depth: int, similarity: float):
         for (_, _, i, j), g in runs(frames, ["tree", "prefix", "i", "j"]):
             if len(g["node"]) < 2:
                 continue
+            order = np.argsort(g["node"])  # so that groups of the same nodes in several trees give the same links
+            g = {c: x[order] for c, x in g.items()}
             s, n = np.array([np.frombuffer(x, np.uint8) for x in g["sig"]]), g["node"]
             pairs = np.triu(_allowed(g["own"], i, j))
             if depth < DEEPEST:  # these met one step deeper
