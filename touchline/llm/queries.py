@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, decontaminate, hmm, jaccard, line_dedup, quality_rules, secret_scan, sharding, token_files
+from . import bpe, crf, decontaminate, hard_negatives, hmm, jaccard, line_dedup, merkle, quality_rules, secret_scan, sharding, token_files, url_filter
 from .text import crc_mod, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,6 +56,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+#: Fixed rules of the query.
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of rows whose id is divisible by 7 move on by one, as noise."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document (by crc32 of its id) is folded with its text lower-cased."""
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.when(crc_mod("doc_id", 3) == 0, merkle.leaf(*rest, lower))
+    return merkle.proofs(table(spark, sf_dir, "documents"), merkle.leaf(*rest, F.col("text")), altered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
