@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, motion, segments, tables, teams, windows
+from ..operators import labels, motion, segments, tables, windows
 from ..sources import fixtures as fx
 from .catalog import _HOP, _windows, query, rounded
 from .event_queries import _carries
@@ -168,25 +168,6 @@ def _(s, d):
     return rounded(segments.frame_possession(o.unionByName(more(3, 0.01, "Team B", 7, F.col("frame") % 40)).unionByName(more(5, 0.02, "Team A", 2, F.lit(None)))))
 
 
-def _samples(s, d):
-    """Colours of every sighting: three kinds of shirt, those of 4 and 9 are the referee's."""
-    t, p = fx.tracks(s, d).where("track_id <> 8 or frame % 50 = 0"), F.col("track_id")
-    shirt = F.when(p.isin(4, 9), 2).when(p < 5, 0).otherwise(1)
-    shade = lambda *v: F.element_at(F.array(*(F.lit(float(x)) for x in v)), shirt + 1) + (F.col("frame") * 7 + p * 3) % 5
-    cols = {"r": shade(200, 40, 20), "g": shade(30, 60, 20), "b": shade(40, 200, 20), "h": shade(5, 110, 0), "s": shade(200, 190, 10), "v": shade(200, 200, 25), "lab_l": shade(120, 90, 10), "lab_a": shade(180, 130, 128), "lab_b": shade(160, 70, 128), "valid_fraction": F.lit(0.5), "valid_pixels": F.lit(300.0), "crop_area": F.lit(900.0), "box_width": F.lit(30.0), "box_height": F.col("height"), "green_fraction": F.lit(0.1)}
-    return t.select("clip_id", "track_id", "frame", "confidence", *(v.cast("double").alias(k) for k, v in cols.items()))
-
-
-@query("classify_teams", None)
-def _(s, d):
-    return rounded(teams.classify_teams(_samples(s, d), fx.tracks(s, d)))
-
-
-@query("team_cluster_summary", None)
-def _(s, d):
-    return rounded(teams.cluster_summary(teams.classify_teams(_samples(s, d), fx.tracks(s, d))))
-
-
 @query("duration_buckets", "SELECT clip_id, CASE WHEN x < 300 THEN 'short' WHEN x < 1800 THEN 'medium' WHEN x IS NOT NULL THEN 'long' ELSE 'unknown_duration' END AS bucket, count(*) AS n FROM (SELECT clip_id, CASE WHEN event_id % 7 > 0 THEN (event_id * 97 % 4000)::DOUBLE END AS x FROM intervals) GROUP BY 1, 2")
 def _(s, d):
     x = F.when(F.col("event_id") % 7 > 0, (F.col("event_id") * 97 % 4000).cast("double"))
