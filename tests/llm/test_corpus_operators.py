@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -338,6 +339,40 @@ def test_other_columns_are_refused(spark, tmp_path):
     assert t.read().count() == 1
 
 
+def test_commits_are_exclusive(spark, tmp_path):
+    """8 writers at once on each of 10 tables: every commit is there, every version can be read."""
+    tables = [str(tmp_path / f"t{i}") for i in range(10)]
+
+    def write(job):
+        path, who = job
+        t = sharding.ShardedTable(spark, path)
+        for k in range(3):
+            t._commit(t.manifest(), lambda m, k=k: {"schema": m["schema"], "runs": [*m["runs"], {"name": f"{who}-{k}"}]})
+
+    with ThreadPoolExecutor(80) as pool:
+        list(pool.map(write, [(path, who) for path in tables for who in range(8)]))
+    for path in tables:
+        t = sharding.ShardedTable(spark, path)
+        assert t.version() == 24 and sorted(r["name"] for r in t.manifest()["runs"]) == sorted(f"{who}-{k}" for who in range(8) for k in range(3))
+        assert [len(t.manifest(v)["runs"]) for v in range(1, 25)] == list(range(1, 25))
+        assert not [n for n, _ in t._list(f"{path}/manifest") if n.startswith("_")]
+
+
+def test_appends_at_once(spark, tmp_path):
+    def write(i):
+        sharding.ShardedTable(spark, str(tmp_path / "t")).append(spark.range(i * 10, i * 10 + 10))
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(6)))
+    assert sorted(r.id for r in sharding.ShardedTable(spark, str(tmp_path / "t")).read().collect()) == list(range(60))
+
+
+def test_a_store_without_exclusive_names_is_refused(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "EXCLUSIVE", ("hdfs",))
+    with pytest.raises(ValueError, match="exclusive"):
+        sharding.ShardedTable(spark, str(tmp_path / "t"))
+
+
 def test_sharding(spark, tmp_path):
     docs = frame(spark, [(i, f"t{i}") for i in range(500)] + [(None, None), (3, "t3")])
     t = sharding.ShardedTable(spark, str(tmp_path / "t"), target_bytes=20_000, fan=3)

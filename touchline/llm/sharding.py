@@ -3,8 +3,8 @@
 Every append adds small shards. Compaction takes runs of similar size (the same
 tier: sizes within a factor of `fan`), once `fan` of them are there, and merges
 them into files of about the target size, without a shuffle. Each change is a new
-manifest, a JSON file named by its version; whoever creates it first has the
-version, others begin again from it. Readers see one manifest's files. A run is
+manifest, a JSON file named by its version; whoever gives a file that name first
+has the version, others begin again from it. Readers see one manifest's files. A run is
 announced before its data is written and until it is committed, so that vacuum
 leaves it alone.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import time
 import uuid
 
@@ -21,15 +22,21 @@ from pyspark.sql import functions as F
 
 from .text import fresh_dir
 
+#: Stores on which a name is given exclusively: by a hard link, by a rename.
+EXCLUSIVE = ("file", "hdfs")
+
 
 class ShardedTable:
-    """path: a folder that the driver and all executors share."""
+    """path: a folder that the driver and all executors share, on a store of EXCLUSIVE; on others ValueError, as two writers could both think that they were first."""
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan: int = 4):
         self.spark, self.path, self.target, self.fan = spark, path, target_bytes, fan
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._scheme = self._fs.getUri().getScheme()
+        if self._scheme not in EXCLUSIVE:
+            raise ValueError(f"{path}: a table's folder must lie on one of {EXCLUSIVE}, where a file takes a name in one exclusive step; {self._scheme} doesn't promise that")
 
     def _list(self, folder: str) -> list[tuple[str, int]]:
         p = self._path(folder)
@@ -50,7 +57,7 @@ class ShardedTable:
             stream.close()
 
     def _commit(self, seen: dict, change) -> int:
-        """Writes the manifest that follows; if another writer was first, applies the change to theirs. The file is written under a name of its own and renamed, which fails if the version is there."""
+        """Writes the manifest that follows; if another writer was first, applies the change to theirs. The file is written whole under a name of its own and then takes the version's name, which fails if that is there."""
         while True:
             new = change(seen)
             if new is None:
@@ -61,17 +68,26 @@ class ShardedTable:
             out = self._fs.create(own, False)
             out.write(bytearray(json.dumps(new).encode()))
             out.close()
-            if self._rename(own, self._path(f"{self.path}/manifest/v{new['version']:08d}.json")):
-                return new["version"]
+            first = self._named(own, self._path(f"{self.path}/manifest/v{new['version']:08d}.json"))
             self._fs.delete(own, False)
+            if first:
+                return new["version"]
             seen = self.manifest()
 
-    def _rename(self, source, target) -> bool:
+    def _named(self, own, version) -> bool:
+        """Gives the file the version's name too; False if that is taken. On a local or mounted disk by a hard link, on HDFS by a rename that doesn't overwrite: both are one exclusive step there."""
+        if self._scheme == "file":
+            try:
+                os.link(own.toUri().getPath(), version.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
         jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
+        own, version = self._fs.makeQualified(own), self._fs.makeQualified(version)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(self._fs.makeQualified(source), self._fs.makeQualified(target), none)
+            context.rename(own, version, none)
             return True
         except Exception as e:  # of the Java side
             if "FileAlreadyExists" in str(e):
