@@ -191,11 +191,30 @@ def test_ball_tracks(spark):
 
 
 def test_players_keep_their_track(spark):
-    rows = [(1, f, p, f / 25, 300.0 * p + 5 * f, 0.0, 1.0) for f in range(5) for p in (0, 1)]
-    got = tracking.centroid_track(spark.createDataFrame(rows, DET)).collect()
+    """The smoothed box has whole corners (0.7 * 20 + 0.3 * 25 = 21.5, to even 22); a ball, and a box that is too small, have no track."""
+    box = "clip_id long, frame long, det_id long, class_name string, x1 double, y1 double, x2 double, y2 double"
+    rows = [(1, f, p, "person", 300.0 * p + 5 * f, 0.0, 300.0 * p + 5 * f + 20, 40.0) for f in range(5) for p in (0, 1)] + [(1, 2, 5, "ball", 0.0, 0.0, 50.0, 50.0), (1, 2, 6, "person", 0.0, 0.0, 9.0, 11.0)]
+    got = tracking.centroid_track(spark.createDataFrame(rows, box)).collect()
     assert {(r.det_id, r.track_id) for r in got} == {(0, 1), (1, 2)}
     second = next(r for r in got if r.frame == 1 and r.det_id == 0)
-    assert math.isclose(second.center_x, 1.5)
+    assert (second.x1, second.x2, second.center_x) == (2.0, 22.0, 12.0)
+
+
+def test_gaps_of_a_ball_track(spark):
+    """Gaps of 2 and of 8 missing frames are filled, one of 9 isn't."""
+    rows = [(1, 1, f, f / 10, float(f), 2.0 * f, c) for f, c in ((0, 0.5), (3, 0.4), (12, 0.9), (22, 0.9))] + [(1, 2, 5, 0.5, 0.0, 0.0, 1.0)]
+    got = tracking.with_gaps_filled(spark.createDataFrame(rows, tracking.LINKED.replace("track_id long, frame long", "track_id long, frame long")))
+    filled = {r.frame: r for r in got.where("is_interpolated").collect()}
+    assert sorted(filled) == [1, 2, *range(4, 12)]
+    assert (filled[2].timestamp, filled[2].center_x, filled[2].center_y, filled[2].confidence) == pytest.approx((0.2, 2.0, 4.0, 0.4))
+    assert tuple(tracking.ball_tracking_summary(got).first()) == (1, 2, 14, 7.5, 10, 2)
+
+
+def test_times_of_absent_frames(spark):
+    rows = [(1, f, 0, t) for f, t in ((2, 0.5), (4, 0.7), (5, 0.8), (9, 1.6))] + [(2, 3, 0, 9.0)]
+    got = {(r.clip_id, r.frame): (r.timestamp, r.is_extrapolated) for r in tracking.frame_times(spark.createDataFrame(rows, "clip_id long, frame long, det_id long, timestamp double")).collect()}
+    assert sorted(f for c, f in got if c == 1) == list(range(2, 10)) and got[1, 2] == (0.5, False) and got[2, 3] == (9.0, False)
+    assert got[1, 3] == (pytest.approx(0.3), True) and got[1, 8] == (pytest.approx(0.8), True)
 
 
 def test_boxes(spark):

@@ -51,7 +51,7 @@ def colour_samples(spark, shades, n=10):
 
 
 def test_an_odd_track_leaves_two_teams(spark):
-    shades = [(100 + i % 3, 100 + i % 5 * 10, 50.0) for i in range(10)] + [(130 + i % 3, 100 + i % 5 * 10, 50.0) for i in range(10)] + [(115, 155, 50.0)]
+    shades = [(100 + i % 2, 96 + i % 3 * 4, 50.0) for i in range(10)] + [(130 + i % 2, 96 + i % 3 * 4, 50.0) for i in range(10)] + [(115, 117, 50.0)]
     samples = colour_samples(spark, shades)
     got = {r.track_id: r.team for r in teams.classify_teams(samples, samples).collect()}
     assert len({got[i] for i in range(10)}) == len({got[i] for i in range(10, 20)}) == 1

@@ -221,14 +221,39 @@ def _(s, d):
     return tracking.link_ball_tracks(_detections(s, d))
 
 
-@query("ball_tracking_summary", None)
+_FILLED = """, gp AS (SELECT *, lead(frame) OVER w - frame - 1 AS gap, lead(frame) OVER w AS nf, lead("timestamp") OVER w AS nt, lead(center_x) OVER w AS nx, lead(center_y) OVER w AS ny, lead(confidence) OVER w AS nc FROM tracks WHERE frame % 17 < 9 OR track_id % 3 = 0 WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame)),
+filled AS (SELECT clip_id, track_id, frame + k AS frame, CASE WHEN k > 0 THEN "timestamp" + k / (gap + 1) * (nt - "timestamp") ELSE "timestamp" END AS "timestamp", CASE WHEN k > 0 THEN center_x + k / (gap + 1) * (nx - center_x) ELSE center_x END AS center_x, CASE WHEN k > 0 THEN center_y + k / (gap + 1) * (ny - center_y) ELSE center_y END AS center_y, CASE WHEN k > 0 THEN least(confidence, nc) ELSE confidence END AS confidence, k > 0 AS is_interpolated FROM (SELECT *, unnest(CASE WHEN gap BETWEEN 1 AND 8 THEN range(gap + 1) ELSE [0] END) AS k FROM gp))
+"""
+
+
+def _filled(s, d):
+    """Tracks with gaps, as if they were the ball's."""
+    return tracking.with_gaps_filled(fx.tracks(s, d).where("frame % 17 < 9 or track_id % 3 = 0").drop("height"))
+
+
+@query("ball_gaps_filled", _FILLED + _select("filled", "", "timestamp", "center_x", "center_y", "confidence"))
+def _(s, d):
+    return rounded(_filled(s, d))
+
+
+@query("ball_tracking_summary", _FILLED + """, fr AS (SELECT *, is_interpolated AND NOT lag(is_interpolated) OVER (PARTITION BY clip_id, track_id ORDER BY frame) AS first_ FROM filled), pt AS (SELECT clip_id, track_id, count(*) AS n, count(*) FILTER (is_interpolated) AS points, count(*) FILTER (first_) AS gaps FROM fr GROUP BY 1, 2)
+SELECT clip_id, count(*) AS tracks, max(n) AS longest, round(avg(n), 6) AS mean_length, sum(points)::BIGINT AS interpolated_points, sum(gaps)::BIGINT AS gaps_filled FROM pt GROUP BY 1""")
+def _(s, d):
+    return rounded(tracking.ball_tracking_summary(_filled(s, d)))
+
+
+@query("frame_times", """, det AS (SELECT clip_id, frame, "timestamp" + frame % 3 * 0.001::DOUBLE AS t FROM frames WHERE frame % 7 <> 2 AND frame > 3), du AS (SELECT clip_id, median(d) FILTER (d > 0) AS d, min(frame) AS a, max(frame) AS b FROM (SELECT *, (t - lag(t) OVER w) / (frame - lag(frame) OVER w) AS d FROM det WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) GROUP BY 1)
+SELECT s.clip_id, s.frame, round(coalesce(t, s.frame * d), 6) AS "timestamp", t IS NULL AS is_extrapolated FROM (SELECT clip_id, d, unnest(range(a, b + 1)) AS frame FROM du) s LEFT JOIN det ON det.clip_id = s.clip_id AND det.frame = s.frame""")
 def _(s, d):
-    return rounded(tracking.ball_tracking_summary(tracking.link_ball_tracks(_detections(s, d))))
+    f = fx.frames(s, d).where("frame % 7 <> 2 and frame > 3").withColumns({"timestamp": F.col("timestamp") + F.col("frame") % 3 * 0.001, "det_id": F.lit(0)})
+    return rounded(tracking.frame_times(f))
 
 
 @query("centroid_track", None)
 def _(s, d):
-    return rounded(tracking.centroid_track(_detections(s, d)))
+    half = lambda c, k: F.col(c) + F.lit(k)
+    boxes = _detections(s, d).withColumns({"class_name": F.when(F.col("frame") % 10 == 9, "ball").otherwise("person"), "x1": half("center_x", -10), "x2": half("center_x", 10), "y1": half("center_y", -20), "y2": half("center_y", 20)})
+    return rounded(tracking.centroid_track(boxes))
 
 
 _BOXES = """, tb AS (SELECT clip_id, frame, track_id AS box_id, center_x AS x1, center_y AS y1, center_x + 40 AS x2, center_y + 80 AS y2, row_number() OVER (PARTITION BY clip_id, frame ORDER BY track_id) - 1 AS i FROM tracks),
