@@ -46,3 +46,44 @@ def annotated_intervals(boxes: DataFrame, fps: float = 25.0) -> DataFrame:
     hit = overlapping(a, b).where("bn < an").groupBy("clip_id", F.col("an").alias("n")).agg(F.count("*").alias("overlaps"))
     out = e.join(hit, ["clip_id", "n"], "left")
     return out.select("clip_id", F.format_string("%s__event_%04d", F.col("clip_id").cast("string"), "n").alias("event_id"), F.col("label").alias("event_type"), "start_frame", "end_frame", (F.col("start_frame") / fps).alias("start_seconds"), (F.col("end_frame") / fps).alias("end_seconds"), (F.col("label") == "uncertain").alias("uncertain"), "duplicates", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
+
+
+#: Fixed frame rate where nothing tells one.
+RATE = 25.0
+
+
+def annotation_rates(archived: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(clip_id, task_name, expected_task, fps, warning) of each archived clip that the manifest (clip_id, fps, duration_seconds, cvat_task_name) has: its rate, or the task's frames by the duration, or 25."""
+    a = archived.groupBy("clip_id").agg(F.max("task_name").alias("task_name"), F.max("task_size").alias("task_size"))
+    df = a.join(manifest.select("clip_id", F.coalesce("fps", F.lit(0.0)).alias("_fps"), F.coalesce("duration_seconds", F.lit(0.0)).alias("_d"), F.coalesce("cvat_task_name", F.lit("")).alias("expected_task")), "clip_id")
+    told, derived = F.col("_fps") > 0, (F.col("_d") > 0) & (F.col("task_size") > 0)
+    rate = F.col("task_size") / F.col("_d")
+    words = F.format_string("manifest fps missing; derived fps=%.6f from CVAT task size %d and duration %.3fs", rate, "task_size", "_d")
+    return df.select("clip_id", "task_name", "expected_task", F.when(told, F.col("_fps")).when(derived, rate).otherwise(RATE).alias("fps"), F.when(told, None).when(derived, words).otherwise("manifest fps missing; using fallback fps=25.0").alias("warning"))
+
+
+def annotation_events(archived: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The events of archived boxes (of sources.archives) by annotated_intervals, with times by each clip's own rate; clips that the manifest lacks are left out."""
+    rates = annotation_rates(archived, manifest).select("clip_id", "expected_task", "fps")
+    e = annotated_intervals(archived, 1.0).drop("start_seconds", "end_seconds").join(rates, "clip_id")
+    return e.withColumns({"start_seconds": F.col("start_frame") / F.col("fps"), "end_seconds": F.col("end_frame") / F.col("fps")}).drop("fps").withColumnRenamed("expected_task", "cvat_task_name")
+
+
+def annotation_issues(archived: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(clip_id, severity, message): clips that the manifest lacks, tasks of other names, missing rates, repeated events, and events that share frames."""
+    row = lambda df, severity, message: df.select("clip_id", F.lit(severity).alias("severity"), message.alias("message"))
+    unknown = archived.select("clip_id", "archive").distinct().join(manifest.select("clip_id"), "clip_id", "left_anti")
+    rates = annotation_rates(archived, manifest)
+    name, want = F.col("task_name"), F.col("expected_task")
+    allowed = (name == "") | (want == "") | (name == want) | (name == "gold_v1__{{file_name}}") | (name == F.concat("clip_id", F.lit(".mp4"))) | (name == F.concat(F.lit("gold_v1__"), "clip_id", F.lit(".mp4")))
+    e = annotated_intervals(archived.join(manifest.select("clip_id"), "clip_id", "left_semi"), 1.0)
+    own = e.select("clip_id", F.split("event_id", "__event_")[1].cast("long").alias("n"), "event_type", "start_frame", "end_frame", "duplicates")
+    a, b = (own.select("clip_id", *(F.col(c).alias(f"{k}_{c}") for c in ("n", "event_type")), F.col("start_frame").alias(f"{k}_start"), F.col("end_frame").alias(f"{k}_end")) for k in "ab")
+    both = overlapping(a, b).where("b_n < a_n")
+    return (
+        row(unknown, "error", F.concat(F.lit("unknown clip export: "), "archive"))
+        .union(row(rates.where(~allowed), "warning", F.format_string("task name mismatch: export=%s, manifest=%s", name, want)))
+        .union(row(rates.where("warning is not null"), "warning", F.col("warning")))
+        .union(row(own.withColumn("_", F.explode(F.when(F.col("duplicates") > 0, F.sequence(F.lit(1).cast("long"), "duplicates")).otherwise(F.array().cast("array<bigint>")))), "error", F.format_string("duplicate event: %s %d-%d", "event_type", "start_frame", "end_frame")))
+        .union(row(both, "warning", F.format_string("overlap: %s %d-%d with %s %d-%d", "a_event_type", "a_start", "a_end", "b_event_type", "b_start", "b_end")))
+    )

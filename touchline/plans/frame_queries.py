@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import frame_table, labels
+from ..sources import archives
 from ..sources import fixtures as fx
+from ..sources.files import saved_path
 from .catalog import _CARRY, _CHANGES, _NEAR, _possession, query, rounded
 from .event_queries import _carries
 
@@ -75,9 +77,54 @@ def _boxes(s, d):
     return i.select("clip_id", F.explode(F.expr("CASE WHEN event_id % 5 = 0 THEN array(event_id, event_id + 1000000) ELSE array(event_id) END")).alias("track_no"), "label", F.explode(F.sequence("start_frame", "end_frame")).alias("frame")).withColumn("outside", F.col("frame") % 17 == 0)
 
 
-@query("annotated_intervals", """, boxes AS (SELECT clip_id, unnest(CASE WHEN event_id % 5 = 0 THEN [event_id, event_id + 1000000] ELSE [event_id] END) AS track_no, label, s AS frame FROM (SELECT *, unnest(range(start_frame, end_frame + 1)) AS s FROM intervals WHERE event_id % 11 <> 0) WHERE s % 17 <> 0),
+_EVENTS = """, boxes AS (SELECT clip_id, unnest(CASE WHEN event_id % 5 = 0 THEN [event_id, event_id + 1000000] ELSE [event_id] END) AS track_no, label, s AS frame FROM (SELECT *, unnest(range(start_frame, end_frame + 1)) AS s FROM intervals WHERE event_id % 11 <> 0) WHERE s % 17 <> 0),
 once AS (SELECT clip_id, label, start_frame, end_frame, min(track_no) AS track_no, count(*) - 1 AS duplicates FROM (SELECT clip_id, track_no, label, min(frame) AS start_frame, max(frame) AS end_frame FROM (SELECT *, frame - row_number() OVER (PARTITION BY clip_id, track_no, label ORDER BY frame) AS run FROM boxes) GROUP BY clip_id, track_no, label, run) GROUP BY 1, 2, 3, 4),
-e AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY track_no, start_frame, label) AS n FROM once)
-SELECT clip_id, printf('%d__event_%04d', clip_id, n) AS event_id, label AS event_type, start_frame, end_frame, round(start_frame / 25.0::DOUBLE, 6) AS start_seconds, round(end_frame / 25.0::DOUBLE, 6) AS end_seconds, label = 'uncertain' AS uncertain, duplicates, (SELECT count(*) FROM e b WHERE b.clip_id = a.clip_id AND b.n < a.n AND b.start_frame <= a.end_frame AND b.end_frame >= a.start_frame) AS overlaps FROM e a""")
+e AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY track_no, start_frame, label) AS n FROM once)"""
+_INTERVALS = _EVENTS + """
+SELECT clip_id, printf('%d__event_%04d', clip_id, n) AS event_id, label AS event_type, start_frame, end_frame, round(start_frame / 25.0::DOUBLE, 6) AS start_seconds, round(end_frame / 25.0::DOUBLE, 6) AS end_seconds, label = 'uncertain' AS uncertain, duplicates, (SELECT count(*) FROM e b WHERE b.clip_id = a.clip_id AND b.n < a.n AND b.start_frame <= a.end_frame AND b.end_frame >= a.start_frame) AS overlaps FROM e a"""
+
+
+@query("annotated_intervals", _INTERVALS)
 def _(s, d):
     return rounded(labels.annotated_intervals(_boxes(s, d)))
+
+
+def _archived(s, d):
+    """The boxes of _boxes as they come back from archives."""
+    n = F.col("clip_id")
+    task = F.when(n == 2, "another task").when(n == 3, "gold_v1__3.mp4").otherwise(F.concat(F.lit("task "), n.cast("string")))
+    path = f"{saved_path(s)}/archives"
+    archives.write_annotations(_boxes(s, d).withColumns({"clip_id": n.cast("string"), "task_name": task, "task_size": n * 100}), path)
+    return archives.read_annotations(s, path)
+
+
+@query("annotation_archives", _INTERVALS)
+def _(s, d):
+    """Annotated events by way of archives: written, read back, joined to events."""
+    return rounded(labels.annotated_intervals(_archived(s, d).withColumn("clip_id", F.col("clip_id").cast("long"))))
+
+
+_MANIFEST = _EVENTS + """, task AS (SELECT DISTINCT clip_id, CASE clip_id WHEN 2 THEN 'another task' WHEN 3 THEN 'gold_v1__3.mp4' ELSE 'task ' || clip_id END AS task_name, clip_id * 100 AS size FROM frames),
+mf AS (SELECT *, 'task ' || clip_id AS want, CASE WHEN clip_id % 3 = 0 THEN 24 + clip_id END::DOUBLE AS told, CASE WHEN clip_id % 3 = 1 THEN 5 + clip_id END::DOUBLE AS secs FROM task WHERE clip_id <> 6),
+rate AS (SELECT *, CASE WHEN told > 0 THEN told WHEN secs > 0 AND size > 0 THEN size / secs ELSE 25 END AS fps FROM mf), ev AS (SELECT e.*, r.fps, r.want FROM e JOIN rate r ON r.clip_id = e.clip_id)
+"""
+
+
+def _manifest(s, d):
+    n = F.col("clip_id")
+    m = fx.frames(s, d).select("clip_id").distinct().where("clip_id <> 6")
+    return m.select(n.cast("string").alias("clip_id"), F.concat(F.lit("task "), n.cast("string")).alias("cvat_task_name"), F.when(n % 3 == 0, (24 + n).cast("double")).alias("fps"), F.when(n % 3 == 1, (5 + n).cast("double")).alias("duration_seconds"))
+
+
+@query("annotation_events", _MANIFEST + """SELECT clip_id::VARCHAR AS clip_id, printf('%d__event_%04d', clip_id, n) AS event_id, label AS event_type, start_frame, end_frame, round(start_frame / fps, 6) AS start_seconds, round(end_frame / fps, 6) AS end_seconds, want AS cvat_task_name, label = 'uncertain' AS uncertain, duplicates, (SELECT count(*) FROM e b WHERE b.clip_id = a.clip_id AND b.n < a.n AND b.start_frame <= a.end_frame AND b.end_frame >= a.start_frame) AS overlaps FROM ev a""")
+def _(s, d):
+    return rounded(labels.annotation_events(_archived(s, d), _manifest(s, d)))
+
+
+@query("annotation_issues", _MANIFEST + """SELECT '6' AS clip_id, 'error' AS severity, 'unknown clip export: cvat_export__6.zip' AS message
+UNION ALL SELECT '2', 'warning', 'task name mismatch: export=another task, manifest=task 2'
+UNION ALL SELECT clip_id::VARCHAR, 'warning', CASE WHEN secs > 0 AND size > 0 THEN printf('manifest fps missing; derived fps=%.6f from CVAT task size %d and duration %.3fs', fps, size, secs) ELSE 'manifest fps missing; using fallback fps=25.0' END FROM rate WHERE told IS NULL
+UNION ALL SELECT clip_id::VARCHAR, 'error', printf('duplicate event: %s %d-%d', label, start_frame, end_frame) FROM ev WHERE duplicates > 0
+UNION ALL SELECT a.clip_id::VARCHAR, 'warning', printf('overlap: %s %d-%d with %s %d-%d', a.label, a.start_frame, a.end_frame, b.label, b.start_frame, b.end_frame) FROM ev a JOIN ev b ON b.clip_id = a.clip_id AND b.n < a.n AND b.start_frame <= a.end_frame AND b.end_frame >= a.start_frame""")
+def _(s, d):
+    return labels.annotation_issues(_archived(s, d), _manifest(s, d))

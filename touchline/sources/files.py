@@ -53,12 +53,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares (spark.checkpoint.dir; on a local master one of our own if that is unset): its plan ends there, which long chains of operators need."""
-    spark = df.sparkSession
+def saved_path(spark: SparkSession, what: str = "table") -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir; on a local master one of our own if that is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(base or '/tmp/checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its plan ends there, which long chains of operators need."""
+    path = saved_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
