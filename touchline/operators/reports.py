@@ -24,6 +24,36 @@ def normalise(df: DataFrame, columns: list[str], split: str = "split") -> DataFr
     return out.withColumns({c: z(c) for c in columns}).select(*df.columns)
 
 
+def window_cover(frames: DataFrame, windows: DataFrame) -> DataFrame:
+    """frames with cover, the number of windows (clip_id, start_frame, end_frame) that hold each frame: a window adds one at its start and takes it off behind its end, and a running sum over the clip tells how many are open. No frame is repeated."""
+    names = [c for c in frames.columns if c != "cover"]
+    edge = lambda frame, n: windows.where("start_frame <= end_frame").select("clip_id", frame.cast("long").alias("frame"), F.lit(n).cast("long").alias("_n"))
+    edges = edge(F.col("start_frame"), 1).union(edge(F.col("end_frame") + 1, -1)).groupBy("clip_id", "frame").agg(F.sum("_n").alias("_n"))
+    rows = frames.select(*names).withColumn("_row", F.lit(True)).unionByName(edges, allowMissingColumns=True)
+    open_ = F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy("clip_id").orderBy("frame").rangeBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("cover", open_).where("_row").select(*names, "cover")
+
+
+def window_moments(frames: DataFrame, windows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a column: mean and deviation (of a sample) over the frames of all windows, a frame counting once for each window that holds it, nulls not at all. Mean 0 if nothing counts, deviation 1 if it is 0 or one value is all there is."""
+    value = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns)))
+    df = window_cover(frames, windows).where("cover > 0").select("cover", value.alias("v")).select("cover", "v.*").where("x is not null")
+    means = df.groupBy("feature").agg(F.sum("cover").alias("n"), (F.sum(F.col("x") * F.col("cover")) / F.sum("cover")).alias("mean"))
+    off = F.col("x") - F.col("mean")
+    spread = df.join(F.broadcast(means), "feature").groupBy("feature").agg(F.sum(off * off * F.col("cover")).alias("_off"))
+    names = frames.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    deviation = F.sqrt(F.col("_off") / F.nullif(F.col("n") - 1, F.lit(0)))
+    return names.join(means, "feature", "left").join(spread, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce(F.nullif(deviation, F.lit(0.0)), F.lit(1.0)).alias("std"))
+
+
+def normalised_frames(frames: DataFrame, windows: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
+    """frames with `columns` as z-scores by the moments of the training windows; a missing value becomes 0. A window's features are the rows of its frames."""
+    m = window_moments(frames, windows.where(F.col(split) == "train"), columns)
+    one = m.agg(*(F.max(F.when(F.col("feature") == c, F.col(k))).alias(f"_{k}_{c}") for c in columns for k in ("mean", "std")))
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}"), F.lit(0.0))
+    return frames.join(F.broadcast(one)).withColumns({c: z(c) for c in columns}).select(*frames.columns)  # one row
+
+
 def event_kind(c: str) -> Column:
     """carry, pass, turnover or shot by how the name of an event's type begins; null: none of them."""
     text = F.lower(F.trim(F.col(c).cast("string")))
