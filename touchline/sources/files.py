@@ -49,8 +49,24 @@ def write_csv(df: DataFrame, path: str, digits: int = 6) -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines of JSON objects; lines that don't parse give nulls."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    """Files of JSON: one object, an array of objects over any number of lines, or an object a line; what doesn't parse gives one row of nulls.
+
+    A file is told by its first sign: an array is read whole, objects by line, and
+    an object that goes on over lines is read whole too.
+    """
+    columns = [f.name for f in T.StructType.fromDDL(schema)]
+    text = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "^\ufeff|\\s+$", "")).alias("t"))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")
+    each = F.forall(lines, lambda x: F.trim(x).rlike(r"^\{.*\}$"))
+    listed = F.col("t").startswith("[")
+    items = F.when(listed, F.from_json("t", f"array<struct<{schema_fields(schema)}>>")).otherwise(F.transform(F.when(each, lines).otherwise(F.array("t")), lambda x: F.from_json(x, f"struct<{schema_fields(schema)}>")))
+    broken = F.array(F.lit(None).cast(f"struct<{schema_fields(schema)}>"))
+    return text.where("t <> ''").select(F.explode(F.coalesce(items, broken)).alias("x")).select(*(F.col("x")[c].alias(c) for c in columns))
+
+
+def schema_fields(schema: str) -> str:
+    """A schema's columns as the fields of a struct type."""
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema))
 
 
 def saved_path(spark: SparkSession, what: str = "table") -> str:
