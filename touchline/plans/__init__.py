@@ -1 +1 @@
-from . import catalog, event_queries, file_queries, frame_queries, relational, role_queries, scoring_queries, split_queries, window_queries  # noqa: F401  each registers its queries
+from . import catalog, download_queries, event_queries, file_queries, frame_queries, relational, role_queries, scoring_queries, split_queries, window_queries  # noqa: F401  each registers its queries
