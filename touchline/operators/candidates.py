@@ -215,8 +215,17 @@ def refine_shots(shots: DataFrame, possession: DataFrame, local: int = 6, side:
 GIVEN = {"team": "string", "player_id": "long", "secondary_player_id": "long", "tier": "string", "quality_flag": "string", "rule_reasons": "string", "status": "string", "refinement_reasons": "string", "max_speed": "double", "max_acceleration": "double", "ball_distance": "double", "possession_before": "string", "possession_after": "string", "subtype": "string"}
 
 
-def unify_events(carries: DataFrame, weak: DataFrame, interceptions: DataFrame, passes: DataFrame, turnovers: DataFrame, shots: DataFrame, bounds: DataFrame, pad: int = 8) -> DataFrame:
-    """All six sources in one table, inside their clip, in order of start, end and falling priority, with the groups of those that overlap and interceptions marked that a refined turnover stands for."""
+#: Fixed text: what is done about events that overlap.
+OVERLAP_POLICY = "mark_only_no_label_resolution"
+
+
+def unify_events(carries: DataFrame, weak: DataFrame, interceptions: DataFrame, passes: DataFrame, turnovers: DataFrame, shots: DataFrame, bounds: DataFrame, frames: DataFrame, pad: int = 8, files: dict[str, str] | None = None) -> DataFrame:
+    """All six sources in one table, inside their clip, in order of start, end and falling priority, with the groups of those that overlap and interceptions marked that a refined turnover stands for.
+
+    frames (clip_id, frame, timestamp) tells the times of start, end and middle: that
+    of the nearest frame, the earlier of two. files: the file of each source by its
+    type; its type and .csv if it isn't given.
+    """
 
     def part(rank: int, df: DataFrame, kind: str, family: str, source: str, label: str, key: str, center: Column, confidence: Column, review: Column, weak_eligible: Column, **given: Column) -> DataFrame:
         more = [given.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in GIVEN.items()]
@@ -237,7 +246,23 @@ def unify_events(carries: DataFrame, weak: DataFrame, interceptions: DataFrame,
     order = clip().orderBy("start_frame", "end_frame", F.desc("priority"), "_rank", "source_id")
     df = df.withColumns({"event_id": F.row_number().over(order).cast("long"), "confidence": F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)), "is_gold_label": F.lit(0), "notes": F.lit("")}).drop("_rank")
     df = overlap_groups(mark_interceptions(df))
-    return df.withColumn("overlap_warning", F.col("overlap_group").isNotNull().cast("int")).drop("subtype")
+    for at in ("start", "end", "center"):
+        df = with_time(df, frames, f"{at}_frame", f"{at}_timestamp")
+    file = F.concat("source_type", F.lit(".csv"))
+    for kind, name in (files or {}).items():
+        file = F.when(F.col("source_type") == kind, F.lit(name)).otherwise(file)
+    return df.withColumns({"overlap_warning": F.col("overlap_group").isNotNull().cast("int"), "overlap_policy": F.lit(OVERLAP_POLICY), "source_file": file}).drop("subtype")
+
+
+def with_time(events: DataFrame, frames: DataFrame, at: str, name: str) -> DataFrame:
+    """events with the column `name`: the timestamp of the clip's frame nearest to the column `at`, the earlier frame if two are as near; null without frames. One pass over the clip's frames and wanted frames in order, no pairs."""
+    known = frames.where("frame is not null").groupBy("clip_id", "frame").agg(F.min("timestamp").alias("timestamp")).select("clip_id", "frame", F.struct("frame", "timestamp").alias("_f"))
+    wanted = events.where(F.col(at).isNotNull()).select("clip_id", F.col(at).alias("frame")).distinct().withColumn("_want", F.lit(True))
+    w = clip().orderBy("frame")
+    both = known.join(wanted, ["clip_id", "frame"], "full").withColumns({"_a": F.last("_f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_f", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    later = F.col("_a").isNull() | (F.col("_b.frame") - F.col("frame") < F.col("frame") - F.col("_a.frame"))
+    times = both.where("_want").select("clip_id", F.col("frame").alias(at), F.when(F.coalesce(later, F.lit(False)), F.col("_b.timestamp")).otherwise(F.col("_a.timestamp")).alias(name))
+    return events.join(times, ["clip_id", at], "left").select(*events.columns, name)
 
 
 def mark_interceptions(events: DataFrame, tolerance: int = 2) -> DataFrame:

@@ -39,12 +39,12 @@ def heatmap_grid(tracks: DataFrame, width: int, height: int, cols: int = 12, row
 
 
 def trajectories(tracks: DataFrame) -> DataFrame:
-    """Gap-aware motion: a missing frame or a time that doesn't advance begins a new segment; speed needs a step within it, acceleration two."""
+    """Gap-aware motion: a missing frame or a time that doesn't advance begins a new segment; speed needs a step within it, acceleration two. gap: frames since the track's row before."""
     df = steps(tracks).withColumn("_gap", F.col("frame") - F.lag("frame").over(track())).withColumn("_dt", F.col("timestamp") - F.lag("timestamp").over(track()))
     df = df.withColumn("_ok", flag((F.col("_gap") == 1) & (F.col("_dt") > 0)))
     df = df.withColumn("segment_id", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(track().rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     df = df.withColumn("speed", F.when(F.col("_ok"), F.col("step") / F.col("_dt")))
-    return df.withColumn("acceleration", F.when(F.col("_ok"), (F.col("speed") - F.lag("speed").over(track())) / F.col("_dt"))).select("clip_id", "track_id", "frame", "segment_id", F.when(F.col("_ok"), F.col("step")).alias("step"), "speed", "acceleration")
+    return df.withColumn("acceleration", F.when(F.col("_ok"), (F.col("speed") - F.lag("speed").over(track())) / F.col("_dt"))).select("clip_id", "track_id", "frame", F.col("_gap").alias("gap"), "segment_id", F.when(F.col("_ok"), F.col("step")).alias("step"), "speed", "acceleration")
 
 
 def nearest_players(ball: DataFrame, players: DataFrame, k: int = 4) -> DataFrame:

@@ -25,10 +25,11 @@ def owned(possession: DataFrame) -> DataFrame:
     return possession.where(F.col("team").isin(*TEAMS) & F.col("player_id").isNotNull())
 
 
-def runs(possession: DataFrame, max_gap: int | None) -> DataFrame:
-    """One row per run of an owner (team, player): bounds, frames, position of the ball at its first row."""
+def runs(possession: DataFrame, max_gap: int | None, unknown: bool = False) -> DataFrame:
+    """One row per run of an owner (team, player): bounds, frames, position of the ball at its first row. unknown: runs of a player of no known team are runs too."""
     df = islands(possession, ["team", "player_id"], max_gap)
-    return owned(df).groupBy("clip_id", "seg").agg(
+    held = df.where(F.col("player_id").isNotNull() & F.col("team").isNotNull() & (F.col("team") != "None")) if unknown else owned(df)
+    return held.groupBy("clip_id", "seg").agg(
         F.first("team").alias("team"), F.first("player_id").alias("player_id"),
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"),
         F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
@@ -38,12 +39,12 @@ def runs(possession: DataFrame, max_gap: int | None) -> DataFrame:
 
 
 def detect_interceptions(possession: DataFrame, min_previous: int = 3, min_new: int = 2) -> DataFrame:
-    """The ball changes teams between neighbouring runs that are long enough."""
+    """The ball changes teams between neighbouring runs that are long enough. A run of a player of no known team stands between its neighbours: they don't follow each other."""
     w = clip().orderBy("start_frame")
-    df = runs(possession, 1)
+    df = runs(possession, 1, unknown=True)
     for c in ("team", "player_id", "frames"):
         df = df.withColumn(f"previous_{c}", F.lag(c).over(w))
-    df = df.where((F.col("previous_team") != F.col("team")) & (F.col("previous_frames") >= min_previous) & (F.col("frames") >= min_new))
+    df = df.where(F.col("team").isin(*TEAMS) & F.col("previous_team").isin(*TEAMS) & (F.col("previous_team") != F.col("team")) & (F.col("previous_frames") >= min_previous) & (F.col("frames") >= min_new))
     return df.select(
         "clip_id", F.row_number().over(w).cast("long").alias("interception_id"), F.col("start_frame").alias("frame"), F.col("start_time").alias("timestamp"),
         F.col("player_id").alias("winner_player_id"), F.col("team").alias("winner_team"), "previous_player_id", "previous_team",
@@ -73,7 +74,7 @@ def estimate_carries(possession: DataFrame, players: DataFrame, min_frames: int
     g = g.withColumn("ball_distance_px", F.coalesce(distance("b0.ball_x", "b0.ball_y", "b1.ball_x", "b1.ball_y"), F.lit(0.0))).withColumn("player_distance_px", F.coalesce(distance("p0.player_x", "p0.player_y", "p1.player_x", "p1.player_y"), F.lit(0.0)))
     g = g.withColumn("carry_distance_threshold", F.col("mean_player_box_height") * multiplier)
     ok = g.where((F.col("frames") >= min_frames) & (F.col("duration_seconds") >= min_duration - 1e-9) & (F.col("ball_distance_px") >= min_ball) & (F.col("player_distance_px") >= min_player) & (F.col("carry_distance_threshold") > 0) & (F.coalesce("mean_distance_to_ball", F.lit(0.0)) <= F.col("carry_distance_threshold")) & (F.col("interpolated_share") <= max_interpolated))
-    return ok.select("clip_id", F.row_number().over(clip().orderBy("start_frame")).cast("long").alias("carry_id"), "player_id", "team", "start_frame", "end_frame", "frames", "duration_seconds", "ball_distance_px", "player_distance_px", "mean_distance_to_ball", "max_distance_to_ball", "mean_player_box_height", "carry_distance_threshold", "interpolated_share", reasons((F.col("interpolated_share") > 0, "contains_interpolation")).alias("carry_quality_flag"))
+    return ok.select("clip_id", F.row_number().over(clip().orderBy("start_frame")).cast("long").alias("carry_id"), "player_id", "team", "start_frame", "end_frame", F.col("b0.ball_x").alias("start_ball_x"), F.col("b0.ball_y").alias("start_ball_y"), F.col("b1.ball_x").alias("end_ball_x"), F.col("b1.ball_y").alias("end_ball_y"), "frames", "duration_seconds", "ball_distance_px", "player_distance_px", "mean_distance_to_ball", "max_distance_to_ball", "mean_player_box_height", "carry_distance_threshold", "interpolated_share", reasons((F.col("interpolated_share") > 0, "contains_interpolation")).alias("carry_quality_flag"))
 
 
 def carry_player_summary(carries: DataFrame) -> DataFrame:

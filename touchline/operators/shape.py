@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, flag
+from .frame_table import TEAMS
 from .motion import trajectories
-from .possession import eligible
 
-#: Least players of a team in a frame for a shape.
-LEAST = 3
-
-
-def team_shape(tracks: DataFrame, teams: DataFrame) -> DataFrame:
-    """One row per frame and team: players, centroid, width, depth, spread (root of the summed variances)."""
-    g = eligible(tracks, teams, 0.0).groupBy("clip_id", "frame", "timestamp", "team").agg(F.count("*").alias("players"), F.avg("center_x").alias("centroid_x"), F.avg("center_y").alias("centroid_y"), (F.max("center_x") - F.min("center_x")).alias("width"), (F.max("center_y") - F.min("center_y")).alias("depth"), F.sqrt(F.var_pop("center_x") + F.var_pop("center_y")).alias("spread"))
-    return g.withColumn("valid", F.col("players") >= LEAST)
+def team_shape(frames: DataFrame) -> DataFrame:
+    """One row per frame and team from the frame table (temporal_frames): players, centroid, width, depth, spread (mean distance from the centroid), and whether there is a shape (one player is enough). Rows without frame or time are left out."""
+    names = ("player_count", "centroid_x", "centroid_y", "width", "depth", "spread", "shape_valid")
+    each = F.explode(F.array(*(F.struct(F.lit(team).alias("team"), *(F.col(f"{k}_{c}").alias(c) for c in names)) for k, team in TEAMS.items())))
+    df = frames.where("frame is not null and timestamp is not null").select("clip_id", "frame", "timestamp", each.alias("x"))
+    return df.select("clip_id", "frame", "timestamp", "x.team", F.col("x.player_count").alias("players"), *(f"x.{c}" for c in names[1:-1]), (F.coalesce("x.shape_valid", F.lit(0)) == 1).alias("valid"))
 
 
 def shape_temporal_features(shape: DataFrame, rolling: int = 25) -> DataFrame:
@@ -74,8 +72,7 @@ def team_shape_summary(features: DataFrame) -> DataFrame:
 
 def movement_summary(tracks: DataFrame, teams: DataFrame, low: float = 0.30) -> DataFrame:
     """Each track's extent, motion and confidence, how fragmented it is, and whether it can be relied on. low: below this a detection counts as of low confidence."""
-    w = Window.partitionBy("clip_id", "track_id").orderBy("frame")
-    t = tracks.withColumn("_gap", F.col("frame") - F.lag("frame").over(w)).join(trajectories(tracks), ["clip_id", "track_id", "frame"])
+    t = tracks.join(trajectories(tracks).withColumnRenamed("gap", "_gap"), ["clip_id", "track_id", "frame"])
     span = lambda c: [F.avg(c).alias(f"mean_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
     g = t.groupBy("clip_id", "track_id").agg(
         F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
@@ -88,9 +85,18 @@ def movement_summary(tracks: DataFrame, teams: DataFrame, low: float = 0.30) ->
     return named.withColumn("quality", F.when((F.col("pairs") >= 2) & (F.col("risk") != "high"), "ok").otherwise("sparse_track"))
 
 
-def movement_temporal_features(tracks: DataFrame, frames: DataFrame) -> DataFrame:
-    """One row per frame: mean and largest speed of all players, and how many move faster than in nine of ten of the clip's steps."""
-    t = trajectories(tracks).where("speed is not null").select("clip_id", "frame", "speed")
-    limit = t.groupBy("clip_id").agg(F.percentile("speed", 0.9).alias("_limit"))
-    g = t.join(limit, "clip_id").groupBy("clip_id", "frame").agg(F.avg("speed").alias("mean_speed"), F.max("speed").alias("max_speed"), F.count_if(F.col("speed") >= F.col("_limit")).alias("fast_players"))
-    return frames.select("clip_id", "frame").join(g, ["clip_id", "frame"], "left").withColumn("fast_players", F.coalesce("fast_players", F.lit(0)))
+def movement_temporal_features(tracks: DataFrame, teams: DataFrame, frames: DataFrame) -> DataFrame:
+    """One row per frame of frames (clip_id, frame, timestamp): how many players move validly (a step from the frame before), their mean and largest speed and acceleration (without sign), how many are as fast as the fastest tenth of the clip's steps, both teams' players and mean speeds, and how many tracks come back after a gap. Frames without such players: measures null, counts 0."""
+    t = trajectories(tracks).join(teams.select("clip_id", "track_id", "team"), ["clip_id", "track_id"], "left").where("frame is not null")
+    moves = t.where("speed is not null")
+    limit = moves.groupBy("clip_id").agg(F.percentile("speed", 0.9).alias("_limit"))
+    of = lambda team: F.when(F.col("team") == team, F.col("speed"))
+    a = F.abs("acceleration")
+    g = moves.join(limit, "clip_id").groupBy("clip_id", "frame").agg(
+        F.count("*").alias("valid_players"), F.avg("speed").alias("mean_speed"), F.max("speed").alias("max_speed"), F.avg(a).alias("mean_acceleration"), F.max(a).alias("max_acceleration"), F.count_if(F.col("speed") >= F.col("_limit")).alias("fast_players"),
+        *(x for k, team in TEAMS.items() for x in (F.avg(of(team)).alias(f"{k}_mean_speed"), F.count(of(team)).alias(f"{k}_valid_players"))),
+    )
+    gaps = t.where("gap > 1").groupBy("clip_id", "frame").agg(F.count("*").alias("players_after_gap"))
+    df = frames.where("frame is not null").select("clip_id", "frame", "timestamp").join(g, ["clip_id", "frame"], "left").join(gaps, ["clip_id", "frame"], "left")
+    df = df.na.fill(0, ["valid_players", "fast_players", "players_after_gap", *(f"{k}_valid_players" for k in TEAMS)])
+    return df.withColumn("movement_valid", (F.col("valid_players") > 0).cast("int"))

@@ -101,7 +101,7 @@ _CARRY = _STRICT + """, pts AS (SELECT i.*, center_x AS px, center_y AS py, heig
 cg AS (SELECT clip_id, seg, any_value(team) AS team, any_value(player_id) AS player_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS frames, max("timestamp") - min("timestamp") AS duration_seconds, avg(distance_to_ball) AS mean_distance_to_ball, max(distance_to_ball) AS max_distance_to_ball, coalesce(avg(height), 0) AS mean_player_box_height, avg(CASE WHEN is_interpolated THEN 1.0::DOUBLE ELSE 0 END) AS interpolated_share,
  arg_min(ball_x, frame) FILTER (ball_x IS NOT NULL) AS bx0, arg_min(ball_y, frame) FILTER (ball_x IS NOT NULL) AS by0, arg_max(ball_x, frame) FILTER (ball_x IS NOT NULL) AS bx1, arg_max(ball_y, frame) FILTER (ball_x IS NOT NULL) AS by1, arg_min(px, frame) FILTER (px IS NOT NULL) AS px0, arg_min(py, frame) FILTER (px IS NOT NULL) AS py0, arg_max(px, frame) FILTER (px IS NOT NULL) AS px1, arg_max(py, frame) FILTER (px IS NOT NULL) AS py1 FROM pts GROUP BY clip_id, seg),
 cd AS (SELECT *, coalesce(sqrt((bx0 - bx1) * (bx0 - bx1) + (by0 - by1) * (by0 - by1)), 0) AS ball_distance_px, coalesce(sqrt((px0 - px1) * (px0 - px1) + (py0 - py1) * (py0 - py1)), 0) AS player_distance_px, mean_player_box_height * 0.8::DOUBLE AS carry_distance_threshold FROM cg),
-carry AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_frame) AS carry_id, player_id, team, start_frame, end_frame, frames, duration_seconds, ball_distance_px, player_distance_px, mean_distance_to_ball, max_distance_to_ball, mean_player_box_height, carry_distance_threshold, interpolated_share, CASE WHEN interpolated_share > 0 THEN 'contains_interpolation' ELSE 'ok' END AS carry_quality_flag FROM cd WHERE frames >= 5 AND duration_seconds >= 0.2 - 1e-9 AND ball_distance_px >= 20 AND player_distance_px >= 10 AND carry_distance_threshold > 0 AND coalesce(mean_distance_to_ball, 0) <= carry_distance_threshold AND interpolated_share <= 0.5)
+carry AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_frame) AS carry_id, player_id, team, start_frame, end_frame, bx0 AS start_ball_x, by0 AS start_ball_y, bx1 AS end_ball_x, by1 AS end_ball_y, frames, duration_seconds, ball_distance_px, player_distance_px, mean_distance_to_ball, max_distance_to_ball, mean_player_box_height, carry_distance_threshold, interpolated_share, CASE WHEN interpolated_share > 0 THEN 'contains_interpolation' ELSE 'ok' END AS carry_quality_flag FROM cd WHERE frames >= 5 AND duration_seconds >= 0.2 - 1e-9 AND ball_distance_px >= 20 AND player_distance_px >= 10 AND carry_distance_threshold > 0 AND coalesce(mean_distance_to_ball, 0) <= carry_distance_threshold AND interpolated_share <= 0.5)
 """
 
 
@@ -164,7 +164,7 @@ def _(s, d):
 
 @query("trajectory_points", _STEPS + ", a AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, track_id ORDER BY frame)::BIGINT AS segment_id, CASE WHEN gap = 1 AND dt > 0 THEN step / dt END AS speed FROM steps) SELECT clip_id, track_id, frame, segment_id, round(CASE WHEN gap = 1 THEN step END, 6) AS step, round(speed, 4) AS speed, round(CASE WHEN segment_id = lag(segment_id) OVER w AND dt > 0 THEN (speed - lag(speed) OVER w) / dt END, 2) AS acceleration FROM a WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame)")
 def _(s, d):
-    t = motion.trajectories(fx.tracks(s, d))
+    t = motion.trajectories(fx.tracks(s, d)).drop("gap")
     return t.withColumns({"step": F.round("step", 6), "speed": F.round("speed", 4), "acceleration": F.round("acceleration", 2)})
 
 

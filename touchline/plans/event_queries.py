@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, metrics, motion, reports, segments, shape, tracking
+from ..operators import candidates, frame_table, metrics, motion, reports, segments, shape, tracking
 from ..sources import fixtures as fx
 from ..sources.files import saved
 from .catalog import _CARRY, _HOP, _INTER, _PASS, _STEPS, _STRICT, _windows, query, rounded
@@ -134,7 +134,7 @@ u2 AS (SELECT * EXCLUDE (rank_), row_number() OVER (PARTITION BY clip_id ORDER B
 u5 AS (SELECT u.*, r.event_id AS duplicate_of FROM u2 u LEFT JOIN u2 r ON u.source_type = 'interception_source' AND r.source_type = 'turnover_candidate_refined' AND r.subtype = 'interception' AND r.clip_id = u.clip_id AND abs(r.center_frame - u.center_frame) <= 2 QUALIFY row_number() OVER (PARTITION BY u.clip_id, u.event_id ORDER BY abs(r.center_frame - u.center_frame), r.event_id) = 1),
 u3 AS (SELECT *, sum(CASE WHEN start_frame <= m THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id ORDER BY event_id) AS island FROM (SELECT *, max(end_frame) OVER (PARTITION BY clip_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM u5)),
 u4 AS (SELECT clip_id, island, row_number() OVER (PARTITION BY clip_id ORDER BY island) AS k FROM u3 GROUP BY clip_id, island HAVING count(*) > 1),
-unified AS (SELECT u.* EXCLUDE (m, island, subtype) REPLACE (CASE WHEN duplicate_of IS NULL THEN review ELSE 0 END AS review, CASE WHEN duplicate_of IS NULL THEN weak_eligible ELSE 0 END AS weak_eligible, CASE WHEN duplicate_of IS NULL THEN rule_reasons ELSE rule_reasons || ';duplicate_of_refined_interception_turnover' END AS rule_reasons), 0 AS is_gold_label, CASE WHEN duplicate_of IS NULL THEN '' ELSE 'duplicate_source_available_for_traceability' END AS notes, coalesce(duplicate_of, event_id) AS canonical_event_id, 'overlap_' || k AS overlap_group, (k IS NOT NULL)::INT AS overlap_warning FROM u3 u LEFT JOIN u4 g ON u.clip_id = g.clip_id AND u.island = g.island)
+unified AS (SELECT u.* EXCLUDE (m, island, subtype) REPLACE (CASE WHEN duplicate_of IS NULL THEN review ELSE 0 END AS review, CASE WHEN duplicate_of IS NULL THEN weak_eligible ELSE 0 END AS weak_eligible, CASE WHEN duplicate_of IS NULL THEN rule_reasons ELSE rule_reasons || ';duplicate_of_refined_interception_turnover' END AS rule_reasons), 0 AS is_gold_label, CASE WHEN duplicate_of IS NULL THEN '' ELSE 'duplicate_source_available_for_traceability' END AS notes, coalesce(duplicate_of, event_id) AS canonical_event_id, (SELECT arg_min(f."timestamp", abs(f.frame - u.start_frame) * 2 + (f.frame > u.start_frame)::INT) FROM frames f WHERE f.clip_id = u.clip_id) AS start_timestamp, (SELECT arg_min(f."timestamp", abs(f.frame - u.end_frame) * 2 + (f.frame > u.end_frame)::INT) FROM frames f WHERE f.clip_id = u.clip_id) AS end_timestamp, (SELECT arg_min(f."timestamp", abs(f.frame - u.center_frame) * 2 + (f.frame > u.center_frame)::INT) FROM frames f WHERE f.clip_id = u.clip_id) AS center_timestamp, source_type || '.csv' AS source_file, 'mark_only_no_label_resolution' AS overlap_policy, 'overlap_' || k AS overlap_group, (k IS NOT NULL)::INT AS overlap_warning FROM u3 u LEFT JOIN u4 g ON u.clip_id = g.clip_id AND u.island = g.island)
 """
 
 
@@ -142,20 +142,22 @@ def _unified(s, d):
     o, m, b = _owners(s, d), _move(s, d), motion.bounds(fx.frames(s, d))
     c = _carries(s, d, o)
     passes, turnovers, shots = saved(candidates.refine_passes(_passes(s, d, o, m))), saved(candidates.refine_turnovers(_turnovers(s, d, o, m), b)), saved(candidates.refine_shots(_shots(s, d, o, m, c), o))
-    return candidates.unify_events(c, _weak(s, d), segments.detect_interceptions(o), passes, turnovers, shots, b)
+    return candidates.unify_events(c, _weak(s, d), segments.detect_interceptions(o), passes, turnovers, shots, b, fx.frames(s, d))
 
 
-@query("unify_events", _UNIFIED + _select("unified", "", *_PEAKS))
+@query("unify_events", _UNIFIED + _select("unified", "", *_PEAKS, "start_timestamp", "end_timestamp", "center_timestamp"))
 def _(s, d):
     return rounded(_unified(s, d))
 
 
-_SHAPE = """, shape AS (SELECT clip_id, frame, "timestamp", CASE WHEN track_id < 5 THEN 'Team A' ELSE 'Team B' END AS team, count(*) AS players, avg(center_x) AS centroid_x, avg(center_y) AS centroid_y, max(center_x) - min(center_x) AS width, max(center_y) - min(center_y) AS depth, sqrt(var_pop(center_x) + var_pop(center_y)) AS spread, count(*) >= 3 AS valid FROM tracks WHERE track_id NOT IN (4, 9) GROUP BY 1, 2, 3, 4)
+_SHAPE = """, who AS (SELECT *, CASE WHEN track_id < 5 THEN 'Team A' ELSE 'Team B' END AS team FROM tracks WHERE track_id NOT IN (4, 9)), mid AS (SELECT *, avg(center_x) OVER w AS mx, avg(center_y) OVER w AS my FROM who WINDOW w AS (PARTITION BY clip_id, frame, team)),
+per AS (SELECT clip_id, frame, team, count(*) AS players, any_value(mx) AS centroid_x, any_value(my) AS centroid_y, max(center_x) - min(center_x) AS width, max(center_y) - min(center_y) AS depth, avg(sqrt((center_x - mx) * (center_x - mx) + (center_y - my) * (center_y - my))) AS spread FROM mid GROUP BY 1, 2, 3),
+shape AS (SELECT f.clip_id, f.frame, f."timestamp", t.team, coalesce(players, 0) AS players, centroid_x, centroid_y, width, depth, spread, players IS NOT NULL AS valid FROM frames f CROSS JOIN (SELECT unnest(['Team A', 'Team B']) AS team) t LEFT JOIN per p ON p.clip_id = f.clip_id AND p.frame = f.frame AND p.team = t.team)
 """
 
 
 def _shape(s, d):
-    return shape.team_shape(fx.tracks(s, d), fx.teams(s, d))
+    return shape.team_shape(frame_table.temporal_frames(fx.tracks(s, d), fx.teams(s, d), fx.ball(s, d), fx.owners(s, d).withColumn("possession_reason", F.lit(""))))
 
 
 _ROLLED = [f"rolling_{c}_{k}" for c in ("width", "depth", "spread") for k in ("mean", "std")]
@@ -205,9 +207,23 @@ def _(s, d):
     return rounded(shape.movement_summary(fx.tracks(s, d), fx.teams(s, d)))
 
 
-@query("movement_temporal_features", _TRAJ + ", lim AS (SELECT clip_id, quantile_cont(speed, 0.9::DOUBLE) AS most FROM traj GROUP BY 1) SELECT f.clip_id, f.frame, round(avg(speed), 6) AS mean_speed, round(max(speed), 6) AS max_speed, count(*) FILTER (speed >= most) AS fast_players FROM frames f LEFT JOIN traj t ON f.clip_id = t.clip_id AND f.frame = t.frame LEFT JOIN lim l ON l.clip_id = f.clip_id GROUP BY 1, 2")
+@query("movement_temporal_features", _TRAJ + """, lim AS (SELECT clip_id, quantile_cont(speed, 0.9::DOUBLE) AS most FROM traj GROUP BY 1), tt AS (SELECT traj.*, CASE WHEN track_id IN (4, 9) THEN 'Unknown' WHEN track_id < 5 THEN 'Team A' ELSE 'Team B' END AS team FROM traj),
+vm AS (SELECT t.clip_id, frame, count(*) AS valid_players, avg(speed) AS mean_speed, max(speed) AS max_speed, avg(abs(acceleration)) AS mean_acceleration, max(abs(acceleration)) AS max_acceleration, count(*) FILTER (speed >= most) AS fast_players, avg(speed) FILTER (team = 'Team A') AS team_a_mean_speed, count(*) FILTER (team = 'Team A') AS team_a_valid_players, avg(speed) FILTER (team = 'Team B') AS team_b_mean_speed, count(*) FILTER (team = 'Team B') AS team_b_valid_players FROM tt t JOIN lim l ON l.clip_id = t.clip_id WHERE speed IS NOT NULL GROUP BY 1, 2),
+ga AS (SELECT clip_id, frame, count(*) AS n FROM traj WHERE gap > 1 GROUP BY 1, 2),
+mt AS (SELECT f.clip_id, f.frame, f."timestamp", coalesce(valid_players, 0) AS valid_players, mean_speed, max_speed, mean_acceleration, max_acceleration, coalesce(fast_players, 0) AS fast_players, team_a_mean_speed, coalesce(team_a_valid_players, 0) AS team_a_valid_players, team_b_mean_speed, coalesce(team_b_valid_players, 0) AS team_b_valid_players, coalesce(n, 0) AS players_after_gap, (valid_players IS NOT NULL)::INT AS movement_valid FROM frames f LEFT JOIN vm ON vm.clip_id = f.clip_id AND vm.frame = f.frame LEFT JOIN ga ON ga.clip_id = f.clip_id AND ga.frame = f.frame)
+""" + _select("mt", "", '"timestamp"', "mean_speed", "max_speed", "mean_acceleration", "max_acceleration", "team_a_mean_speed", "team_b_mean_speed"))
 def _(s, d):
-    return rounded(shape.movement_temporal_features(fx.tracks(s, d), fx.frames(s, d)))
+    return rounded(shape.movement_temporal_features(fx.tracks(s, d), fx.teams(s, d), fx.frames(s, d)))
+
+
+_STRANGERS = ", strangers AS (SELECT * REPLACE (CASE WHEN player_id IN (4, 9) THEN 'Unknown' ELSE team END AS team) FROM owners)"
+
+
+@query("interceptions_among_strangers", _STRANGERS + _INTER.replace("FROM owners", "FROM strangers").replace("JOIN owners", "JOIN strangers").replace("WHERE previous_team <> r.team", "WHERE r.team <> 'Unknown' AND previous_team <> 'Unknown' AND previous_team <> r.team") + 'SELECT * REPLACE (round("timestamp", 6) AS "timestamp") FROM inter')
+def _(s, d):
+    """Two players whose team isn't known: their runs part the others'."""
+    o = fx.owners(s, d)
+    return rounded(segments.detect_interceptions(o.withColumn("team", F.when(F.col("player_id").isin(4, 9), "Unknown").otherwise(F.col("team")))))
 
 
 def _detections(s, d):
