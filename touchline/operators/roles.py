@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .kmeans import groups_of_clips
 from .motion import steps
-from .teams import SAMPLES, WEIGHTS
+from .teams import SAMPLES, WEIGHTS, classify_teams
 
 #: Groups of colours, frames of a goalkeeper, distance of a referee's colour, share of the width before a goal, the middle's bounds.
 COLOURS, KEEPER_FRAMES, REFEREE_DISTANCE, GOAL_AREA, MIDDLE = 5, 60, 2.1, 0.18, (0.25, 0.75)
@@ -111,3 +111,10 @@ def player_roles(classified: DataFrame, tracks: DataFrame, frame_width: float, c
     """Teams and roles of all tracks: classified (of classify_teams) with the clip's groups of colours, positions and roles."""
     placed = classified.drop("role", "role_confidence", "role_reason").join(track_positions(tracks), ["clip_id", "track_id"], "left")
     return assign_roles(colour_clusters(placed, colours), frame_width)
+
+
+def team_sheet(samples: DataFrame, tracks: DataFrame, frame_width: float, clusters: int = 2, colours: int = COLOURS) -> DataFrame:
+    """From colour samples and tracks to teams and roles: median colours, two teams, tracks without samples, positions, roles. Two is the only number of teams."""
+    if clusters != 2:
+        raise ValueError(f"Team classification needs exactly 2 clusters, not {clusters}")
+    return player_roles(classify_teams(samples, tracks), tracks, frame_width, colours)

@@ -128,4 +128,4 @@ CASE WHEN official THEN 'referee' WHEN keeper AND owner = 'Team A' THEN 'team_a_
 round(CASE WHEN official THEN greatest(assignment_confidence, score2) WHEN keeper THEN greatest(assignment_confidence, score) ELSE assignment_confidence END, 6) AS role_confidence,
 CASE WHEN official THEN 'color_outlier_central_official_candidate' WHEN keeper THEN 'color_outlier_near_' || side || '_goal' WHEN team <> 'Unknown' THEN 'outfield_color_cluster' ELSE assignment_reason END AS role_reason FROM rl6""")
 def _(s, d):
-    return rounded(roles.player_roles(_classified(s, d), _tracks(s, d), WIDTH, 4).select("clip_id", "track_id", "color_cluster", "role_color_outlier", "team", "role", "role_confidence", "role_reason"))
+    return rounded(roles.team_sheet(_samples(s, d), _tracks(s, d), WIDTH, colours=4).select("clip_id", "track_id", "color_cluster", "role_color_outlier", "team", "role", "role_confidence", "role_reason"))
