@@ -39,9 +39,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def clip_split(clips: DataFrame, train: int = 6, val: int = 1) -> DataFrame:
-    """Fixed split: the first clips by id train, the next validate, the rest test."""
+    """Fixed split: the first clips by id train, the next validate, the rest test. Only the first train + val clips, found by a partial top-n, are numbered."""
+    ids = clips.select("clip_id").distinct()
     r = F.row_number().over(Window.orderBy("clip_id"))
-    return clips.select("clip_id").distinct().withColumn("split", F.when(r <= train, "train").when(r <= train + val, "val").otherwise("test"))
+    first = ids.orderBy("clip_id").limit(train + val).withColumn("_r", r)
+    return ids.join(F.broadcast(first), "clip_id", "left").select("clip_id", F.when(F.col("_r") <= train, "train").when(F.col("_r").isNotNull(), "val").otherwise("test").alias("split"))
 
 
 def split_counts(windows: DataFrame, split: DataFrame, label: str) -> DataFrame:

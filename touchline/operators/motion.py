@@ -144,7 +144,7 @@ def tumbling_means(tracks: DataFrame, seconds: float = 5.0) -> DataFrame:
     return tracks.withColumn("window", k).groupBy("clip_id", "window").agg(F.count("*").alias("rows"), F.avg("center_x").alias("mean_x"), F.stddev_pop("center_x").alias("std_x"), F.percentile("center_y", 0.5).alias("median_y"))
 
 
-def overlapping(a: DataFrame, b: DataFrame, width: int = 16) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
     """Pairs of intervals (clip_id, a_start, a_end, ...) and (clip_id, b_start, b_end, ...) that share a frame. Both are dealt to buckets of `width` frames, and a pair belongs to the first that both touch: the join is on equal keys."""
 
     def dealt(df: DataFrame, k: str) -> DataFrame:
@@ -167,9 +167,10 @@ def labelled(windows: DataFrame, labels: DataFrame, region: int, priority) -> Da
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("label"))
     e = labels.select("clip_id", "event_id", "label", F.col("start_frame").alias("b_start"), F.col("end_frame").alias("b_end"))
     over = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
-    best = overlapping(w, e).groupBy("clip_id", "start_frame").agg(F.max(F.struct(over.alias("overlap"), rank.alias("rank"), (-F.col("event_id")).alias("id"), "label")).alias("x"))
+    best = overlapping(w, e).groupBy("clip_id", "start_frame").agg(F.max(F.struct(over.alias("overlap"), rank.alias("rank"), (-F.col("event_id")).alias("id"))).alias("x"))
     df = w.join(best, ["clip_id", "start_frame"], "left")
-    return df.select(*windows.columns, F.col("a_start").alias("label_start_frame"), F.col("a_end").alias("label_end_frame"), F.coalesce("x.label", F.lit(priority[0])).alias("target_class"), (-F.col("x.id")).alias("event_id"), F.coalesce("x.overlap", F.lit(0)).cast("long").alias("event_overlap_frames"))
+    kind = F.element_at(F.array(*map(F.lit, priority)), F.col("x.rank").cast("int"))
+    return df.select(*windows.columns, F.col("a_start").alias("label_start_frame"), F.col("a_end").alias("label_end_frame"), F.coalesce(kind, F.lit(priority[0])).alias("target_class"), (-F.col("x.id")).alias("event_id"), F.coalesce("x.overlap", F.lit(0)).cast("long").alias("event_overlap_frames"))
 
 
 def hopping_windows(frames: DataFrame, labels: DataFrame, size: int = 64, stride: int = 8, region: int = 16, priority=("background", "carry", "pass", "turnover", "shot")) -> DataFrame:

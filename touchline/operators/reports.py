@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import tokens
+from .tables import ranked
 
 
 def balance_windows(windows: DataFrame, label: str, seed: int = 42) -> DataFrame:
     """As many windows of each class as the rarest has, by split: those with the least of a seeded key of clip and frame."""
     key = (F.col("start_frame") * 2654435761 + F.col("clip_id") * 40503 + seed) % 1000003
-    rank = F.row_number().over(Window.partitionBy("split", label).orderBy(key, "clip_id", "start_frame"))
     counts = windows.groupBy("split", label).agg(F.count("*").alias("n")).groupBy("split").agg(F.min("n").alias("_cap"))
-    return windows.withColumn("_rank", rank).join(counts, "split").where(F.col("_rank") <= F.col("_cap")).drop("_rank", "_cap")
+    return ranked(windows.withColumn("_key", key), ["split", label], F.floor(F.col("_key") / 1024), ["_key", "clip_id", "start_frame"]).drop("_key").join(counts, "split").where(F.col("_rank") <= F.col("_cap")).drop("_rank", "_cap")
 
 
 def normalise(df: DataFrame, columns: list[str], split: str = "split") -> DataFrame:

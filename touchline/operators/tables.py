@@ -112,3 +112,17 @@ def renumbered(df: DataFrame, key: str = "track_id") -> DataFrame:
 def duration_bucket(seconds: Column) -> Column:
     """short below five minutes, medium below thirty, else long; unknown_duration without a number."""
     return F.when(seconds < 300, "short").when(seconds < 1800, "medium").when(seconds.isNotNull(), "long").otherwise("unknown_duration")
+
+
+def ranked(df: DataFrame, by: list[str], bucket: Column, order: list, name: str = "_rank") -> DataFrame:
+    """df with each row's place (from 1) among the rows of equal `by`, in the order of `bucket` and then of `order`; bucket must not fall as order rises.
+
+    Only a bucket's rows are sorted together; its places begin behind the counts of
+    the buckets before it, of which there are few (some thousands at most). So no
+    group of rows is ever in one task. The columns `by` must not be null.
+    """
+    b = df.withColumn("_bucket", bucket)
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = b.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    return b.withColumn("_inside", inside).join(sizes, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clip, flag
 from .motion import bounds, labelled, overlapping
 from .reports import event_kind
+from .tables import ranked
 
 #: Classes in order; of events at the same frame the later class stays.
 CLASSES = ("background", "carry", "pass", "turnover", "shot")
@@ -137,8 +138,8 @@ def clip_disjoint_split(windows: DataFrame, label: str = "target_class", val: fl
     need = {s: max(0, max(1, round(n * share)) - sum(x == s for x in of.values())) for s, share in (("test", test), ("val", val))}
     kind = held.schema["clip_id"].dataType.simpleString()
     fixed = windows.sparkSession.createDataFrame(list(of.items()), f"clip_id {kind}, fixed string")
-    k = F.row_number().over(Window.orderBy("_order", "clip_id"))  # one row a clip
-    rest = held.join(fixed, "clip_id", "left_anti").withColumn("split", F.when(k <= need["test"], "test").when(k <= need["test"] + need["val"], "val").otherwise("train"))
+    k = F.col("_rank")
+    rest = ranked(held.join(fixed, "clip_id", "left_anti"), [], F.shiftright("_order", 54), ["_order", "clip_id"]).withColumn("split", F.when(k <= need["test"], "test").when(k <= need["test"] + need["val"], "val").otherwise("train"))
     return rest.select("clip_id", "split").union(fixed)
 
 
