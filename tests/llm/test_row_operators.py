@@ -133,46 +133,55 @@ def test_cutoffs_are_exact_and_safe(spark):
 
 
 def test_kept_by_brute_force(spark):
-    """Cutoffs by direct sums of binomials and plain loops over the labelled documents, and what they reject."""
+    """The joint level by direct sums of binomials and plain loops over the labelled documents, and what it rejects."""
     from math import comb
 
     r = random.Random(12)
     rows = []
-    for i in range(2400):
-        noise = r.choice([0, 0, 0, 0.02, 0.1, 0.4]) if i % 9 else 0.6
+    for i in range(3000):
+        noise = r.choice([0] * 60 + [0.3, 0.4]) if i % 9 else 0.6
         rows.append((i, " ".join(f"w{r.randrange(900)}" + ("#" if r.random() < noise else "") + ("A" if r.random() < noise / 2 else "") for _ in range(60)), r.choice(["en", "de"])))
     docs = spark.createDataFrame([*rows, (9000, None, "en"), (9001, rows[1][1], None)], "doc_id long, text string, lang string")
     quality = {i: int(i % 9 > 0) for i, _, _ in rows if i % 4}
     labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
-    n_rules, grid, strata = len(quality_rules.RULES), quality_rules.GRID, ("en", "de")
-    steps = {i: [min(int(x * grid), grid) for x in quality_rules.measures(t)[5:]] for i, t, _ in rows}
-    cuts = {}
-    for s in strata:
-        for k in range(n_rules):
-            good = [steps[i][k] for i, _, lang in rows if lang == s and quality.get(i) == 1]
-            best = None
-            for g in range(grid, 0, -1):
-                x, n, p = sum(v >= g for v in good), len(good), 0.05 / n_rules
-                if sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(x + 1)) > 0.05 / (n_rules * len(strata)):
-                    break
-                best = g
-            cuts[s, k] = best
-    assert any(c is not None for c in cuts.values())
-    want = {i: not quality_brute(t)[5] and not any(cuts[s, k] is not None and v >= cuts[s, k] for k, v in enumerate(steps[i])) for i, t, s in rows}
+    levels, scores = quality_rules.LEVELS, {i: dict(zip(quality_rules.RULES, quality_rules.measures(t)[5:], strict=True)) for i, t, _ in rows}
+    over = lambda i, k: any(x >= quality_rules.FLOORS[c] ** (k / levels) for c, x in scores[i].items())
+    cut = {}
+    for s in ("en", "de"):
+        good = [i for i, t, lang in rows if lang == s and quality.get(i) == 1 and not quality_brute(t)[5]]
+        for k in range(1, levels + 1):
+            x, n, p = sum(over(i, k) for i in good), len(good), 0.01
+            if sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(x + 1)) > 0.05 / 2:
+                break
+            cut[s] = k
+    assert set(cut) == {"en", "de"} and min(cut.values()) < levels
+    want = {i: not quality_brute(t)[5] and not over(i, cut[s]) for i, t, s in rows}
     got = {x.doc_id: x.kept for x in quality_rules.quality_rules(docs, labels).collect()}
     assert got == want | {9000: False, 9001: not quality_brute(rows[1][1])[5]} and not all(want.values())
 
 
+def test_what_certifies_with_few_labels():
+    """437 good labels certify the first level in four strata; one less doesn't."""
+    import numpy as np
+
+    hist = lambda n: np.bincount([0], weights=[n], minlength=quality_rules.LEVELS + 1).astype(int)
+    assert quality_rules.certified(hist(437), 0.01, 0.05 / 4) == 1 and quality_rules.certified(hist(436), 0.01, 0.05 / 4) is None
+
+
 def test_the_guarantee_holds_in_simulation():
-    """The chance that a certified cutoff rejects more good documents than the risk allows stays within the error."""
+    """The chance that in any of four strata the rules together reject more good documents than the risk allows stays within the error; the rules' scores hang together."""
     import numpy as np
 
-    r, risk, error, broken = np.random.default_rng(3), 0.05, 0.1, 0
-    true = r.dirichlet(np.ones(quality_rules.GRID + 1) * 0.3)
-    for _ in range(400):
-        g = quality_rules.certified(r.multinomial(400, true), risk, error)
-        broken += g is not None and true[g:].sum() > risk
-    assert broken <= 400 * error + 2 * (400 * error) ** 0.5
+    r, risk, error, strata, broken = np.random.default_rng(3), 0.05, 0.1, 4, 0
+    levels, rules = quality_rules.LEVELS, len(quality_rules.RULES)
+    pool = [np.minimum(levels, np.maximum.reduce([r.geometric(0.15, 20_000) - 1 + r.integers(0, 2, 20_000) * k for k in range(rules)])) for _ in range(strata)]
+    for _ in range(300):
+        bad = False
+        for p in pool:
+            g = quality_rules.certified(np.bincount(r.choice(p, 400), minlength=levels + 1), risk, error / strata)
+            bad |= g is not None and (p >= g).mean() > risk
+        broken += bad
+    assert broken <= 300 * error + 2 * (300 * error) ** 0.5
 
 
 def test_bpe_equals_library(docs):

@@ -1,10 +1,11 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-For each stratum and rule the cutoffs are tried from the loosest to the
-tightest (a fixed sequence, so trying many costs nothing), each by an exact
-binomial test that the share of good documents it rejects is above the rule's
-share of the allowed risk. The last cutoff that passes is taken. The error of
-the tests is divided over all strata and rules (Bonferroni).
+All rules' cutoffs are tightened together, level by level from "reject only what
+scores 1" to a floor a rule. In each stratum the levels are tried in that order (a
+fixed sequence, so trying many costs nothing), each by an exact binomial test that
+the share of good documents that any rule rejects is above the allowed risk. The
+last level that passes is taken. The error of the tests is divided over the strata
+(Bonferroni), and nothing is lost to the number of rules.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ MARK = re.compile(r"[^\w\s]")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 #: Scores from 0 to 1 of which a high value speaks against a document.
 RULES = ("symbols", "upper", "marks", "neighbours", "repeats")
-GRID = 50
+#: The tightest cutoff of each rule, and how many levels lead there: at level k of LEVELS the cutoff is floor ** (k / LEVELS).
+FLOORS = {"symbols": 0.05, "upper": 0.15, "marks": 0.15, "neighbours": 0.15, "repeats": 0.4}
+LEVELS = 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -85,7 +88,7 @@ def tail(k: int, n: int, p: float) -> float:
 
 
 def certified(hist: np.ndarray, risk: float, error: float) -> int | None:
-    """hist: good documents by grid step of their score. The tightest grid step g such that rejecting steps >= g is certified; None: none is."""
+    """hist: good documents by step, the higher the sooner they are rejected. The lowest step g such that rejecting steps >= g is certified; None: none is."""
     n, best, rejected = int(hist.sum()), None, 0
     for g in range(len(hist) - 1, 0, -1):
         rejected += int(hist[g])
@@ -95,47 +98,56 @@ def certified(hist: np.ndarray, risk: float, error: float) -> int | None:
     return best
 
 
-def cutoffs(scored: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """(stratum, one cutoff a rule): certified cutoffs, null where none is.
+def step() -> Column:
+    """How soon the rules reject a document as they are tightened: LEVELS if the first level does, 1 if only the last one does, 0 if none does."""
+    out = []
+    for r in RULES:
+        level = F.ceil(LEVELS * F.log(F.col(r)) / math.log(FLOORS[r]))
+        out.append(F.when(F.col(r) > 0, F.greatest(F.lit(0), LEVELS + 1 - F.greatest(F.lit(1), level))).otherwise(0))
+    return F.greatest(*out).cast("int")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
-    scored has the stratum (null: its own stratum), the scores and whether the
-    document is good (null: left out). risk: the share of good documents of a
-    stratum that all rules together may reject; error: the chance that any
-    stratum's share is above it. No labelled rows: no strata, so no rejection.
+
+def cutoffs(scored: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = 0.01, error: float = 0.05) -> DataFrame:
+    """(stratum, step, one cutoff a rule): certified, null where no level is.
+
+    scored has the stratum (null: its own stratum), the counts, the scores and
+    whether the document is good (null: left out). risk: the share of a stratum's
+    good documents, of those that don't fail the base, that the rules together may
+    reject; error: the chance that any stratum's share is above it. A stratum needs
+    about log(error / strata) / log(1 - risk) good labels, 437 with four strata, for
+    the first level. No labelled rows: no strata, so no rejection.
     """
-    rows = scored.where(F.col(good)).select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.floor(F.col(r) * GRID), F.lit(GRID)).cast("int").alias("step")) for r in RULES))).alias("x"))
-    hist = written(rows.groupBy("stratum", "x.rule", "x.step").agg(F.count("*").alias("n")).coalesce(1), "holdout")  # GRID rows a rule and stratum
-    tests = max(1, hist.select("stratum").distinct().count()) * len(RULES)
+    rows = scored.where(F.col(good) & ~base_failed()).select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), step().alias("step"))
+    hist = written(rows.groupBy("stratum", "step").agg(F.count("*").alias("n")).coalesce(1), "holdout")  # LEVELS rows a stratum
+    strata = max(1, hist.select("stratum").distinct().count())
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"stratum": pdf["stratum"].iloc[0]}
-        for r in RULES:
-            x = pdf[pdf["rule"] == r]
-            g = certified(np.bincount(x["step"], weights=x["n"], minlength=GRID + 1).astype("int64"), risk / len(RULES), error / tests)
-            out[f"cut_{r}"] = np.nan if g is None else g / GRID
-        return pd.DataFrame([out])
+        g = certified(np.bincount(pdf["step"], weights=pdf["n"], minlength=LEVELS + 1).astype("int64"), risk, error / strata)
+        out = {"stratum": pdf["stratum"].iloc[0], "cut_step": LEVELS + 1 if g is None else g}
+        return pd.DataFrame([out | {f"cut_{r}": np.nan if g is None else FLOORS[r] ** ((LEVELS + 1 - g) / LEVELS) for r in RULES}])
 
-    return written(hist.groupBy("stratum").applyInPandas(choose, "stratum string" + "".join(f", cut_{r} double" for r in RULES)).coalesce(1), "cutoffs")  # a row a stratum
+    return written(hist.groupBy("stratum").applyInPandas(choose, "stratum string, cut_step int" + "".join(f", cut_{r} double" for r in RULES)).coalesce(1), "cutoffs")  # a row a stratum
 
 
 def judged(scored: DataFrame, cuts: DataFrame) -> DataFrame:
     """scored (with its stratum) with base_failed and kept."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    over: Column = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce((F.floor(F.col(r) * GRID) >= F.round(F.nanvl(f"cut_{r}", F.lit(9.0)) * GRID)), F.lit(False))
     out = scored.withColumn("stratum", F.coalesce("stratum", F.lit(""))).join(cuts, "stratum", "left")
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~over)
+    over = F.coalesce(step() >= F.col("cut_step"), F.lit(False))
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~over)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
+def fitted(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
     """Cutoffs of the labelled documents, strata by lang. A document with several labels is good only if all say so."""
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     some = docs.select("doc_id", "text", F.col("lang").cast("string").alias("stratum")).join(lab, "doc_id").repartition("doc_id")
     return cutoffs(measured(some.select("text", "stratum", "good")), risk=risk, error=error)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, kept.
 
     Null or empty text: no words, so base_failed. Null lang: its own stratum.
@@ -146,7 +158,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error:
     return judged(measured(df), fitted(docs, labels, risk, error)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
     """The rows of docs, with its columns, whatever their names, that quality_rules keeps: none of a null or empty text; repeated rows alike."""
     df = same_names(docs, text=F.col("text").cast("string"), stratum=F.col("lang").cast("string"))
     return judged(measured(df), fitted(docs, labels, risk, error)).where("kept").select("_row.*")
