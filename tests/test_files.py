@@ -87,10 +87,14 @@ def test_manifest_and_lists(spark, tmp_path):
 
 
 def test_json_of_every_shape(spark, tmp_path):
-    for i, text in enumerate(['[{"a": 1}, {"a": 2, "b": "x"}]', '{"a": 3}\n{"a": 4}\n', '{\n "a": 5,\n "b": "y"\n}', "nonsense", "[\n {\"a\": 6}\n]\n", ""]):
+    for i, text in enumerate(['[{"a": 1}, {"a": 2, "b": "x"}]', '{\n "a": 5,\n "b": "y"\n}', "[\n {\"a\": 6}\n]\n", "nonsense"]):
         (tmp_path / f"{i}.json").write_text(text)
-    got = sorted((r.a or 0, r.b) for r in files.read_json(spark, str(tmp_path), "a long, b string").collect())
-    assert got == [(0, None), (1, None), (2, "x"), (3, None), (4, None), (5, "y"), (6, None)]
+    got = sorted((r.a or 0, r.b) for r in files.read_json(spark, str(tmp_path), "a long, b string", whole=True).collect())
+    assert got == [(0, None), (1, None), (2, "x"), (5, "y"), (6, None)]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "l.json").write_text('{"a": 3}\n{"a": 4, "b": "z"}\nnonsense\n')
+    got = sorted((r.a or 0, r.b) for r in files.read_json(spark, str(tmp_path / "lines"), "a long, b string").collect())
+    assert got == [(0, None), (3, None), (4, "z")]
 
 
 def test_archives(spark, tmp_path):
@@ -111,3 +115,11 @@ def test_archives(spark, tmp_path):
         z.writestr("a.txt", "x")
     with pytest.raises(PySparkException, match="no XML file found in cvat_export__empty.zip"):
         archives.read_annotations(spark, str(tmp_path)).collect()
+
+
+def test_headers_and_keys(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("Frame, x ,name\n1,0.5,a\n2,,b\nz,1.5,c\n,2.5,d\n")
+    df, header = files.read_csv_with_header(spark, str(tmp_path / "t.csv"))
+    assert header == ["Frame", " x ", "name"] and df.count() == 4
+    got = files.read_csv(spark, str(tmp_path / "t.csv"), "frame long, name string", keys=["frame"])
+    assert sorted((r.frame, r.name) for r in got.collect()) == [(1, "a"), (2, "b")]

@@ -77,6 +77,30 @@ def clip_class_counts(windows: DataFrame, classes: tuple[str, ...] = CLASSES) ->
     return df.withColumns({"total_windows": total, "classes_present": has})
 
 
+def split_manifest(windows: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """One row a clip: its split, its windows and those of each class; a clip in several splits has a row in each."""
+    return windows.groupBy("clip_id", "split").agg(F.count("*").alias("windows"), *(F.count_if(F.col("target_class") == c).alias(f"{c}_windows") for c in classes))
+
+
+def stride_statistics(build, strides: list[int], classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """One row a stride: windows, those of each class, clips with background, and background windows rejected for an event in their middle, for one too near, and accepted with one elsewhere. build(stride) gives (windows, rejections), as weak_event_windows does."""
+    both = [build(n) for n in strides]
+    every = lambda i: _stacked([x[i].withColumn("stride", F.lit(n)) for x, n in zip(both, strides, strict=True)])
+    background = F.col("target_class") == "background"
+    w = every(0).groupBy("stride").agg(F.count("*").alias("windows"), *(F.count_if(F.col("target_class") == c).alias(f"{c}_windows") for c in classes), F.countDistinct(F.when(background, F.col("clip_id"))).alias("clips_with_background"))
+    why = lambda name: F.count_if((F.col("window_kind") == "background") & (F.col("reason") == name))
+    r = every(1).groupBy("stride").agg(why("center_label_region_overlaps_event").alias("rejected_overlap"), why("center_label_region_too_close_to_event").alias("rejected_margin"), why("accepted_with_noncentral_context_event").alias("accepted_with_context"))
+    names = both[0][0].sparkSession.createDataFrame([(n,) for n in strides], "stride int")
+    return names.join(w, "stride", "left").join(r, "stride", "left").na.fill(0)
+
+
+def _stacked(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def numeric_summary(df: DataFrame, *columns: str) -> DataFrame:
     """(column, min, median, max), rounded to 6 digits; nulls without a value."""
     one = df.agg(*(f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in (("min", F.min), ("median", lambda x: F.percentile(x, 0.5)), ("max", F.max))))

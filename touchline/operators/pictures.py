@@ -18,6 +18,15 @@ def in_frame(points: DataFrame, width: int, height: int) -> DataFrame:
     return df.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
 
 
+def frame_size(points: DataFrame) -> DataFrame:
+    """(clip_id, width, height) as the clip's points tell them: the next whole number above the largest place, and one, but 1 at least; 0 and 0 if no point has both places. Boxes' far corners (x2, y2) count where there are some."""
+    x, y = ("x2", "y2") if {"x2", "y2"} <= set(points.columns) else ("center_x", "center_y")
+    there = F.col("center_x").isNotNull() & F.col("center_y").isNotNull()
+    size = lambda c: F.coalesce(F.greatest(F.ceil(F.max(F.when(there, F.col(c)))).cast("long") + 1, F.lit(1)), F.lit(0))
+    g = points.groupBy("clip_id").agg(F.count_if(there).alias("_n"), size(x).alias("width"), size(y).alias("height"))
+    return g.select("clip_id", F.when(F.col("_n") > 0, F.col("width")).otherwise(0).alias("width"), F.when(F.col("_n") > 0, F.col("height")).otherwise(0).alias("height"))
+
+
 def density(points: DataFrame, width: int, height: int, *by: str) -> DataFrame:
     """How many points each pixel holds, by the columns `by`; pixels without one have no row."""
     return in_frame(points, width, height).groupBy(*by, "px", "py").agg(F.count("*").alias("points"))

@@ -80,3 +80,18 @@ def with_possession_changes(possession: DataFrame) -> DataFrame:
 
 def possession_changes(possession: DataFrame) -> DataFrame:
     return with_possession_changes(possession).select("clip_id", "frame", "possession_changed", "frames_since_possession_change")
+
+
+def possession_report(possession: DataFrame) -> DataFrame:
+    """(clip_id, section, metric, value) of estimate_possession's rows: frames and percent of each team, Unknown and None (0 where there are none), interpolated rows and rows of low confidence, mean and largest distance of assigned frames (0 without any), rows by reason."""
+    team, reason = F.col("team"), F.substring_index("possession_reason", ";", 1)
+    of = lambda name: F.count_if(team == name)
+    assigned = F.when(team != "None", F.col("distance_to_ball"))
+    names = {"team_a": "Team A", "team_b": "Team B", "unknown": "Unknown"}
+    one = {"total_ball_frames": F.count("*"), **{f"{k}_frames": of(v) for k, v in names.items()}, "frames_with_no_possession": of("None"), "interpolated_ball_rows": F.count_if("is_interpolated"), "low_ball_confidence_rows": F.count_if(reason == UNSURE)}
+    distances = {"assigned_distance_avg": F.coalesce(F.avg(assigned), F.lit(0.0)), "assigned_distance_max": F.coalesce(F.max(assigned), F.lit(0.0))}
+    shares = {f"{k}_possession_percent": 100.0 * of(v) / F.count("*") for k, v in (names | {"no": "None"}).items()}
+    g = possession.groupBy("clip_id").agg(*(v.cast("double").alias(k) for k, v in (one | distances | shares).items()))
+    sections = dict.fromkeys(one, "counts") | dict.fromkeys(distances, "distances") | dict.fromkeys(shares, "percentages")
+    rows = g.select("clip_id", F.explode(F.array(*(F.struct(F.lit(x).alias("section"), F.lit(k).alias("metric"), F.col(k).alias("value")) for k, x in sections.items()))).alias("x")).select("clip_id", "x.*")
+    return rows.union(possession.groupBy("clip_id", reason.alias("metric")).agg(F.count("*").cast("double").alias("value")).select("clip_id", F.lit("reasons"), "metric", "value"))

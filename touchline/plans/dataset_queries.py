@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import datasets, frame_table
+from ..operators import datasets, frame_table, pictures, possession
 from ..sources import fixtures as fx
 from .catalog import _HOP, _NEAR, _possession, _windows, query, rounded
+from .window_queries import _WEAK_WINDOWS, _weak
 
 _LIST = "['background', 'carry', 'pass', 'turnover', 'shot']"
 _SEL = _HOP + """, sw AS (SELECT win.*, CASE WHEN clip_id < 5 THEN 'train' WHEN clip_id = 5 THEN 'val' ELSE 'test' END AS split, ((start_frame / 8 + clip_id) % 3 <> 0 AND clip_id <> 2)::INT AS selected_after_balancing FROM win)"""
@@ -180,3 +183,40 @@ def _(s, d):
 def _(s, d):
     clips = fx.frames(s, d).select("clip_id").distinct()
     return datasets.stage_counts(clips.select("clip_id", F.lit("tracks").alias("stage"), F.when(F.col("clip_id") % 3 == 0, "failed").otherwise("ok").alias("status")).union(clips.select("clip_id", F.lit("ball"), F.lit("ok"))))
+
+
+@query("split_manifest", _SEL + " SELECT clip_id, split, count(*) AS windows, " + ", ".join(f"count(*) FILTER (target_class = '{c}') AS {c}_windows" for c in datasets.CLASSES) + " FROM sw GROUP BY 1, 2")
+def _(s, d):
+    return datasets.split_manifest(_selected(s, d))
+
+
+def _stride_sql(n: int) -> str:
+    """The windows and rejections of one stride, under names of their own."""
+    sql, names = _WEAK_WINDOWS.replace("max_frame - 62, 16)", f"max_frame - 62, {n})"), ("edge", "ev", "e1", "e2", "e3", "bg0", "bg1", "ww", "rj")
+    for k in names:
+        sql = re.sub(rf"\b{k}\b(?!\.)", f"{k}_{n}", sql)
+    return re.sub(r"\be2\.", f"e2_{n}.", sql)
+
+
+_STRIDES = _stride_sql(8) + _stride_sql(24) + " SELECT stride, windows, " + ", ".join(f"{c}_windows" for c in datasets.CLASSES) + ", clips_with_background, rejected_overlap, rejected_margin, accepted_with_context FROM (" + " UNION ALL ".join(f"SELECT {n} AS stride, count(*) AS windows, " + ", ".join(f"count(*) FILTER (target_class = '{c}') AS {c}_windows" for c in datasets.CLASSES) + f", count(DISTINCT clip_id) FILTER (target_class = 'background') AS clips_with_background, (SELECT count(*) FROM rj_{n} WHERE window_kind = 'background' AND reason = 'center_label_region_overlaps_event') AS rejected_overlap, (SELECT count(*) FROM rj_{n} WHERE window_kind = 'background' AND reason = 'center_label_region_too_close_to_event') AS rejected_margin, (SELECT count(*) FROM rj_{n} WHERE window_kind = 'background' AND reason = 'accepted_with_noncentral_context_event') AS accepted_with_context FROM ww_{n}" for n in (8, 24)) + ")"
+
+
+@query("stride_statistics", _STRIDES)
+def _(s, d):
+    return datasets.stride_statistics(lambda n: _weak(s, d, n), [8, 24])
+
+
+_REASON = "split_part(possession_reason, ';', 1)"
+_REPORT = _NEAR + """, pg AS (SELECT clip_id, count(*)::DOUBLE AS n, count(*) FILTER (team = 'Team A') AS a, count(*) FILTER (team = 'Team B') AS b, count(*) FILTER (team = 'Unknown') AS u, count(*) FILTER (team = 'None') AS o, count(*) FILTER (is_interpolated) AS i, count(*) FILTER (possession_reason LIKE 'ball_confidence_below_threshold%') AS l, coalesce(avg(distance_to_ball) FILTER (team <> 'None'), 0) AS m, coalesce(max(distance_to_ball) FILTER (team <> 'None'), 0) AS x FROM poss GROUP BY 1)
+SELECT clip_id, unnest(['counts', 'counts', 'counts', 'counts', 'counts', 'counts', 'counts', 'distances', 'distances', 'percentages', 'percentages', 'percentages', 'percentages']) AS section, unnest(['total_ball_frames', 'team_a_frames', 'team_b_frames', 'unknown_frames', 'frames_with_no_possession', 'interpolated_ball_rows', 'low_ball_confidence_rows', 'assigned_distance_avg', 'assigned_distance_max', 'team_a_possession_percent', 'team_b_possession_percent', 'unknown_possession_percent', 'no_possession_percent']) AS metric, round(unnest([n, a, b, u, o, i, l, m, x, 100 * a / n, 100 * b / n, 100 * u / n, 100 * o / n]), 6) AS "value" FROM pg
+UNION ALL SELECT clip_id, 'reasons', """ + _REASON + ", count(*) FROM poss GROUP BY 1, 3"
+
+
+@query("possession_report", _REPORT)
+def _(s, d):
+    return rounded(possession.possession_report(_possession(s, d)))
+
+
+@query("frame_size", """SELECT clip_id, greatest(ceil(max(center_x))::BIGINT + 1, 1) AS width, greatest(ceil(max(center_y))::BIGINT + 1, 1) AS height FROM tracks GROUP BY 1""")
+def _(s, d):
+    return pictures.frame_size(fx.tracks(s, d))

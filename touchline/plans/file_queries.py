@@ -84,5 +84,5 @@ def _(s, d):
     """Frames as JSON, by way of one array a clip that goes over many lines."""
     path = files.saved_path(s, "json")
     f = fx.frames(s, d).select("event_id", "clip_id", "frame", "team")
-    f.groupBy("clip_id").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("event_id", "clip_id", "frame", "team"))), ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("clip_id").text(path)
-    return files.read_json(s, path, "event_id long, clip_id long, frame long, team string")
+    f.groupBy(F.col("clip_id").alias("of")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("event_id", "clip_id", "frame", "team"))), ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("of").text(path)
+    return files.read_json(s, path, "event_id long, clip_id long, frame long, team string", whole=True)

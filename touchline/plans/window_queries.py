@@ -60,12 +60,12 @@ rj AS (SELECT clip_id, 'event' AS window_kind, valid_start_frame AS candidate_st
 """
 
 
-def _weak(s, d):
+def _weak(s, d, stride=16):
     """Some of the labelled events as unified ones (every seventh a duplicate), their middles at round frames, so that some meet."""
     i = fx.intervals(s, d).where("event_id % 8 < 3")
     center = F.bround((F.col("start_frame") + F.col("end_frame")) / 20).cast("long") * 10
     events = i.select("clip_id", "event_id", F.col("label").alias("event_type"), F.when(F.col("event_id") % 7 == 0, 1).alias("duplicate_of"), "start_frame", "end_frame", center.alias("center_frame"), F.lit("made_up").alias("source_type"), (F.col("event_id") % 2).cast("int").alias("weak_eligible"))
-    return windows.weak_event_windows(fx.frames(s, d), windows.weak_events(events), window=64, region=16, stride=16, margin=4)
+    return windows.weak_event_windows(fx.frames(s, d), windows.weak_events(events), window=64, region=16, stride=stride, margin=4)
 
 
 @query("weak_event_windows", _WEAK_WINDOWS + "SELECT *, round(100.0::DOUBLE * padding_frames / 64, 6) AS padding_percent FROM ww")

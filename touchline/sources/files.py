@@ -33,13 +33,20 @@ def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(*map(one, schema.fields))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, required: list[str] = ()) -> DataFrame:
-    """Files with a header, columns in any order. A required column that is missing is an error that names it."""
+def read_csv(spark: SparkSession, path: str, schema: str, required: list[str] = (), keys: list[str] = ()) -> DataFrame:
+    """Files with a header, columns in any order. A required column that is missing is an error that names it. Rows in which one of the columns `keys` is empty or doesn't parse are left out."""
     raw = spark.read.option("header", True).option("multiLine", False).csv(path)
     missing = [c for c in required if c.lower() not in {x.lower() for x in raw.columns}]
     if missing:
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
-    return _typed(raw, T.StructType.fromDDL(schema))
+    df = _typed(raw, T.StructType.fromDDL(schema))
+    return df.na.drop(subset=list(keys)) if keys else df
+
+
+def read_csv_with_header(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(table, header) of files whose columns aren't known: types are inferred from all rows, names stay as they are written, in their order."""
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return df, df.columns
 
 
 def write_csv(df: DataFrame, path: str, digits: int = 6) -> None:
@@ -48,25 +55,9 @@ def write_csv(df: DataFrame, path: str, digits: int = 6) -> None:
     df.select(*text).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files of JSON: one object, an array of objects over any number of lines, or an object a line; what doesn't parse gives one row of nulls.
-
-    A file is told by its first sign: an array is read whole, objects by line, and
-    an object that goes on over lines is read whole too.
-    """
-    columns = [f.name for f in T.StructType.fromDDL(schema)]
-    text = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "^\ufeff|\\s+$", "")).alias("t"))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")
-    each = F.forall(lines, lambda x: F.trim(x).rlike(r"^\{.*\}$"))
-    listed = F.col("t").startswith("[")
-    items = F.when(listed, F.from_json("t", f"array<struct<{schema_fields(schema)}>>")).otherwise(F.transform(F.when(each, lines).otherwise(F.array("t")), lambda x: F.from_json(x, f"struct<{schema_fields(schema)}>")))
-    broken = F.array(F.lit(None).cast(f"struct<{schema_fields(schema)}>"))
-    return text.where("t <> ''").select(F.explode(F.coalesce(items, broken)).alias("x")).select(*(F.col("x")[c].alias(c) for c in columns))
-
-
-def schema_fields(schema: str) -> str:
-    """A schema's columns as the fields of a struct type."""
-    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema))
+def read_json(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """Files of JSON: an object a line, read in parts by many tasks; or, with `whole`, an array of objects or one object a file, over any number of lines, a file in one task. What doesn't parse gives one row of nulls (with `whole`, one a file)."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", whole).json(path).select(*(f.name for f in T.StructType.fromDDL(schema)))
 
 
 def saved_path(spark: SparkSession, what: str = "table") -> str:

@@ -10,6 +10,7 @@ clip that breaks a rule leaves the others alone.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +91,8 @@ def build_clips(rows: DataFrame, path: str, rules: dict[str, Column] | None = No
     status = F.when(F.col("_done").isNotNull(), "skipped").when(F.col("message").isNotNull(), "failed").otherwise("built")
     summary = counts.select("clip_id", status.alias("status"), "rows", F.when(status == "failed", F.col("message")).alias("message"), F.lit(told).alias("settings"), build_stamp().alias("built_at"))
     # what is to be recorded must not change once the data are there: it is kept in the folder of the run first
-    runs = f"{path}/_runs/{spark.sparkContext.applicationId}-{abs(hash((path, told, id(rows))))}"
-    summary.write.mode("overwrite").parquet(runs)
+    runs = f"{path}/_runs/{uuid.uuid4().hex}"
+    summary.write.parquet(runs)
     kept = spark.read.schema(SUMMARY).parquet(runs)
     good = open_.join(kept.where("status = 'built'").select("clip_id"), "clip_id", "left_semi")
     good.repartition("clip_id").write.partitionBy("clip_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
