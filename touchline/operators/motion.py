@@ -169,7 +169,7 @@ def labelled(windows: DataFrame, labels: DataFrame, region: int, priority) -> Da
     over = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
     best = overlapping(w, e).groupBy("clip_id", "start_frame").agg(F.max(F.struct(over.alias("overlap"), rank.alias("rank"), (-F.col("event_id")).alias("id"))).alias("x"))
     df = w.join(best, ["clip_id", "start_frame"], "left")
-    kind = F.element_at(F.array(*map(F.lit, priority)), F.col("x.rank").cast("int"))
+    kind = F.when(F.col("x").isNotNull(), F.try_element_at(F.array(*map(F.lit, priority)), F.col("x.rank").cast("int")))
     return df.select(*windows.columns, F.col("a_start").alias("label_start_frame"), F.col("a_end").alias("label_end_frame"), F.coalesce(kind, F.lit(priority[0])).alias("target_class"), (-F.col("x.id")).alias("event_id"), F.coalesce("x.overlap", F.lit(0)).cast("long").alias("event_overlap_frames"))
 
 
