@@ -30,8 +30,8 @@ from .text import fresh_dir
 MAGIC, HEAD = b"TKZ1", 36
 #: A space, something else, and no white space at the end.
 CHAINED = re.compile(r"(?s) \S(.*\S)?\Z")
-#: Stretches that a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+#: Stretches that a worker remembers before it starts afresh: some 250 MB.
+REMEMBERED = 1_200_000
 
 
 class CachedTokenizer:
