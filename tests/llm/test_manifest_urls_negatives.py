@@ -270,3 +270,19 @@ def test_no_urls_and_no_rule(spark):
 def test_ties_of_rules(spark):
     got = url_filter.judged(pages(spark, ["http://x.b/aaa"]), {"b/aaa": "block", "x.b/a": "allow"}).first()
     assert (got.rule, got.verdict) == ("x.b/a", "allow")
+
+
+@pytest.mark.parametrize("name", ["op12_hard_negatives", "op13_merkle"])
+def test_the_sql_says_the_same(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    rel = con.execute(queries.oracle_sql()[name])
+    at = [c[0] for c in rel.description]
+    assert sorted(at) == sorted(df.columns)
+    want = sorted(rel.fetchall())
+    assert sorted(tuple(r[c] for c in at) for r in df.collect()) == want and want
