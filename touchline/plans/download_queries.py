@@ -32,7 +32,7 @@ _PLAN = r""", iv AS (SELECT event_id * 10 + clip_id AS row, CASE WHEN event_id %
 norm AS (SELECT *, CASE WHEN video_path IS NULL THEN NULL WHEN other THEN 'clips/clip' || clip_id ELSE lower(video_path) END AS nv, filename AS nf FROM iv),
 loc AS (SELECT DISTINCT 'clip' || clip_id AS id FROM frames WHERE clip_id <> 5),
 dup AS (SELECT norm.*, coalesce((SELECT id FROM loc WHERE id = split_part(nv, '/', -1)), (SELECT id FROM loc WHERE id = split_part(nf, '/', -1))) AS matching FROM norm),
-des AS (SELECT *, CASE WHEN nv IS NOT NULL THEN regexp_replace(nv, '/[^/]*$', '') WHEN annotation_paths IS NOT NULL THEN 'nearby: a.json' WHEN tracking_files <> '' THEN 't.pkl' WHEN nf IS NOT NULL THEN 'x' ELSE 'unknown_parent' END AS grp0,
+des AS (SELECT *, CASE WHEN nv IS NOT NULL THEN regexp_replace(nv, '/[^/]*$', '') WHEN annotation_paths IS NOT NULL THEN 'nearby: a.json' WHEN nf IS NOT NULL THEN 'x' WHEN tracking_files <> '' THEN 't.pkl' ELSE 'unknown_parent' END AS grp0,
  CASE WHEN duration_seconds IS NULL THEN 'unknown_duration' WHEN duration_seconds = 'unknown' THEN 'unknown' WHEN duration_seconds::DOUBLE < 300 THEN 'short' WHEN duration_seconds::DOUBLE < 1800 THEN 'medium' ELSE 'long' END AS bucket,
  CASE WHEN nv IS NOT NULL AND contains(nv, 'h1') THEN 'h1' WHEN nv IS NOT NULL AND contains(nv, 'h2') THEN 'h2' ELSE 'unknown_half' END AS half,
  CASE WHEN readable_status = 'readable' THEN 100 ELSE 0 END + CASE WHEN pilot_status IS NOT NULL OR readable_status = 'readable' THEN 50 ELSE 0 END + CASE WHEN annotation_paths IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN tracking_files <> '' THEN 10 ELSE 0 END AS score,

@@ -113,14 +113,14 @@ def _placed(s, d):
 _POS = ("track_frames", "first_frame", "last_frame", "median_x", "min_x", "max_x", "median_y", "min_y", "max_y", "movement_distance", "median_box_width", "median_box_height", "span_x", "span_y")
 
 
-@query("track_positions", _PLACES + " SELECT * REPLACE (round(movement_distance, 6) AS movement_distance, round(median_x, 6) AS median_x, round(min_x, 6) AS min_x, round(max_x, 6) AS max_x, round(span_x, 6) AS span_x) FROM pos")
+@query("track_positions", _PLACES + " SELECT * REPLACE (round(movement_distance, 3) AS movement_distance, round(median_x, 6) AS median_x, round(min_x, 6) AS min_x, round(max_x, 6) AS max_x, round(span_x, 6) AS span_x) FROM pos")
 def _(s, d):
-    return rounded(roles.track_positions(_tracks(s, d)))
+    return rounded(roles.track_positions(_tracks(s, d)).withColumn("movement_distance", F.round("movement_distance", 3)))
 
 
-@query("role_colour_summary", _CLUSTERED + " SELECT clip_id, color_cluster, count(*) AS tracks, count(*) FILTER (frames_used >= 8) AS reliable_tracks, count(*) FILTER (team = 'Team A') AS team_a_tracks, count(*) FILTER (team = 'Team B') AS team_b_tracks, count(*) FILTER (team = 'Unknown') AS unknown_tracks, " + ", ".join(f"median({c}) AS median_{c}" for c in ("r", "g", "b", "lab_l", "lab_a", "lab_b")) + ", round(median(median_x), 6) AS median_x, median(median_y) AS median_y, round(median(movement_distance), 6) AS median_movement FROM rl0 GROUP BY 1, 2")
+@query("role_colour_summary", _CLUSTERED + " SELECT clip_id, color_cluster, count(*) AS tracks, count(*) FILTER (frames_used >= 8) AS reliable_tracks, count(*) FILTER (team = 'Team A') AS team_a_tracks, count(*) FILTER (team = 'Team B') AS team_b_tracks, count(*) FILTER (team = 'Unknown') AS unknown_tracks, " + ", ".join(f"median({c}) AS median_{c}" for c in ("r", "g", "b", "lab_l", "lab_a", "lab_b")) + ", round(median(median_x), 6) AS median_x, median(median_y) AS median_y, round(median(movement_distance), 3) AS median_movement FROM rl0 GROUP BY 1, 2")
 def _(s, d):
-    return rounded(roles.colour_cluster_summary(_placed(s, d)))
+    return rounded(roles.colour_cluster_summary(_placed(s, d)).withColumn("median_movement", F.round("median_movement", 3)))
 
 
 @query("player_roles", _ROLES + """ SELECT clip_id, track_id, color_cluster, odd AS role_color_outlier, CASE WHEN official THEN 'Unknown' ELSE team1 END AS team,
