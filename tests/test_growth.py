@@ -1,6 +1,6 @@
 """What must not grow faster than the input, on small cases."""
 
-from touchline.operators import tables
+from touchline.operators import candidates, tables
 
 
 def plan_of(df):
@@ -14,3 +14,11 @@ def test_nearest_row_builds_no_frame_to_the_end(spark):
     df = tables.nearest_row(left, right, "v")
     assert "unboundedfollowing" not in plan_of(df)
     assert {(r.clip_id, r.frame): r.nearest_v for r in df.collect()} == {(1, 0): "a", (1, 4): "a", (1, 5): "a", (1, 6): "a", (1, 11): "b", (2, 1): None}
+
+
+def test_times_build_no_frame_to_the_end(spark):
+    events = spark.createDataFrame([(1, 0), (1, 6), (1, 7), (1, 20)], "clip_id long, at long")
+    frames = spark.createDataFrame([(1, 4, 0.4), (1, 8, 0.8)], "clip_id long, frame long, timestamp double")
+    df = candidates.with_time(events, frames, "at", "time")
+    assert "unboundedfollowing" not in plan_of(df)
+    assert {r["at"]: r.time for r in df.collect()} == {0: 0.4, 6: 0.4, 7: 0.8, 20: 0.8}
