@@ -1,5 +1,8 @@
 """What must not grow faster than the input, on small cases."""
 
+import duckdb
+from pyspark.sql import functions as F
+
 from touchline.operators import candidates, tables
 
 
@@ -22,3 +25,30 @@ def test_times_build_no_frame_to_the_end(spark):
     df = candidates.with_time(events, frames, "at", "time")
     assert "unboundedfollowing" not in plan_of(df)
     assert {r["at"]: r.time for r in df.collect()} == {0: 0.4, 6: 0.4, 7: 0.8, 20: 0.8}
+
+
+def test_quantiles_are_those_of_sql(spark):
+    """Large groups by way of the bracket, small ones whole, with ties, nulls and an empty group; values as DuckDB's to the last bit."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id % 3 as k", "case when id % 11 <> 0 then sqrt(id * 7919 % 10007 / 25.0) end as x", "double(id % 3) as same")
+    df = df.unionByName(spark.createDataFrame([(9, None, 1.0), (10, 4.0, 1.0), (11, 1.0, 2.0), (11, 2.0, 4.0)], "k long, x double, same double"))
+    got = {}
+    for accuracy in (100, 10_000):  # groups of a thousand values are large with the first
+        q = tables.quantiles(df, ["k"], {"a": (F.col("x"), 0.95), "b": (F.col("x"), 0.5), "c": (F.col("same"), 0.9), "d": (F.col("x"), 1.0), "e": (F.col("x"), 0.0)}, accuracy)
+        got[accuracy] = sorted(tuple(r) for r in q.collect())
+    con = duckdb.connect()
+    pdf = df.toPandas()  # noqa: F841
+    want = con.execute("SELECT k, quantile_cont(x, 0.95::DOUBLE), quantile_cont(x, 0.5::DOUBLE), quantile_cont(same, 0.9::DOUBLE), quantile_cont(x, 1::DOUBLE), quantile_cont(x, 0::DOUBLE) FROM pdf GROUP BY 1 ORDER BY 1").fetchall()
+    want = [tuple(None if x != x else x for x in r) for r in want]
+    assert got[100] == got[10_000] == want
+
+
+def test_peaks_are_those_above_the_quantile_of_sql(spark):
+    """The quantile of these two speeds is one bit higher if it is a mixture of both: a speed of just that value would be lost."""
+    low, high, part = 12139.218467441306, 12139.939250262278, 0.2999999999956344
+    assert low + (high - low) * part < (1 - part) * low + part * high
+    q = 0.95
+    n = 68515
+    below = int((n - 1) * q)
+    df = spark.range(n).selectExpr("1L as clip_id", f"case when id < {below} then 1.0D when id = {below} then {low!r}D when id = {below + 1} then {high!r}D else 20000.0D end as ball_speed", "cast(null as double) as ball_acceleration")
+    assert candidates.thresholds(df, q).first().speed_limit == low + (high - low) * part
