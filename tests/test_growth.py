@@ -62,3 +62,11 @@ def test_shares_are_written_from_their_exact_value(spark):
     [r] = candidates.shot_candidates(p, m, carries).collect()
     assert (r.start_frame, r.end_frame, r.carry_overlap) == (0, 79, 0.2875)
     assert r.rule_reasons.endswith("carry_overlap_fraction=0.287")
+
+
+def test_medians_move_no_rows(spark):
+    """Rows stay where they are: only counts of values near the median are shuffled, and nothing is collected by group."""
+    df = spark.range(1000).selectExpr("id % 2 as k", "double(id) as x")
+    for got in (tables.inliers(df, ["k"], "x", 1.0, 1.5), tables.robust_scaled(df, ["k"], ["x"])):
+        plan = plan_of(got)
+        assert "sortmergejoin" not in plan and " percentile(" not in plan
