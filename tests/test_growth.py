@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from touchline.operators import candidates, tables
+from touchline.sources import inventory
 
 
 def plan_of(df):
@@ -70,3 +71,14 @@ def test_medians_move_no_rows(spark):
     for got in (tables.inliers(df, ["k"], "x", 1.0, 1.5), tables.robust_scaled(df, ["k"], ["x"])):
         plan = plan_of(got)
         assert "sortmergejoin" not in plan and " percentile(" not in plan
+
+
+def test_box_labels_are_bundled(spark, tmp_path):
+    """A file for many frames, so that the driver lists few; the same rows as from single texts."""
+    rows = [(c, f, "Ball" if b == 2 else "Player", b, 10.0 * b, 5.0, 10.0 * b + 8, 25.0) for c in (1, 2) for f in range(50) for b in range(3)]
+    boxes = spark.createDataFrame(rows, "clip_id long, frame long, class_name string, box_id long, x1 double, y1 double, x2 double, y2 double")
+    classes, one, many = {0: "Player", 2: "Ball"}, str(tmp_path / "one"), str(tmp_path / "many")
+    assert inventory.write_box_labels(boxes, one, 1280, 720, classes) == inventory.write_box_labels(boxes, many, 1280, 720, classes, bundle=20) == 100
+    assert sorted(f.name for f in (tmp_path / "many").iterdir() if f.suffix == ".zip") == [f"clip{c}_{i}.zip" for c in (1, 2) for i in range(3)]
+    read = lambda path, **k: sorted(map(tuple, inventory.read_box_labels(spark, path, 1280, 720, classes, **k).collect()))
+    assert read(many, bundled=True) == read(one) and len(read(one)) == 300

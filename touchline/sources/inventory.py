@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,10 +140,26 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("clip_id")).where((F.col("clip_id") != "") & ~F.col("clip_id").startswith("#")).distinct()
 
 
-def read_box_labels(spark: SparkSession, path: str, width: int, height: int, classes: dict[int, str]) -> DataFrame:
-    """(file, frame, class_name, box_id, x1, y1, x2, y2) of label texts: a line a box, class and middle and size as shares of the picture; the frame is the second part of the file's name between underscores, up to its first dot. Boxes are numbered by line. Lines of other classes are left out."""
+def _members(root: str):
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _store(root)
+        for pdf in frames:
+            for name in pdf["name"]:
+                with store.open_input_file(f"{base}/{name}") as raw, zipfile.ZipFile(raw) as z:
+                    for part in itertools.batched((m for m in z.namelist() if m.endswith(".txt")), 1024):
+                        yield pd.DataFrame({"file": part, "value": [z.read(m).decode() for m in part]})
+
+    return f
+
+
+def read_box_labels(spark: SparkSession, path: str, width: int, height: int, classes: dict[int, str], bundled: bool = False) -> DataFrame:
+    """(file, frame, class_name, box_id, x1, y1, x2, y2) of label texts: a line a box, class and middle and size as shares of the picture; the frame is the second part of the file's name between underscores, up to its first dot. Boxes are numbered by line. Lines of other classes are left out. bundled: the texts are members of the folder's ZIP files; of single texts the driver lists every one, so many belong in bundles."""
     name = F.col("_metadata.file_name")
-    raw = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(name.alias("file"), F.posexplode(F.split("value", "\n")).alias("box_id", "line"))
+    if bundled:
+        texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(name.alias("name")).mapInPandas(_members(path), "file string, value string")
+    else:
+        texts = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(name.alias("file"), "value")
+    raw = texts.select("file", F.posexplode(F.split("value", "\n")).alias("box_id", "line"))
     part = F.split(F.trim("line"), r"\s+")
     n = lambda i: F.get(part, F.lit(i)).try_cast("double")
     kind = F.create_map(*(x for k, v in classes.items() for x in (F.lit(k), F.lit(v))))
@@ -151,8 +169,8 @@ def read_box_labels(spark: SparkSession, path: str, width: int, height: int, cla
     return df.where("class_name is not null").select("file", "frame", "class_name", "box_id", (mid_x - half_w).alias("x1"), (mid_y - half_h).alias("y1"), (mid_x + half_w).alias("x2"), (mid_y + half_h).alias("y2"))
 
 
-def write_box_labels(boxes: DataFrame, path: str, width: int, height: int, classes: dict[int, str]) -> int:
-    """boxes (clip_id, frame, class_name, box_id, x1, y1, x2, y2) as label texts clip<clip_id>_<frame>.txt, in order of box_id; returns how many. A task writes its frames' files; a repeated task writes the same."""
+def write_box_labels(boxes: DataFrame, path: str, width: int, height: int, classes: dict[int, str], bundle: int | None = None) -> int:
+    """boxes (clip_id, frame, class_name, box_id, x1, y1, x2, y2) as label texts clip<clip_id>_<frame>.txt, in order of box_id; returns how many. A task writes its frames' files; a repeated task writes the same. bundle: the texts of so many successive frames of a clip are members of one ZIP file."""
     number = F.create_map(*(x for k, v in classes.items() for x in (F.lit(v), F.lit(k))))
     line = F.format_string("%d %.9f %.9f %.9f %.9f", number[F.col("class_name")], (F.col("x1") + F.col("x2")) / 2 / width, (F.col("y1") + F.col("y2")) / 2 / height, (F.col("x2") - F.col("x1")) / width, (F.col("y2") - F.col("y1")) / height)
     texts = boxes.withColumn("line", line).groupBy("clip_id", "frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
@@ -166,4 +184,15 @@ def write_box_labels(boxes: DataFrame, path: str, width: int, height: int, class
                     out.write((text + "\n").encode())
             yield pd.DataFrame({"n": [len(pdf)]})
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        store, base = _store(path)
+        store.create_dir(base, recursive=True)
+        clip, first = pdf["clip_id"].iloc[0], pdf["frame"].min() // bundle
+        with store.open_output_stream(f"{base}/clip{clip}_{first}.zip") as out, zipfile.ZipFile(out, "w") as z:
+            for frame, text in sorted(zip(pdf["frame"], pdf["text"], strict=True)):
+                z.writestr(zipfile.ZipInfo(f"clip{clip}_{frame}.txt"), text + "\n")  # with a fixed date: a repeated task writes the same
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    if bundle:
+        return texts.groupBy("clip_id", F.floor(F.col("frame") / bundle)).applyInPandas(pack, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return texts.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
