@@ -144,6 +144,20 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def joining(close: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what a symmetric matrix over two blocks joins, if others join what it joins within a block: a link for each two such parts that have to meet, and not for each node, as every block meets every other. Over one block, its forest."""
+    if (own == own[0]).all():
+        return forest(close)
+    inside = own[:, None] == own[None, :]
+    part = np.arange(len(close))
+    for u, v in forest(close & inside):
+        part[v] = part[u]
+    u, v = np.nonzero(close & ~inside)
+    met = np.zeros(close.shape, bool)
+    met[part[u], part[v]] = True
+    return forest(met)
+
+
 def _blocks(df: DataFrame, size: str) -> DataFrame:
     """A row for each pair of blocks (i <= j) of the group that the row's block takes part in."""
     count = F.ceil(F.col(size) / BLOCK).cast("int")
@@ -172,6 +186,11 @@ def _rough(depth: int, similarity: float):
             pairs = np.triu(_allowed(g["own"], i, j))
             if depth < DEEPEST:  # these met one step deeper
                 pairs &= g["rest"][:, None] != g["rest"][None, :]
+            close = np.zeros((len(n), len(n)), bool)
+            if i != j:  # what is joined within a block, here or one step deeper
+                u, v = np.nonzero(np.triu(g["own"][:, None] == g["own"][None, :], 1))
+                ok = (s[u] == s[v]).sum(1) >= ROUGH * s.shape[1]
+                close[u[ok], v[ok]] = close[v[ok], u[ok]] = True
             u, v = np.nonzero(pairs)
             same = s[u] == s[v]
             agree = same.sum(1)
@@ -180,9 +199,8 @@ def _rough(depth: int, similarity: float):
             lead = np.logical_and.accumulate(same[ok].reshape(-1, TREES, DEEPEST), axis=2).sum(2)
             new = ~(lead > depth).any(1)
             found += np.bincount(agree[new], weights=1 / np.maximum(1, (lead[new] >= depth).sum(1)), minlength=len(found))
-            close = np.zeros((len(n), len(n)), bool)
             close[u, v] = close[v, u] = True
-            rows += [(int(n[x]), int(n[y])) for x, y in forest(close)]
+            rows += [(int(n[x]), int(n[y])) for x, y in joining(close, g["own"])]
             if len(rows) > 50_000:
                 yield table(rows, [])
                 rows = []
@@ -240,11 +258,12 @@ def _verified(similarity: float):
         for (_, i, j), g in runs(frames, ["root", "i", "j"]):
             if len(g["node"]) < 2:
                 continue
-            pairs = _allowed(g["own"], i, j)
-            pairs &= links([np.frombuffer(x, np.uint64) for x in g["set"]], similarity)
+            alike = links([np.frombuffer(x, np.uint64) for x in g["set"]], similarity)
+            pairs = _allowed(g["own"], i, j) & alike
             n, total = g["node"], pairs @ g["copies"].astype(np.int64)
             rows += [(int(x), None, int(t)) for x, t in zip(n, total, strict=True) if t]
-            rows += [(int(n[u]), int(n[v]), 0) for u, v in forest(pairs)]
+            np.fill_diagonal(alike, False)
+            rows += [(int(n[u]), int(n[v]), 0) for u, v in joining(alike, g["own"])]
             if len(rows) > 50_000:
                 yield _table(rows)
                 rows = []
