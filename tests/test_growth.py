@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from touchline.operators import candidates, tables
+from touchline.operators import candidates, motion, tables
 from touchline.sources import inventory
 
 
@@ -82,3 +82,11 @@ def test_box_labels_are_bundled(spark, tmp_path):
     assert sorted(f.name for f in (tmp_path / "many").iterdir() if f.suffix == ".zip") == [f"clip{c}_{i}.zip" for c in (1, 2) for i in range(3)]
     read = lambda path, **k: sorted(map(tuple, inventory.read_box_labels(spark, path, 1280, 720, classes, **k).collect()))
     assert read(many, bundled=True) == read(one) and len(read(one)) == 300
+
+
+def test_windows_keep_clips_spread(spark):
+    """The clip's first time comes by a broadcast, not by a window that holds the clip; a row without a clip keeps its windows."""
+    t = spark.createDataFrame([(1, 0.0, 1.0, 2.0), (1, 5.5, 3.0, 4.0), (None, 9.0, 1.0, 2.0)], "clip_id long, timestamp double, center_x double, center_y double")
+    df = motion.tumbling_means(t)
+    assert "window [" not in plan_of(df) and "windowspecdefinition" not in plan_of(df)
+    assert sorted((str(r.clip_id), r.window, r.rows) for r in df.collect()) == [("1", 0, 1), ("1", 1, 1), ("None", 0, 1)]
