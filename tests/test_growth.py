@@ -1,9 +1,10 @@
 """What must not grow faster than the input, on small cases."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from touchline.operators import candidates, motion, tables
+from touchline.operators import candidates, motion, tables, tracking
 from touchline.sources import inventory
 
 
@@ -90,3 +91,25 @@ def test_windows_keep_clips_spread(spark):
     df = motion.tumbling_means(t)
     assert "window [" not in plan_of(df) and "windowspecdefinition" not in plan_of(df)
     assert sorted((str(r.clip_id), r.window, r.rows) for r in df.collect()) == [("1", 0, 1), ("1", 1, 1), ("None", 0, 1)]
+
+
+def test_trackers_hold_no_clip(spark):
+    """A clip streams through its task: rows leave before the last ones are read, frames and clips may be cut by a batch, ids are exact."""
+    big = 2**53 + 1
+    rows = [(c, f, k, f / 25, 10.0 * f + 300 * k, 0.0, 0.5) for c in (1, big) for f in range(400) for k in (0, 1)]
+    names = ["clip_id", "frame", "det_id", "timestamp", "center_x", "center_y", "confidence"]
+    read = []
+
+    def batches():
+        for i in range(0, len(rows), 7):
+            read.append(i)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + 7]])
+
+    out = tracking.worked_off(batches(), tracking.LinkMachine(90.0, 8, 2), 50)
+    got = next(out).to_pylist()
+    assert len(read) < 20
+    got += [r for b in out for r in b.to_pylist()]
+    assert sorted((r["clip_id"], r["frame"], r["track_id"]) for r in got) == [(c, f, k + 1) for c in (1, big) for f in range(400) for k in (0, 1)]
+    df = tracking.link_ball_tracks(spark.createDataFrame([*rows, (None, 0, 0, 0.0, 0.0, 0.0, 0.5), (None, 1, 0, 0.1, 1.0, 0.0, None), (1, None, 0, 0.0, 0.0, 0.0, 0.5)], ", ".join(f"{n} {k}" for n, k in zip(names, ["long"] * 3 + ["double"] * 4, strict=True))))
+    assert "flatmapgroups" not in plan_of(df)
+    assert sorted((r.clip_id or 0, r.frame) for r in df.collect()) == sorted([(0, 0), (0, 1), *((r[0], r[1]) for r in rows)])

@@ -7,8 +7,9 @@ are folded in order; clips spread over the cluster and bound a task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,18 +99,41 @@ class CentroidMachine:
         return {"next": new, "open": [[t, *x] for t, x in open_.items()]}, out
 
 
-def _folded(df: DataFrame, machine) -> DataFrame:
-    """The rows that a machine gives for each clip's frames in order."""
-    names = [c.split()[0] for c in machine.out.split(", ")]
+def worked_off(batches: Iterator[pa.RecordBatch], machine, least_rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """The rows that a machine gives for rows in order of clip, frame and detection, as they come: held are a frame, the machine's state and the rows of one batch to come."""
+    schema = pa.schema([(n, pa.int64() if k == "long" else pa.float64()) for n, k in (c.split() for c in machine.out.split(", "))])
+    at, dets, state, out = None, [], machine.begin(), []
+
+    def packed() -> pa.RecordBatch:  # a measure that isn't known is null
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type, from_pandas=True) for f in schema], schema=schema)
+
+    for batch in batches:
+        names, nan = batch.schema.names, pa.scalar(float("nan"))
+        columns = [(c.fill_null(nan) if pa.types.is_floating(c.type) else c) for c in batch.columns]
+        for values in zip(*(c.to_numpy(zero_copy_only=False).tolist() if not c.null_count else c.to_pylist() for c in columns), strict=True):
+            row = dict(zip(names, values, strict=True))
+            key = (row["clip_id"], row["frame"])
+            if key != at:
+                if dets:
+                    state, rows = machine.step(state, at[1], dets)
+                    out += rows
+                    if len(out) >= least_rows:
+                        yield packed()
+                        out = []
+                if at is None or key[0] != at[0]:
+                    state = machine.begin()
+                at, dets = key, []
+            dets.append(row)
+    if dets:
+        out += machine.step(state, at[1], dets)[1]
+    if out:
+        yield packed()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = machine.begin(), []
-        for frame, g in pdf.sort_values(["frame", "det_id"]).groupby("frame", sort=True):
-            state, rows = machine.step(state, frame, g.to_dict("records"))
-            out += rows
-        return pd.DataFrame(out, columns=names)
 
-    return df.groupBy("clip_id").applyInPandas(fold, machine.out)
+def _folded(df: DataFrame, machine) -> DataFrame:
+    """The rows that a machine gives for each clip's frames in order; a clip streams through its task."""
+    rows = df.where("frame is not null").repartition("clip_id").sortWithinPartitions("clip_id", "frame", F.col("det_id").asc_nulls_last())
+    return rows.mapInArrow(lambda batches: worked_off(batches, machine), machine.out)
 
 
 def link_ball_tracks(detections: DataFrame, reach: float = 90.0, max_gap: int = 8, least: int = 2) -> DataFrame:
