@@ -2,10 +2,11 @@
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from touchline.operators import candidates, motion, tables, tracking
-from touchline.sources import inventory
+from touchline.sources import archives, inventory
 
 
 def plan_of(df):
@@ -113,3 +114,17 @@ def test_trackers_hold_no_clip(spark):
     df = tracking.link_ball_tracks(spark.createDataFrame([*rows, (None, 0, 0, 0.0, 0.0, 0.0, 0.5), (None, 1, 0, 0.1, 1.0, 0.0, None), (1, None, 0, 0.0, 0.0, 0.0, 0.5)], ", ".join(f"{n} {k}" for n, k in zip(names, ["long"] * 3 + ["double"] * 4, strict=True))))
     assert "flatmapgroups" not in plan_of(df)
     assert sorted((r.clip_id or 0, r.frame) for r in df.collect()) == sorted([(0, 0), (0, 1), *((r[0], r[1]) for r in rows)])
+
+
+def test_archives_are_written_by_tracks(tmp_path):
+    """A task that writes a clip sorts its tracks, a row each, not its boxes; long archives are read by a task each."""
+    root = str(tmp_path)
+    writer = archives.ArchiveWriter(root)
+    rows = [Row(clip_id=c, track_no=t, label="pass", frames=[1, 2], outside=[False, None], task_name="t", task_size=9) for c in ("a", "b") for t in (0, 4)]
+    writer.commit([writer.write(iter(rows))])
+    got = [r for p in archives.ArchiveReader(root).partitions() for r in archives.ArchiveReader(root).read(p)]
+    assert got == [(c, f"cvat_export__{c}.zip", "t", 9, n, "pass", f, False) for c in ("a", "b") for n in (0, 1) for f in (1, 2)]
+    for k in range(3):
+        with open(tmp_path / f"cvat_export__{k}.zip", "wb") as f:
+            f.truncate(8 << 20)
+    assert sorted(len(p.paths) for p in archives.ArchiveReader(root).partitions()) == [1, 1, 1, 2]
