@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from touchline.operators import candidates, motion, tables, tracking
+from touchline.operators import candidates, frame_table, motion, tables, tracking
 from touchline.sources import archives, inventory
 
 
@@ -128,3 +128,23 @@ def test_archives_are_written_by_tracks(tmp_path):
         with open(tmp_path / f"cvat_export__{k}.zip", "wb") as f:
             f.truncate(8 << 20)
     assert sorted(len(p.paths) for p in archives.ArchiveReader(root).partitions()) == [1, 1, 1, 2]
+
+
+def test_windows_of_the_frame_table_are_narrow(spark):
+    """No window sorts the players of its frames, no aggregate is shuffled half done; rows without a frame keep their players."""
+    t = spark.createDataFrame([(1, f, f / 25, k, 10.0 * k + f, 5.0, 40.0, 0.9) for f in (0, 1, 2) for k in (0, 5)] + [(1, None, 0.5, 0, 1.0, 1.0, 40.0, 0.9), (None, 3, 0.5, 0, 1.0, 1.0, 40.0, 0.9)], "clip_id long, frame long, timestamp double, track_id long, center_x double, center_y double, height double, confidence double")
+    teams = spark.createDataFrame([(1, 0, "Team A"), (1, 5, "Team B")], "clip_id long, track_id long, team string")
+    ball = spark.createDataFrame([(1, f, f / 25, 3.0 * f, 4.0, 0.9, False) for f in (1, 2, 4)], "clip_id long, frame long, timestamp double, center_x double, center_y double, confidence double, is_interpolated boolean")
+    owner = spark.createDataFrame([(1, f, f / 25, "Team A", 0, 1.0, "ok") for f in (2, 4)], "clip_id long, frame long, timestamp double, team string, player_id long, distance_to_ball double, possession_reason string")
+    df = frame_table.temporal_frames(t, teams, ball, owner)
+
+    def nodes(p):
+        yield p
+        for i in range(p.children().size()):
+            yield from nodes(p.children().apply(i))
+
+    windows = [n.output().mkString(",") for n in nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows and not [w for w in windows if "players#" in w]
+    got = {(r.clip_id, r.frame): r for r in df.collect()}
+    assert {k: r.player_count for k, r in got.items()} == {(1, 0): 2, (1, 1): 2, (1, 2): 2, (1, 4): 0, (1, None): 1, (None, 3): 1}
+    assert (got[1, 2].ball_vx, got[1, 4].frames_since_possession_change, got[1, None].timestamp, got[None, 3].possession_changed, got[1, 2].p1_track_id) == (3.0 / (2 / 25 - 1 / 25), 2, 0.5, 0, 0)

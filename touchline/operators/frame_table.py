@@ -28,6 +28,7 @@ def players_of(tracks: DataFrame, teams: DataFrame) -> DataFrame:
     """One row a frame: its players as an array by track_id, their counts and the shape of each team."""
     team = F.when(F.col("_team").isin(*TEAMS.values()), F.col("_team")).otherwise("Unknown")
     t = player_motion(tracks).join(teams.select("clip_id", "track_id", F.col("team").alias("_team")), ["clip_id", "track_id"], "left").withColumn("team", team)
+    t = t.select("clip_id", "frame", "timestamp", "track_id", "center_x", "center_y", "team", "vx", "vy").repartition("clip_id", "frame")  # rows are narrower than the aggregates' buffers
     player = F.struct("track_id", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "team", "vx", "vy")
     aggs = [F.min("timestamp").alias("track_time"), F.array_sort(F.collect_list(player)).alias("players"), F.count("*").alias("player_count")]
     for k, name in TEAMS.items():
@@ -40,20 +41,24 @@ def players_of(tracks: DataFrame, teams: DataFrame) -> DataFrame:
 def temporal_frames(tracks: DataFrame, teams: DataFrame, ball: DataFrame, possession: DataFrame, k: int = 4, radius: float = 100.0) -> DataFrame:
     """Every frame that has a player, a ball or a possession row.
 
-    The three inputs meet on (clip_id, frame) once, players as an array of their
-    frame; all else is expressions over that row and windows over the clip's
-    frames. Absent: id -1, team 'Unknown', flag *_missing 1, measures null.
+    The three inputs meet on (clip_id, frame), the players first by their times
+    alone: windows over the clip's frames sort narrow rows. Then come the players,
+    as an array of their frame; all else is expressions over that row. Absent: id -1, team 'Unknown', flag *_missing 1, measures null.
     """
     b = ball.select("clip_id", "frame", F.col("timestamp").alias("ball_time"), "center_x", "center_y", F.col("confidence").alias("ball_confidence"), F.col("is_interpolated").cast("int").alias("ball_is_interpolated"))
     p = possession.select("clip_id", "frame", F.col("timestamp").alias("possession_time"), "team", "player_id", "distance_to_ball", "possession_reason")
-    df = players_of(tracks, teams).join(b, ["clip_id", "frame"], "full").join(p, ["clip_id", "frame"], "full")
+    there = tracks.where("clip_id is not null and frame is not null").groupBy("clip_id", "frame").agg(F.min("timestamp").alias("track_time"))
+    df = b.join(p, ["clip_id", "frame"], "full").join(there, ["clip_id", "frame"], "full")
     seen = F.col("center_x").isNotNull() & F.col("center_y").isNotNull()
+    time = ("possession_time", "ball_time", "track_time")
+    df = df.withColumns({"timestamp": F.coalesce(*time, F.col("frame").cast("double")), "center_x": F.when(seen, F.col("center_x")), "center_y": F.when(seen, F.col("center_y"))}).drop(*time)
+    moved = with_possession_changes(with_ball_motion(df))
+    df = moved.join(players_of(tracks, teams), ["clip_id", "frame"], "full")
     df = df.withColumns({
-        "timestamp": F.coalesce("possession_time", "ball_time", "track_time", F.col("frame").cast("double")),
-        "center_x": F.when(seen, F.col("center_x")), "center_y": F.when(seen, F.col("center_y")),
+        "timestamp": F.coalesce("timestamp", "track_time", F.col("frame").cast("double")),
         "players": F.coalesce("players", F.array().cast(df.schema["players"].dataType)),
+        **{c: F.coalesce(c, F.lit(0)) for c in ("possession_changed", "frames_since_possession_change")},
     })
-    df = with_possession_changes(with_ball_motion(df))
     players, ball_x, ball_y = F.col("players"), F.col("center_x"), F.col("center_y")
     placed = lambda q: q["x"].isNotNull() & q["y"].isNotNull()
     near = F.slice(F.array_sort(F.transform(F.filter(players, lambda q: placed(q) & ball_x.isNotNull()), lambda q: F.struct(_apart(q, ball_x, ball_y).alias("d"), q["track_id"].alias("track_id"), q.alias("player")))), 1, k)
