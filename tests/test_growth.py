@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from touchline.operators import candidates, frame_table, motion, tables, tracking
+from touchline.operators import candidates, frame_table, motion, segments, tables, tracking
 from touchline.sources import archives, inventory
 
 
@@ -148,3 +148,14 @@ def test_windows_of_the_frame_table_are_narrow(spark):
     got = {(r.clip_id, r.frame): r for r in df.collect()}
     assert {k: r.player_count for k, r in got.items()} == {(1, 0): 2, (1, 1): 2, (1, 2): 2, (1, 4): 0, (1, None): 1, (None, 3): 1}
     assert (got[1, 2].ball_vx, got[1, 4].frames_since_possession_change, got[1, None].timestamp, got[None, 3].possession_changed, got[1, 2].p1_track_id) == (3.0 / (2 / 25 - 1 / 25), 2, 0.5, 0, 0)
+
+
+def test_carries_sort_no_players(spark):
+    """The owners of frames are hashed, the players stream past them; both sides are shuffled, neither is broadcast."""
+    p = spark.range(8).selectExpr("1L as clip_id", "id as frame", "id / 25D as timestamp", "'Team A' as team", "2L as player_id", "10D * id as ball_x", "0D as ball_y", "false as is_interpolated", "5D as distance_to_ball")
+    players = spark.range(80).selectExpr("1L as clip_id", "id div 10 as frame", "id % 10 as track_id", "10D * (id div 10) as center_x", "double(id % 10) as center_y", "40D as height")
+    df = segments.estimate_carries(p, players)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "LeftOuter, BuildLeft" in plan
+    [r] = df.collect()
+    assert (r.player_id, r.start_frame, r.end_frame, r.player_distance_px, r.mean_player_box_height) == (2, 0, 7, 70.0, 40.0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import motion, pictures, segments
 from ..sources import fixtures as fx
+from ..sources.files import saved
 from .catalog import _CARRY, _INTER, _PASS, _STEPS, _stable, query, rounded
 
 SIZE = (1280, 720)
@@ -65,7 +66,8 @@ UNION ALL SELECT clip_id, 'metrics', 'max_ball_distance_px', round(max(ball_dist
 UNION ALL SELECT clip_id, 'dynamic_distance', 'avg_mean_player_box_height', round(avg(mean_player_box_height), 6) FROM carry GROUP BY 1"""))
 def _(s, d):
     more = {"avg_duration_seconds": ("metrics", F.avg("duration_seconds")), "max_ball_distance_px": ("metrics", F.max("ball_distance_px")), "avg_mean_player_box_height": ("dynamic_distance", F.avg("mean_player_box_height"))}
-    return rounded(pictures.event_summary(segments.estimate_carries(fx.owners(s, d), fx.tracks(s, d)), "total_carries", "start_frame", 3, metrics=more))
+    carries = saved(segments.estimate_carries(fx.owners(s, d), fx.tracks(s, d)))  # the summary reads them several times
+    return rounded(pictures.event_summary(carries, "total_carries", "start_frame", 3, metrics=more))
 
 
 @query("readable_player_stats", _STEPS + """SELECT clip_id, track_id AS "Player ID", n AS "Frames Seen", round(c, 3) AS "Average Confidence", round(l, 2) AS "Total Distance (pixels)", round(CASE WHEN t > 0 THEN l / t ELSE 0 END, 2) AS "Average Speed (pixels/sec)", round(t, 2) AS "Time Visible (sec)" FROM (SELECT clip_id, track_id, count(*) AS n, avg(confidence) AS c, coalesce(sum(step), 0) AS l, max("timestamp") - min("timestamp") AS t FROM steps GROUP BY 1, 2)""")
