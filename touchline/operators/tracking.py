@@ -226,7 +226,8 @@ def detection_metrics(truth: DataFrame, found: DataFrame, least: float = 0.5) ->
     def take(taken, p):
         each = F.transform(F.col("a"), lambda q, i: F.struct(_iou(p, q).alias("iou"), (-i).alias("i")))
         best = F.array_max(F.filter(each, lambda x: (x["iou"] > 0) & ~F.array_contains(taken, -x["i"])))
-        return F.when(best["iou"] >= least, F.concat(taken, F.array(-best["i"]))).otherwise(taken)
+        # an array of one, so that the best is looked for once and not for each of its fields
+        return F.get(F.transform(F.array(best), lambda x: F.when(x["iou"] >= least, F.concat(taken, F.array(-x["i"]))).otherwise(taken)), 0)
 
     m = m.select("class_name", F.size(F.aggregate("b", F.array().cast("array<int>"), take)).alias("m"), F.size("a").alias("na"), F.size("b").alias("nb"))
     g = m.groupBy("class_name").agg(F.sum("m").alias("tp"), (F.sum("nb") - F.sum("m")).alias("fp"), (F.sum("na") - F.sum("m")).alias("fn"))
