@@ -1,11 +1,15 @@
 """What must not grow faster than the input, on small cases."""
 
+import os
+
 import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from touchline.operators import candidates, frame_table, motion, segments, tables, tracking
+from touchline.operators import candidates, frame_table, labels, motion, segments, tables, tracking
+from touchline.plans import catalog
 from touchline.sources import archives, inventory
 
 
@@ -130,6 +134,29 @@ def test_archives_are_written_by_tracks(tmp_path):
     assert sorted(len(p.paths) for p in archives.ArchiveReader(root).partitions()) == [1, 1, 1, 2]
 
 
+@pytest.mark.parametrize("name", ["annotation_archives", "annotation_events", "annotation_issues"])
+def test_archives_are_parsed_once(spark, name):
+    """Archives are parsed and intervals numbered before the query's last plan, which reads saved tables."""
+    df = catalog.QUERIES[name](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "annotations" not in plan and "Window" not in plan
+
+
+def test_intervals_shuffle_boxes_once(spark):
+    """A frame that comes twice breaks no run and needs no shuffle of its own; issues are those of the intervals given."""
+    rows = [("a", t, "pass", f, False, "cvat_export__a.zip", "x", 9) for t in (0, 1) for f in (3, 1, 2, 2, 5)] + [("b", 0, "shot", f, o, "cvat_export__b.zip", "", 0) for f, o in ((1, True), (2, False), (None, False), (-1, False))]
+    boxes = spark.createDataFrame(rows, "clip_id string, track_no long, label string, frame long, outside boolean, archive string, task_name string, task_size long")
+    numbered = labels.numbered_intervals(boxes)
+    assert "distinct" not in plan_of(numbered)
+    assert sorted((r.clip_id, r.n, r.start_frame, r.end_frame, r.track_no, r.duplicates) for r in numbered.collect()) == [("a", 1, 1, 3, 0, 1), ("a", 2, 5, 5, 0, 1), ("b", 1, 2, 2, 0, 0)]
+    manifest = spark.createDataFrame([("a", 25.0, 0.0, "x")], "clip_id string, fps double, duration_seconds double, cvat_task_name string")
+    want = [("a", "error", "duplicate event: pass 1-3"), ("a", "error", "duplicate event: pass 5-5"), ("b", "error", "unknown clip export: cvat_export__b.zip")]
+    given = spark.createDataFrame(numbered.collect(), numbered.schema)
+    for df in (labels.annotation_issues(boxes, manifest), labels.annotation_issues(boxes, manifest, given)):
+        assert sorted(map(tuple, df.collect())) == want
+    assert "windowspecdefinition" not in plan_of(labels.annotation_issues(boxes, manifest, given))
+
+
 def test_windows_of_the_frame_table_are_narrow(spark):
     """No window sorts the players of its frames, no aggregate is shuffled half done; rows without a frame keep their players."""
     t = spark.createDataFrame([(1, f, f / 25, k, 10.0 * k + f, 5.0, 40.0, 0.9) for f in (0, 1, 2) for k in (0, 5)] + [(1, None, 0.5, 0, 1.0, 1.0, 40.0, 0.9), (None, 3, 0.5, 0, 1.0, 1.0, 40.0, 0.9)], "clip_id long, frame long, timestamp double, track_id long, center_x double, center_y double, height double, confidence double")
