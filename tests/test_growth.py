@@ -1,6 +1,7 @@
 """What must not grow faster than the input, on small cases."""
 
 import os
+import re
 
 import duckdb
 import pyarrow as pa
@@ -186,3 +187,32 @@ def test_carries_sort_no_players(spark):
     assert "SortMergeJoin" not in plan and "LeftOuter, BuildLeft" in plan
     [r] = df.collect()
     assert (r.player_id, r.start_frame, r.end_frame, r.player_distance_px, r.mean_player_box_height) == (2, 0, 7, 70.0, 40.0)
+
+
+def test_listed_frames_stay_off_the_driver(spark, tmp_path):
+    """Spark takes listed frames to be as few as their events, and a saved table to be as small as its file: it would broadcast them, however many they are."""
+    s = "clip_id long, shot_id long, image_width long, center_frame long, start_frame long, end_frame long, interpolated_share double, carry_overlap double, motion_frames long, tier string"
+    spark.createDataFrame([(1, 1, 1000, 6, 4, 8, 0.0, 0.0, 3, "low"), (1, 2, 1000, 40, 30, 50, 0.0, 0.0, 3, "low")], s).write.parquet(str(tmp_path / "shots"))
+    spark.range(60).selectExpr("1L as clip_id", "id as frame", "case when id < 20 then 10D else 500D end as ball_x").write.parquet(str(tmp_path / "frames"))
+    shots, frames = (spark.read.parquet(str(tmp_path / name)) for name in ("shots", "frames"))
+    df = candidates.refine_shots(shots, frames)
+    near = candidates.around(shots.select("clip_id", "start_frame", "end_frame"), F.col("start_frame"), F.col("end_frame"), frames, n=F.count("*"))
+    met = motion.nearest_within(shots.select("clip_id", F.col("shot_id").alias("id"), F.col("center_frame").alias("frame")), shots.select("clip_id", F.col("shot_id").alias("id"), F.col("start_frame").alias("frame")), 2)
+    for got, key in ((df, "frame"), (near, "frame"), (met, "_b")):
+        assert re.search(rf"SortMergeJoin \[clip_id#\w+, {key}#", got._jdf.queryExecution().executedPlan().toString())
+    assert {(r.shot_id, r.review) for r in df.collect()} == {(1, 1), (2, 0)}
+    assert {(r.start_frame, r.n) for r in near.collect()} == {(4, 5), (30, 21)}
+    assert {(r.left_id, r.right_id, r.delta) for r in met.collect()} == {(1, 1, 2), (2, None, None)}
+
+
+def test_weak_passes_meet_by_frames(spark):
+    """A pass meets the weak passes near it, not all of its two players in the clip: pairs don't grow with the square of a clip."""
+    rows = [(1, 100 * i + f, (100 * i + f) / 25, "Team A", p) for i in range(40) for p, at in ((1, range(0, 5)), (2, range(7, 12))) for f in at]
+    p = spark.createDataFrame(rows, "clip_id long, frame long, timestamp double, team string, player_id long").selectExpr("*", "600D as ball_x", "100D as ball_y", "false as is_interpolated", "10D as distance_to_ball")
+    m = spark.range(4000).selectExpr("1L as clip_id", "id as frame", "1D as ball_speed", "cast(null as double) as ball_acceleration", "1 as velocity_valid", "0 as acceleration_valid")
+    weak = spark.createDataFrame([(1, i, 100 * i + 4, 100 * i + 7, 1, 2, "Team A") for i in range(40)] + [(1, 90, 6, 5, 1, 2, "Team A"), (1, 91, 104, 107, 2, 1, "Team A"), (1, 92, 204, 207, 1, 2, "Team B")], "clip_id long, pass_id long, start_frame long, end_frame long, from_player long, to_player long, team string")
+    df = candidates.pass_candidates(p, m, weak)
+    assert "_bucket" in plan_of(df)
+    assert sorted((r.start_frame, r.weak_pass_id) for r in df.collect()) == [(100 * i + 4, i) for i in range(40)]
+    alone = candidates.pass_candidates(p, m, weak.where("pass_id = 90")).where("weak_pass_id is not null").collect()
+    assert [(r.start_frame, r.weak_pass_id) for r in alone] == [(4, 90)]
